@@ -118,7 +118,8 @@ def nearest(
         return pd.DataFrame({"a": vid[q[ok]], "b": vid[to[ok]], "similarity": np.round(s[ok], digits)})
 
     found = spread.groupBy("shard", "part").applyInPandas(search, "a string, b string, similarity double").where(F.col("similarity") >= floor)
-    both = cut(found.union(found.select(F.col("b").alias("a"), F.col("a").alias("b"), "similarity")).groupBy("a", "b").agg(F.max("similarity").alias("similarity")))
+    ways = F.explode(F.array(F.struct(F.col("a").alias("a"), F.col("b").alias("b")), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("w")
+    both = cut(found.select(ways, "similarity").select("w.a", "w.b", "similarity").groupBy("a", "b").agg(F.max("similarity").alias("similarity")))
 
     # the k + 1 smallest ids of each distinct vector stand for it in any list
     first = Window.partitionBy("vid").orderBy("id")
