@@ -115,7 +115,7 @@ def _char_table() -> np.ndarray:
                 k = "odd"
         elif c in "¿¡":
             k = "sentence"
-        elif c in "«» ":
+        elif c in "«»\xa0":
             k = "quote"
         elif c.isalpha() and c.islower():
             k = "accented"
