@@ -197,7 +197,7 @@ class Script(Cursor):
             if t == "async" and nt == "function" and not self.L[p + 1]:
                 self.p += 1
                 return self.function()
-            if self.ts and nk == "i" and not self.L[p + 1] and self.ts_statement(t, nt):
+            if self.ts and (nk == "i" or nk == "s" and t == "module") and not self.L[p + 1] and self.ts_statement(t, nt):
                 return None
             if self.ts and t in ("declare", "global") and nt == "{":
                 self.p += 1

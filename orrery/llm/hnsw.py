@@ -173,7 +173,7 @@ class Graph:
         out_i, out_s = [], []
         for lo in range(0, len(q), batch):
             part = np.ascontiguousarray(q[lo : lo + batch], np.float32)
-            at = np.repeat(entries(self.layers[-1], self.layers[-1].size)[None], len(part), 0)
+            at = np.repeat(np.arange(self.layers[-1].size)[None], len(part), 0)  # the top layer is small enough to start everywhere
             for layer in reversed(self.layers[1:]):
                 at, _ = _beam(layer, part, at, 4)
             i, s = _beam(self.layers[0], part, at, max(ef, k))

@@ -29,17 +29,18 @@ def strengths(lines: Column) -> Column:
 
 
 def cutter(limit: Column, overlap: Column) -> Column:
-    """The expression that cuts a string of strengths. A natural boundary is taken in the upper half of the room only."""
+    """The expression that cuts a string of strengths. A natural boundary is taken in the upper
+    half of the room only, and the first piece holds at least the lines that it shares."""
     lim, step = limit.cast("string"), (limit - overlap)
 
-    def by(start: str, room: Column) -> Column:
-        low, high = F.greatest(F.lit(0), F.floor(room / 2).cast("int") - 1).cast("string"), (room - 1).cast("string")
+    def by(start: str, room: Column, least: Column) -> Column:
+        low, high = F.greatest(F.lit(0), F.floor(room / 2).cast("int") - 1, least - 1).cast("string"), (room - 1).cast("string")
         return F.concat_ws("|", *[F.concat(F.lit(start + ".{"), low, F.lit(","), high, F.lit("}" + s)) for s in "ABC"])
 
     st = step.cast("string")
     return F.concat(
-        by("^", limit), F.lit("|^.{1,"), lim, F.lit("}|.{1,"), st, F.lit("}$|"),
-        by("", step), F.lit("|.{1,"), st, F.lit("}"),
+        by("^", limit, overlap), F.lit("|^.{1,"), lim, F.lit("}|.{1,"), st, F.lit("}$|"),
+        by("", step, F.lit(0)), F.lit("|.{1,"), st, F.lit("}"),
     )
 
 
