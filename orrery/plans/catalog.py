@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from orrery.plans import integrity
+from orrery.plans import integrity, scans
 
-MODULES = [integrity]
+MODULES = [integrity, scans]
 
 
 def queries():
