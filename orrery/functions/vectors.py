@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import math
+import re
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -34,14 +37,25 @@ def words_for_embedding(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^a-z0-9_]+"), lambda x: x != "")
 
 
-def embed(text: Column, width: int = 64) -> Column:
-    """Hashed word counts, scaled to length 1; a text without words is the zero vector."""
-    slots = F.transform(words_for_embedding(text), lambda w: F.pmod(fnv1a(w), F.lit(width)).cast("int"))
-    empty = F.array_repeat(F.lit(0.0), width)
-    # counts by sorting, so that a long text costs one pass and not one per slot
-    counts = F.aggregate(slots, empty, lambda acc, s: F.transform(acc, lambda x, i: F.when(i == s, x + 1.0).otherwise(x)))
-    norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda a, x: a + x * x))
-    return F.transform(counts, lambda x: F.when(norm > 0, x / norm).otherwise(0.0))
+def py_embed(text: str, width: int = 64) -> list[float]:
+    """Hashed word counts of a query, scaled to length 1; a text without words is the zero vector."""
+    v = [0.0] * width
+    for w in re.split(r"[^a-z0-9_]+", text.lower()):
+        if w:
+            h = 2166136261
+            for c in w:
+                h = ((h ^ ord(c)) * 16777619) & 0xFFFFFFFF
+            v[h % width] += 1.0
+    n = math.sqrt(sum(x * x for x in v))
+    return [x / n for x in v] if n else v
+
+
+def embed_rows(df: DataFrame, key: str, text: Column, width: int = 64) -> DataFrame:
+    """(key, slot, weight): the non-zero entries of each text's vector. Words are counted before the shuffle, so a long text costs at most `width` rows."""
+    words = df.select(key, F.explode(words_for_embedding(text)).alias("w"))
+    slots = words.groupBy(key, F.pmod(fnv1a(F.col("w")), F.lit(width)).cast("int").alias("slot")).agg(F.count(F.lit(1)).alias("n"))
+    norm = F.sqrt(F.sum(F.col("n") * F.col("n")).over(Window.partitionBy(key)))  # at most `width` rows a key
+    return slots.select(key, "slot", (F.col("n") / norm).alias("weight"))
 
 
 def embedding_text(path: Column, symbol: Column, language: Column, content: Column) -> Column:

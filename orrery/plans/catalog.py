@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from orrery.plans import integrity, scans
+from orrery.plans import integrity, relations, scans
 
-MODULES = [integrity, scans]
+MODULES = [integrity, scans, relations]
 
 
 def queries():
