@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from orrery.plans import integrity, relations, scans
+from orrery.plans import graphs, integrity, relations, scans, search
 
-MODULES = [integrity, scans, relations]
+MODULES = [integrity, scans, relations, search, graphs]
 
 
 def queries():
