@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from orrery.plans import graphs, integrity, relations, scans, search
+from orrery.plans import context, graphs, integrity, relations, scans, search
 
-MODULES = [integrity, scans, relations, search, graphs]
+MODULES = [integrity, scans, relations, search, graphs, context]
 
 
 def queries():
