@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from orrery.plans import context, graphs, integrity, relations, scans, search
+from orrery.plans import context, graphs, integrity, relations, scans, search, streams
 
-MODULES = [integrity, scans, relations, search, graphs, context]
+MODULES = [integrity, scans, relations, search, graphs, context, streams]
 
 
 def queries():
