@@ -21,6 +21,7 @@ from orrery.sources.store import Store
 def scan_tree(spark: SparkSession, root: str, project_id: str, max_bytes: int = 512_000, paths: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(files with content, skipped files) of a source tree; with `paths` (path) only those, absolute and climbing ones refused."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    raw = raw.unionByName(_unlisted(spark, root))
     prefix = r"^(?:[a-z]+:)?/*" + _literal(root.rstrip("/").lstrip("/")) + "/"
     t = raw.withColumn("rel", F.regexp_replace("path", prefix, "")).withColumn("project_id", F.lit(project_id))
     if paths is not None:
@@ -35,6 +36,32 @@ def scan_tree(spark: SparkSession, root: str, project_id: str, max_bytes: int =
     return kept, t.where("reason IS NOT NULL").select("project_id", F.col("rel").alias("file_path"), "reason")
 
 
+def _unlisted(spark: SparkSession, root: str) -> DataFrame:
+    """Files that Spark's listing leaves out, because a name begins with `_` or `.`: `__init__.py` is one. They are
+    found by walking the tree, which takes a mounted root; on an object store they stay out."""
+    import os
+
+    found = []
+    if os.path.isdir(root):
+        for at, dirs, names in os.walk(root):
+            dirs[:] = [d for d in dirs if d not in P.IGNORED_DIRECTORIES]
+            rel = os.path.relpath(at, root)
+            odd = any(x[0] in "_." for x in rel.split(os.sep) if x != ".")
+            found += [(os.path.join(at, n),) for n in names if odd or n[0] in "_."]
+
+    def read(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            rows = []
+            for path in pdf["path"]:
+                with open(path, "rb") as f:
+                    rows.append((path, pd.Timestamp(int(os.stat(path).st_mtime), unit="s"), os.path.getsize(path), f.read()))
+            yield pd.DataFrame(rows, columns=["path", "modificationTime", "length", "content"])
+
+    return spark.createDataFrame(found, "path string").mapInPandas(read, "path string, modificationTime timestamp, length long, content binary")
+
+
 def _literal(s: str) -> str:
     import re
 
