@@ -53,7 +53,7 @@ class Tokens:
 
 
 def scan(pattern: re.Pattern, text: str, nested: bool = False) -> Tokens:
-    """Tokens of a language whose lexing needs no context. Group w is skipped, c opens a nested block comment, e is an error."""
+    """Tokens of a language whose lexing needs no context. Group w is what goes before a token, c opens a nested block comment, e is an error, z the end."""
     out = Tokens()
     add_t, add_k, add_s, add_l = out.text.append, out.kind.append, out.start.append, out.line.append
     fresh, pos, n = True, 0, len(text)
@@ -63,15 +63,18 @@ def scan(pattern: re.Pattern, text: str, nested: bool = False) -> Tokens:
         if m is None:
             raise Broken
         kind, end = m.lastgroup, m.end()
-        if kind == "w":
-            if not fresh and "\n" in m[0]:
-                fresh = True
-        elif kind == "c":
+        text_ = m[kind]
+        start = end - len(text_)
+        if start > pos and not fresh:
+            fresh = text[pos] == "\n" if start == pos + 1 else "\n" in m["w"]
+        if kind == "z":
+            break
+        if kind == "c":
             depth = 1
             for d in re.finditer(r"/\*|\*/", text[end:]):
                 depth += 1 if d[0] == "/*" else -1
                 if not depth:
-                    fresh = fresh or "\n" in text[pos : end + d.end()]
+                    fresh = fresh or "\n" in text[start : end + d.end()]
                     end += d.end()
                     break
             else:
@@ -79,9 +82,9 @@ def scan(pattern: re.Pattern, text: str, nested: bool = False) -> Tokens:
         elif kind == "e":
             raise Broken
         else:
-            add_t(m[0])
+            add_t(text_)
             add_k(kind)
-            add_s(pos)
+            add_s(start)
             add_l(fresh)
             fresh = False
         pos = end

@@ -7,16 +7,18 @@ import re
 from orrery.llm.grammar.base import ENDS, Broken, Cursor, Tokens
 
 _LEX = re.compile(
-    r"""(?P<w>(?:[\s\ufeff]|//[^\n\r\u2028\u2029]*|/\*[\s\S]*?\*/)+)
-    |(?P<i>[#@]?(?:[^\W\d]|\$|\\u[0-9a-fA-F]{4}|\\u\{[0-9a-fA-F]+\})(?:[\w$‌‍]|\\u[0-9a-fA-F]{4}|\\u\{[0-9a-fA-F]+\})*)
+    r"""(?P<w>(?:[\s\ufeff]+|//[^\n\r\u2028\u2029]*|/\*[\s\S]*?\*/)*)(?:(?P<i>[#@]?(?:[^\W\d]|\$|\\u[0-9a-fA-F]{4}|\\u\{[0-9a-fA-F]+\})(?:[\w$‌‍]|\\u[0-9a-fA-F]{4}|\\u\{[0-9a-fA-F]+\})*)
     |(?P<n>(?:0[xX][0-9a-fA-F](?:_?[0-9a-fA-F])*n?|0[bB][01](?:_?[01])*n?|0[oO][0-7](?:_?[0-7])*n?|(?:\d(?:_?\d)*\.?(?:\d(?:_?\d)*)?|\.\d(?:_?\d)*)(?:[eE][+-]?\d(?:_?\d)*)?n?)(?![\w$]))
     |(?P<s>"(?:[^"\\\n\r]|\\(?:\r\n|[\s\S]))*"|'(?:[^'\\\n\r]|\\(?:\r\n|[\s\S]))*')
     |(?P<t>`)
-    |(?P<p>\.\.\.|=>|===|!==|\*\*=|\?\?=|&&=|\|\|=|<<=|==|!=|<=|\+\+|--|&&|\|\||\?\?|\?\.(?!\d)|\*\*|\+=|-=|\*=|/=|%=|&=|\|=|\^=|<<|[{}()\[\];,<>+\-*/%&|^!~?:=.@])""",
+    |(?P<p>\.\.\.|=>|===|!==|\*\*=|\?\?=|&&=|\|\|=|<<=|==|!=|<=|\+\+|--|&&|\|\||\?\?|\?\.(?!\d)|\*\*|\+=|-=|\*=|/=|%=|&=|\|=|\^=|<<|[{}()\[\];,<>+\-*/%&|^!~?:=.@])|(?P<z>\Z))""",
     re.X,
 )
 _TEMPLATE = re.compile(r"(?:[^`\\$]|\\[\s\S]|\$(?!\{))*(`|\$\{)")
 _REGEX = re.compile(r"/(?![*/])(?:[^\\/\[\n\r]|\\[^\n\r]|\[(?:[^\]\\\n\r]|\\[^\n\r])*\])+/[A-Za-z]*")
+_ELEMENT = re.compile(r"<\s*(?:>|[A-Za-z_$][\w$.:-]*(?!\s*(?:,|extends\b))(?![\w$.:-]))")
+_CONTEXT = frozenset(["{", "}", "<", "/", "/="])
+_AFTER_OPERAND = frozenset([")", "]", "}", "++", "--"])
 _JSX_TEXT = re.compile(r"[^{}<>]*")
 _JSX_TAG = re.compile(r"<\s*(?:[A-Za-z_$][\w$.:-]*)?")
 _JSX_ATTR = re.compile(r"\s*(?:([A-Za-z_$][\w$:-]*)(?:\s*=\s*(?:\"[^\"]*\"|'[^']*'|(?=\{)))?|(?=\{))")
@@ -31,48 +33,66 @@ def tokens(src: str, jsx: bool, start: int = 0, stop_brace: bool = False) -> tup
     add_t, add_k, add_s, add_l = out.text.append, out.kind.append, out.start.append, out.line.append
     braces: list[bool] = []  # True: opened inside a template
     pos, n, fresh = start, len(src), True
-    prev, prev_kind = "", ""
     if not start and src.startswith("#!"):
         pos = len(src.split("\n", 1)[0])
     match = _LEX.match
+    texts, kinds = out.text, out.kind
+
+    def operand() -> bool:
+        """Whether an operand may come next, judged by the token before."""
+        if not kinds:
+            return True
+        k, t = kinds[-1], texts[-1]
+        return k == "p" and t not in _AFTER_OPERAND or k == "q" and t != "}`" or k == "i" and t in _BEFORE_OPERAND
+
     while pos < n:
         m = match(src, pos)
         if m is None:
             raise Broken
-        kind, end, t = m.lastgroup, m.end(), m[0]
-        if kind == "w":
-            fresh = fresh or "\n" in t or "\r" in t
-            pos = end
-            continue
-        operand = prev_kind == "" or prev_kind == "p" and prev not in (")", "]", "}", "++", "--") or prev_kind == "i" and prev in _BEFORE_OPERAND
-        if kind == "p":
-            if t in ("/", "/=") and operand:
-                r = _REGEX.match(src, pos)
-                if r is None:
-                    raise Broken
-                kind, end, t = "s", r.end(), "/re/"
-            elif t == "<" and operand and jsx and re.match(r"<\s*(?:>|[A-Za-z_$][\w$.:-]*(?!\s*(?:,|extends\b)))", src[pos : pos + 200]):
-                end = _jsx(src, pos, inner)
-                kind, t = "s", "<jsx/>"
-            elif t == "{":
-                braces.append(False)
-            elif t == "}":
-                if not braces:
-                    if stop_brace:
-                        return out.close(pos), end, inner
-                    raise Broken
-                if braces.pop():
-                    r = _TEMPLATE.match(src, end)
-                    if r is None:
+        kind, end = m.lastgroup, m.end()
+        t = m[kind]
+        start = end - len(t)
+        if start > pos and not fresh:
+            gap = src[pos] if start == pos + 1 else m["w"]
+            fresh = "\n" in gap or "\r" in gap
+        if kind == "i":
+            if t[0] == "@":
+                add_t("@")
+                add_k("p")
+                add_s(start)
+                add_l(fresh)
+                fresh, t = False, t[1:]
+        elif kind == "p":
+            if t in _CONTEXT:
+                if t == "{":
+                    braces.append(False)
+                elif t == "}":
+                    if not braces:
+                        if stop_brace:
+                            return out.close(start), end, inner
                         raise Broken
-                    end = r.end()
-                    if r[1] == "`":
-                        t = "}`"
-                        kind = "q"
+                    if braces.pop():
+                        r = _TEMPLATE.match(src, end)
+                        if r is None:
+                            raise Broken
+                        end, kind = r.end(), "q"
+                        if r[1] == "`":
+                            t = "}`"
+                        else:
+                            t = "}${"
+                            braces.append(True)
+                elif operand():
+                    if t == "<":
+                        if jsx and _ELEMENT.match(src, start):
+                            end = _jsx(src, start, inner)
+                            kind, t = "s", "<jsx/>"
                     else:
-                        t = "}${"
-                        kind = "q"
-                        braces.append(True)
+                        r = _REGEX.match(src, start)
+                        if r is None:
+                            raise Broken
+                        kind, end, t = "s", r.end(), "/re/"
+        elif kind == "s":
+            t = '"'
         elif kind == "t":
             r = _TEMPLATE.match(src, end)
             if r is None:
@@ -83,20 +103,13 @@ def tokens(src: str, jsx: bool, start: int = 0, stop_brace: bool = False) -> tup
             else:
                 kind, t = "q", "`${"
                 braces.append(True)
-        elif kind == "s":
-            t = '"'
-        elif kind == "i" and t[0] == "@":
-            add_t("@")
-            add_k("p")
-            add_s(pos)
-            add_l(fresh)
-            fresh, t = False, t[1:]
+        elif kind == "z":
+            break
         add_t(t)
         add_k(kind)
-        add_s(pos)
+        add_s(start)
         add_l(fresh)
         fresh = False
-        prev, prev_kind = t, "s" if t in ("`", "}`") else "p" if kind == "q" else kind
         pos = end
     if stop_brace or any(braces):
         raise Broken

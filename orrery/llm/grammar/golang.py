@@ -7,12 +7,11 @@ import re
 from orrery.llm.grammar.base import ENDS, Broken, Cursor, Tokens, scan
 
 _LEX = re.compile(
-    r"""(?P<w>(?:\s|//[^\n]*|/\*[\s\S]*?\*/)+)
-    |(?P<i>[^\W\d]\w*)
+    r"""(?P<w>(?:\s+|//[^\n]*|/\*[\s\S]*?\*/)*)(?:(?P<i>[^\W\d]\w*)
     |(?P<n>(?:0[xX](?:_?[0-9a-fA-F])+(?:\.[0-9a-fA-F_]*)?(?:[pP][+-]?\d+)?|0[bB](?:_?[01])+|0[oO](?:_?[0-7])+|(?:\d(?:_?\d)*\.?(?:\d(?:_?\d)*)?|\.\d(?:_?\d)*)(?:[eE][+-]?\d+)?)i?(?!\w))
     |(?P<s>"(?:[^"\\\n]|\\(?:[abfnrtv\\"]|x[0-9a-fA-F]{2}|u[0-9a-fA-F]{4}|U[0-9a-fA-F]{8}|[0-7]{3}))*"|`[^`]*`|'(?:[^'\\\n]|\\(?:[abfnrtv\\']|x[0-9a-fA-F]{2}|u[0-9a-fA-F]{4}|U[0-9a-fA-F]{8}|[0-7]{3}))')
     |(?P<p>\.\.\.|<<=|>>=|&\^=|&\^|<-|\+\+|--|&&|\|\||==|!=|<=|>=|:=|\+=|-=|\*=|/=|%=|&=|\|=|\^=|<<|>>|[+\-*/%&|^<>=!()\[\]{},;.:~])
-    |(?P<e>.)""",
+    |(?P<z>\Z)|(?P<e>.))""",
     re.X,
 )
 RESERVED = frozenset("break case chan const continue default defer else fallthrough for func go goto if import interface map package range return select struct switch type var".split())

@@ -7,12 +7,11 @@ import re
 from orrery.llm.grammar.base import ENDS, Broken, Cursor, Tokens, scan
 
 _LEX = re.compile(
-    r'''(?P<w>(?:\s|//[^\n\r]*|/\*[\s\S]*?\*/|\x1a)+)
-    |(?P<i>[^\W\d]\w*|\$[\w$]*)
+    r'''(?P<w>(?:\s+|//[^\n\r]*|/\*[\s\S]*?\*/|\x1a)*)(?:(?P<i>[^\W\d]\w*|\$[\w$]*)
     |(?P<n>(?:0[xX](?:_*[0-9a-fA-F])+(?:\.[0-9a-fA-F_]*)?(?:[pP][+-]?\d+)?[lLfFdD]?|0[bB](?:_*[01])+[lL]?|(?:\d(?:_*\d)*\.?(?:\d(?:_*\d)*)?|\.\d(?:_*\d)*)(?:[eE][+-]?\d+)?[lLfFdD]?)(?!\w))
     |(?P<s>"""[ \t\f]*\r?\n(?:[^\\]|\\[\s\S])*?"""|"(?!"")(?:[^"\\\n\r]|\\(?:[btnfrs"'\\]|u+[0-9a-fA-F]{4}|[0-7]{1,3}))*"|""|'(?:[^'\\\n\r]|\\(?:[btnfrs"'\\]|u+[0-9a-fA-F]{4}|[0-7]{1,3}))')
     |(?P<p>\.\.\.|->|::|\+\+|--|&&|\|\||==|!=|<=|>=|\+=|-=|\*=|/=|&=|\|=|\^=|%=|<<=|<<|[+\-*/%&|^<>=!~?:;,.@(){}\[\]])
-    |(?P<e>.)''',
+    |(?P<z>\Z)|(?P<e>.))''',
     re.X,
 )
 RESERVED = frozenset(

@@ -7,14 +7,13 @@ import re
 from orrery.llm.grammar.base import ENDS, Broken, Cursor, Tokens, scan
 
 _LEX = re.compile(
-    r"""(?P<w>(?:\s|//[^\n]*)+)
-    |(?P<c>/\*)
+    r"""(?P<w>(?:\s+|//[^\n]*)*)(?:(?P<c>/\*)
     |(?P<s>b?r(?P<h>\#*)"[\s\S]*?"(?P=h)|[bc]?"(?:[^"\\]|\\(?:[nrt\\0'"]|x[0-9a-fA-F]{2}|u\{[0-9a-fA-F_]{1,8}\}|\r?\n))*"|b?'(?:[^'\\\n\r\t]|\\(?:[nrt\\0'"]|x[0-9a-fA-F]{2}|u\{[0-9a-fA-F_]{1,8}\}))')
     |(?P<l>'[^\W\d]\w*)
     |(?P<i>r\#[^\W\d]\w*|[^\W\d]\w*)
     |(?P<n>(?:0x_*[0-9a-fA-F][0-9a-fA-F_]*|0b_*[01][01_]*|0o_*[0-7][0-7_]*|\d[\d_]*(?:\.(?![.\w])|\.\d[\d_]*)?(?:[eE][+-]?_*\d[\d_]*)?)(?:[iuf](?:8|16|32|64|128|size))?(?!\w))
     |(?P<p>\.\.\.|\.\.=|\.\.|->|=>|::|&&|\|\||==|!=|<=|\+=|-=|\*=|/=|%=|\^=|&=|\|=|<<=|<<|[+\-*/%^!&|=<>@.,;:\#$?~(){}\[\]])
-    |(?P<e>.)""",
+    |(?P<z>\Z)|(?P<e>.))""",
     re.X,
 )
 RESERVED = frozenset("as break const continue crate else enum extern false fn for if impl in let loop match mod move mut pub ref return self Self static struct super trait true type unsafe use where while async await dyn".split())
