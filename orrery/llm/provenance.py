@@ -64,8 +64,8 @@ _COMMENTS = {
     "rust": re.compile(r"(?P<s>b?r(#*)\"[\s\S]*?\"\2|\"(?:[^\"\\]|\\[\s\S])*\"|'(?:[^'\\\n]|\\.[^'\n]*)')|//(?P<c>[^\n]*)|/\*(?P<b>[\s\S]*?)\*/"),
     "": re.compile(r"(?P<s>\"\"\"[\s\S]*?\"\"\"|\"(?:[^\"\\\n]|\\[\s\S])*\"|'(?:[^'\\\n]|\\[\s\S])*'|`(?:[^`\\]|\\[\s\S])*`)|//(?P<c>[^\n]*)|/\*(?P<b>[\s\S]*?)\*/"),
 }
-_DATA = re.compile(
-    r"""(?>(?:-?(?:0[xX][0-9a-fA-F_]+|\d[\w.]*(?:[eE][+-]?\d+)?)|b?"(?:[^"\\\n]|\\.)*"|b?'(?:[^'\\\n]|\\.)*'|\b(?:true|false|null|None|True|False|nil|undefined)\b|[A-Za-z_]\w*\s*(?=:))\s*[,:;]?\s*|[\[\]{}(),:+]\s*){8,}"""
+_DATA = re.compile(  # a run begins after a bracket, which spares trying it at every letter
+    r"""(?<=[\[({])\s*(?>(?:-?(?:0[xX][0-9a-fA-F_]+|\d[\w.]*(?:[eE][+-]?\d+)?)|b?"(?:[^"\\\n]|\\.)*"|b?'(?:[^'\\\n]|\\.)*'|\b(?:true|false|null|None|True|False|nil|undefined)\b|[A-Za-z_]\w*\s*(?=:))\s*[,:;]?\s*|[\[\]{}(),:+]\s*){8,}"""
 )
 _BUNDLE = re.compile(r"__webpack_require__\s*\(|^/\*{6}/ |^//# sourceMappingURL=|^\(\(\)\s*=>\s*\{\s*var __m=|^System\.register\(", re.M)
 
