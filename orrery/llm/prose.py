@@ -17,7 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-WORD = re.compile(r"[^\W\d_]+")
+#: A word begins with a letter; what follows belongs to it, so that the parts of an identifier are no words of their own.
+WORD = re.compile(r"\b[^\W\d]\w*")
 GAP = re.compile(r"\n[^\S\n]*\n\s*")
 
 #: Function words by language and class.
@@ -248,7 +249,7 @@ SCHEMA = (
 def quality(documents: DataFrame) -> DataFrame:
     """One row of statistics per document with a text (SCHEMA).
 
-    Words are runs of letters; symbols are characters that are neither letters, digits, blanks nor sentence
+    Words begin with a letter and run on over letters, digits and underscores; symbols are characters that are neither letters, digits, blanks nor sentence
     punctuation; lines are the non-blank ones. `profile` is the structure with most characters, `divergence` its
     blocks' mean, weighted by length. A blank text has zero words, null ratios and the profile `blank`; null texts
     have no row; repeated rows repeat. Texts are taken whole.

@@ -28,7 +28,7 @@ ORACLE = {
     "p9_counts": r"""
 WITH l AS (SELECT doc_id, text, list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '\s+$', '')), lambda x: x <> '') AS ls
   FROM documents WHERE text IS NOT NULL)
-SELECT doc_id, length(text)::BIGINT AS chars, len(regexp_extract_all(lower(text), '[\p{L}\p{Nl}\p{No}]+'))::BIGINT AS words, len(ls)::BIGINT AS lines,
+SELECT doc_id, length(text)::BIGINT AS chars, len(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}_]+'), lambda x: regexp_matches(x, '^[^\p{Nd}]')))::BIGINT AS words, len(ls)::BIGINT AS lines,
   len(list_filter(ls, lambda x: regexp_matches(x, '[.!?:;…]$')))::BIGINT AS punctuated_lines
 FROM l
 """
