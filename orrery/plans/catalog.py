@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from orrery.plans import context, graphs, integrity, quality, relations, scans, search, streams
+from orrery.plans import context, graphs, integrity, lookups, quality, relations, scans, search, streams
 
-MODULES = [integrity, scans, relations, search, graphs, context, streams, quality]
+MODULES = [integrity, scans, relations, search, graphs, context, streams, quality, lookups]
 
 
 def queries():
