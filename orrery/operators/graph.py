@@ -85,6 +85,7 @@ def verified(edges: DataFrame, symbols: DataFrame) -> DataFrame:
     return e.withColumn("cost", F.greatest(F.lit(1), 120 - edge_priority(F.col("kind"), F.col("resolution")) - discount))
 
 
+#: The wording of roles and reasons below is fixed.
 def impact(target: str, edges: DataFrame, symbols: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(files, references) of a free-text target: every file with its strongest role and shortest reason, and the distinct edges."""
     low = target.lower()

@@ -191,7 +191,6 @@ QUERIES = {k: v for k, v in list(globals().items()) if re.match(r"[jaug]\d\d_",
 _STRENGTH = "CASE WHEN kind IN ('calls', 'calls_api', 'routes_to', 'handles_event', 'handles_webhook') THEN 1.0 WHEN kind = 'uses_middleware' THEN 0.9 WHEN kind IN ('imports', 'exports', 'tested_by') THEN 0.8 WHEN kind IN ('reads_from', 'writes_to', 'references') THEN 0.6 WHEN kind = 'contains' THEN 0.25 ELSE 0.2 END"
 _ENDS = "ends AS (SELECT e.edge_seq, e.project_id, e.kind, s.name AS source_symbol, t.name AS target_symbol, coalesce(s.file_path, e.source_file) AS source_file, coalesce(t.file_path, e.target_file) AS target_file FROM edg e LEFT JOIN sym s ON s.project_id = e.project_id AND s.id = e.source_id LEFT JOIN sym t ON t.project_id = e.project_id AND t.id = e.target_id)"
 _STATE = "state AS (SELECT coalesce(f.project_id, t.project_id) AS project_id, coalesce(f.path, t.path) AS path, CASE WHEN f.path IS NULL THEN 'pending' WHEN t.path IS NULL THEN 'deleted' WHEN f.content_hash IS NOT DISTINCT FROM sha256(t.content) THEN 'fresh' ELSE 'stale' END AS state FROM fil f FULL JOIN txt t ON f.project_id = t.project_id AND f.path = t.path)"
-_JAC = "CASE WHEN len({0}) + len(o.{0}) > 0 THEN len(list_intersect(s.{0}, o.{0})) / (len(s.{0}) + len(o.{0}) - len(list_intersect(s.{0}, o.{0}))) ELSE 0.0 END"
 
 
 def _jac(c: str) -> str:

@@ -55,7 +55,15 @@ def r05_quiet_batch(spark: SparkSession, d: str) -> DataFrame:
 def r06_retries(spark: SparkSession, d: str) -> DataFrame:
     """Errors as failures, purchases as successes."""
     o = _events(spark, d).where("event_type IN ('error', 'purchase')")
-    return V.retry_state(o, "user_id", "ts", F.col("event_type") == "error")
+    return V.retry_state(V.retry_counts(o, "user_id", "ts", F.col("event_type") == "error"), "user_id")
+
+
+def r06_retry_stream(spark: SparkSession, d: str) -> DataFrame:
+    """The same by a stream."""
+    s = spark.readStream.schema(_events(spark, d).schema).option("maxFilesPerTrigger", 1).parquet(f"{d}/[e]vents.parquet")
+    s = s.where("event_type IN ('error', 'purchase')")
+    counts = V.run_available(s, lambda b: V.retry_counts(b, "user_id", "ts", F.col("event_type") == "error"), lambda a, b: V.merge_retries(a, b, "user_id"), "retries")
+    return V.retry_state(counts, "user_id")
 
 
 def r01_props(spark: SparkSession, d: str) -> DataFrame:
@@ -81,6 +89,7 @@ def e02_references(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {k: v for k, v in list(globals().items()) if re.match(r"[are]\d\d_", k)}
 
 _DIRTY = "SELECT user_id, min(ts) AS first_seen, max(ts) AS last_seen, count(*) AS events FROM events GROUP BY 1"
+_RETRY = "WITH ok AS (SELECT user_id, max(ts) AS ok FROM events WHERE event_type = 'purchase' GROUP BY 1), n AS (SELECT e.user_id, count(*)::INT AS attempts FROM events e LEFT JOIN ok USING (user_id) WHERE e.event_type = 'error' AND (ok.ok IS NULL OR e.ts > ok.ok) GROUP BY 1) SELECT user_id, attempts, CASE WHEN attempts >= 5 THEN 'dead_letter' ELSE 'pending' END AS status, CASE WHEN attempts < 5 THEN least(30000, 750 * pow(2, attempts - 1))::BIGINT END AS delay_ms FROM n"
 ORACLE = {
     "a18_coalesced_events": "WITH n AS (SELECT strftime(ts, '%Y-%m-%d') AS day, lpad(user_id::VARCHAR, 8, '0') AS path, count(*) AS events FROM events GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY day ORDER BY path) AS r, count(*) OVER (PARTITION BY day) AS paths FROM n) SELECT day, path, events, paths >= 90 OR paths > 100 AS burst, greatest(paths - 100, 0) AS dropped FROM r WHERE r <= 100",
     "r03_tumbling": "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS events, round(sum(value), 4) AS value FROM events GROUP BY ALL",
@@ -89,6 +98,7 @@ ORACLE = {
     "r04_dirty_state": _DIRTY,
     "r04_dirty_stream": _DIRTY,
     "r05_quiet_batch": f"SELECT * FROM ({_DIRTY}) WHERE last_seen < TIMESTAMP '2024-01-31 00:00:00' - INTERVAL 12 HOUR ORDER BY user_id LIMIT 1000",
-    "r06_retries": "WITH ok AS (SELECT user_id, max(ts) AS ok FROM events WHERE event_type = 'purchase' GROUP BY 1), n AS (SELECT e.user_id, count(*)::INT AS attempts FROM events e LEFT JOIN ok USING (user_id) WHERE e.event_type = 'error' AND (ok.ok IS NULL OR e.ts > ok.ok) GROUP BY 1) SELECT user_id, attempts, CASE WHEN attempts >= 5 THEN 'dead_letter' ELSE 'pending' END AS status, CASE WHEN attempts < 5 THEN least(30000, 750 * pow(2, attempts - 1))::BIGINT END AS delay_ms FROM n",
+    "r06_retries": _RETRY,
+    "r06_retry_stream": _RETRY,
     "r01_props": "SELECT json_extract(props, '$.k')::INT AS k, count(*) AS events FROM events GROUP BY 1",
 }

@@ -61,11 +61,25 @@ def quiet_batch(state: DataFrame, path: str, now: Column, quiet: str = "1 day",
     return state.where(F.col("last_seen") < now - F.expr(f"INTERVAL {quiet}")).orderBy(path).limit(most)
 
 
-def retry_state(outcomes: DataFrame, path: str, at: str, failed: Column, most: int = 5, base_ms: int = 750, cap_ms: int = 30_000) -> DataFrame:
-    """(path, attempts, status, delay_ms): failures since the last success, dead after `most`, else with the delay of the next try."""
+def retry_counts(outcomes: DataFrame, path: str, at: str, failed: Column) -> DataFrame:
+    """(path, ok, attempts): whether a path succeeded, and its failures since the last success."""
     good = outcomes.where(~failed).groupBy(path).agg(F.max(at).alias("_ok"))
-    bad = outcomes.where(failed).join(good, path, "left").where(F.col("_ok").isNull() | (F.col(at) > F.col("_ok")))
-    n = bad.groupBy(path).agg(F.count(F.lit(1)).cast("int").alias("attempts"))
+    j = outcomes.join(good, path, "left")
+    since = failed & (F.col("_ok").isNull() | (F.col(at) > F.col("_ok")))
+    return j.groupBy(path).agg(F.max(F.col("_ok").isNotNull()).alias("ok"), F.count_if(since).alias("attempts"))
+
+
+def merge_retries(old: DataFrame, new: DataFrame, path: str) -> DataFrame:
+    """Counts of a later batch on top of earlier ones: a success starts the count anew."""
+    o = old.select(path, F.col("ok").alias("_o"), F.col("attempts").alias("_a"))
+    j = o.join(new, path, "full")
+    attempts = F.when(F.col("ok"), F.col("attempts")).otherwise(F.coalesce("_a", F.lit(0)) + F.coalesce("attempts", F.lit(0)))
+    return j.select(path, (F.coalesce("ok", F.lit(False)) | F.coalesce("_o", F.lit(False))).alias("ok"), attempts.alias("attempts"))
+
+
+def retry_state(counts: DataFrame, path: str, most: int = 5, base_ms: int = 750, cap_ms: int = 30_000) -> DataFrame:
+    """(path, attempts, status, delay_ms) of failing paths: dead after `most`, else with the delay of the next try."""
+    n = counts.where("attempts > 0").select(path, F.col("attempts").cast("int").alias("attempts"))
     delay = F.least(F.lit(float(cap_ms)), base_ms * F.pow(F.lit(2.0), F.least(F.col("attempts") - 1, F.lit(30)))).cast("long")
     dead = F.col("attempts") >= most
     return n.select(path, "attempts", F.when(dead, "dead_letter").otherwise("pending").alias("status"), F.when(~dead, delay).alias("delay_ms"))

@@ -171,8 +171,12 @@ def test_coalescing_and_retries(spark):
     assert [(r["path"], r["events"], r["burst"], r["dropped"]) for r in got] == [("a", 2, True, 1), ("b", 1, True, 1), ("c", 1, True, 1)]
     t = dt.datetime
     o = spark.createDataFrame([("a", t(2024, 1, i), True) for i in range(1, 6)] + [("b", t(2024, 1, 1), True), ("b", t(2024, 1, 2), False), ("b", t(2024, 1, 3), True), ("c", t(2024, 1, 1), False)], "path string, at timestamp, bad boolean")
-    r = {x["path"]: (x["attempts"], x["status"], x["delay_ms"]) for x in V.retry_state(o, "path", "at", F.col("bad")).collect()}
-    assert r == {"a": (5, "dead_letter", None), "b": (1, "pending", 750)}
+    count = lambda x: V.retry_counts(x, "path", "at", F.col("bad"))
+    state = lambda c: {x["path"]: (x["attempts"], x["status"], x["delay_ms"]) for x in V.retry_state(c, "path").collect()}
+    assert state(count(o)) == {"a": (5, "dead_letter", None), "b": (1, "pending", 750)}
+    for day in range(1, 7):  # however the stream is cut into batches
+        cut = F.col("at") < F.lit(t(2024, 1, day))
+        assert state(V.merge_retries(count(o.where(cut)), count(o.where(~cut)), "path")) == state(count(o))
 
 
 def test_dirty_merge_and_liveness(spark):
