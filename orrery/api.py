@@ -74,7 +74,7 @@ class Engine:
     def __init__(self, spark: SparkSession, data: str):
         self.spark, self.data = spark, data
         self.files, self.symbols, self.edges = T.files(spark, data), T.symbols(spark, data), T.edges(spark, data)
-        self.chunks = T.chunks(spark, data, vectors=True)
+        self.chunks = T.chunks(spark, data, *T.CHUNK_COLUMNS, "embedding")
 
     def _of(self, df: DataFrame, project: str | None) -> DataFrame:
         return df if project is None else df.where(F.col("project_id") == project)

@@ -20,7 +20,7 @@ TOP = 30
 
 def _hits(spark: SparkSession, d: str) -> DataFrame:
     """The best chunks of every project for the query, ranked."""
-    c = T.chunks(spark, d)
+    c = T.chunks(spark, d, "project_id", "file_path", "symbol_name", "start_line", "end_line", "content")
     text = X.searchable(F.col("file_path"), F.col("symbol_name"), F.col("content"))
     score = X.chunk_score(text, F.lit(None).cast("double"), X.Profile(QUERY, X.py_tokens(QUERY)))
     h = c.withColumn("score", score).where("score IS NOT NULL")

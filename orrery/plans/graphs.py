@@ -15,7 +15,7 @@ from orrery.sources.tables import with_
 
 
 def _graph(spark: SparkSession, d: str) -> DataFrame:
-    return G.file_graph(T.edges(spark, d), T.symbols(spark, d))
+    return G.file_graph(T.edges(spark, d), T.symbols(spark, d, "file_path", "name"))
 
 
 def g01_file_graph(spark: SparkSession, d: str) -> DataFrame:
@@ -39,7 +39,7 @@ def g02_distances(spark: SparkSession, d: str) -> DataFrame:
 
 def g12_rerank(spark: SparkSession, d: str) -> DataFrame:
     """Every chunk as a keyword hit of score 1, moved by its file's distance from the project's first file."""
-    hits = T.chunks(spark, d).select("project_id", "file_path", "language", F.lit("keyword").alias("source"), F.lit(1.0).alias("score")).distinct()
+    hits = T.chunks(spark, d, "project_id", "file_path", "language").select("project_id", "file_path", "language", F.lit("keyword").alias("source"), F.lit(1.0).alias("score")).distinct()
     r = G.rerank(hits, _distances(spark, d), False, "explain")
     return r.select("project_id", "file_path", "hops", F.round("adjustment", 6).alias("adjustment"), F.round("score", 6).alias("score"))
 

@@ -67,7 +67,7 @@ def pred12_seeds(spark: SparkSession, d: str) -> DataFrame:
 
 def pred13_node_references(spark: SparkSession, d: str) -> DataFrame:
     """`path:name` of each chunk resolved to a symbol: the path as it is before its end, the file itself without a name."""
-    c = T.chunks(spark, d).select("project_id", F.col("id").alias("chunk_id"), slashes(F.col("file_path")).alias("path"), "symbol_name")
+    c = T.chunks(spark, d, "project_id", "file_path", "symbol_name").select("project_id", F.col("id").alias("chunk_id"), slashes(F.col("file_path")).alias("path"), "symbol_name")
     s = T.symbols(spark, d).select("project_id", "id", F.col("file_path").alias("path"), "name", "kind", "start_line")
     j = c.join(s, ["project_id", "path"])
     tier = F.when(F.col("name") == F.col("symbol_name"), 1).when((F.col("kind") == "file") & F.col("symbol_name").isNull(), 2)
@@ -93,7 +93,7 @@ def j16_term_matches(spark: SparkSession, d: str) -> DataFrame:
 
 def x12_hit_reasons(spark: SparkSession, d: str) -> DataFrame:
     """Why a chunk is a hit: the terms it holds, and whether its name, its path or its text does."""
-    c = T.chunks(spark, d)
+    c = T.chunks(spark, d, "file_path", "symbol_name", "content")
     low = F.lower(F.concat_ws("\n", "file_path", "symbol_name", "content"))
     terms = ["harbor", "ledger", "session"]
     found = F.array_compact(F.array(*[F.when(F.contains(low, F.lit(t)), t) for t in terms]))

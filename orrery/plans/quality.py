@@ -17,7 +17,7 @@ from orrery.sources.topology import link_calls, routes, topology_facts
 
 def a21_evaluation(spark: SparkSession, d: str) -> DataFrame:
     """Do chunks of equal content hash to their first id? Each chunk is a query, its file the list by line, the chunk of its own symbol the judgement."""
-    c = T.chunks(spark, d)
+    c = T.chunks(spark, d, "project_id", "file_path", "kind", "start_line")
     lists = c.select(F.concat_ws("|", "project_id", "file_path").alias("query"), F.col("id").alias("item"), F.row_number().over(Window.partitionBy("project_id", "file_path").orderBy("start_line", "id")).alias("rank"))
     want = c.where("kind = 'function'").select(F.concat_ws("|", "project_id", "file_path").alias("query"), F.col("id").alias("item"))
     s = Q.summary(Q.ranks(lists, want), 3)

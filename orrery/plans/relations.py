@@ -15,7 +15,7 @@ from orrery.sources.tables import with_
 
 
 def j02_edge_endpoints(spark: SparkSession, d: str) -> DataFrame:
-    return R.endpoints(T.edges(spark, d), T.symbols(spark, d)).select("edge_seq", "kind", "source_symbol", "target_symbol", "source_file", "target_file")
+    return R.endpoints(T.edges(spark, d), T.symbols(spark, d, "file_path", "name")).select("edge_seq", "kind", "source_symbol", "target_symbol", "source_file", "target_file")
 
 
 def _scan(spark: SparkSession, d: str) -> DataFrame:
@@ -52,16 +52,16 @@ def j10_test_edges(spark: SparkSession, d: str) -> DataFrame:
 
 
 def j11_narrowest_symbol(spark: SparkSession, d: str) -> DataFrame:
-    return R.narrowest(T.edges(spark, d).where("source_file IS NOT NULL"), T.symbols(spark, d))
+    return R.narrowest(T.edges(spark, d).where("source_file IS NOT NULL"), T.symbols(spark, d, "file_path", "kind", "start_line", "end_line"))
 
 
 def j13_callees(spark: SparkSession, d: str) -> DataFrame:
-    c = R.callees(T.edges(spark, d).where("kind = 'calls'"), T.symbols(spark, d))
+    c = R.callees(T.edges(spark, d).where("kind = 'calls'"), T.symbols(spark, d, "file_path", "start_line", "end_line"))
     return c.groupBy("project_id", "id").agg(F.count(F.lit(1)).alias("callees"), F.min("callee").alias("first_callee"))
 
 
 def j14_chunk_of_symbol(spark: SparkSession, d: str) -> DataFrame:
-    return R.chunk_of_symbol(T.symbols(spark, d), T.chunks(spark, d))
+    return R.chunk_of_symbol(T.symbols(spark, d), T.chunks(spark, d, "project_id", "file_path", "symbol_name", "start_line", "end_line"))
 
 
 def j15_route_match(spark: SparkSession, d: str) -> DataFrame:
@@ -128,7 +128,7 @@ def a01_index_status(spark: SparkSession, d: str) -> DataFrame:
     n = lambda df, name: df.groupBy("project_id").agg(F.count(F.lit(1)).alias(name))
     state = j04_freshness(spark, d).groupBy("project_id").agg(*[F.count_if(F.col("state") == s).alias(s) for s in ("fresh", "stale", "pending", "deleted")])
     out = table(spark, d, "projects").select("project_id", "index_generation", "semantic_fresh")
-    for df in (n(T.files(spark, d), "files"), n(T.symbols(spark, d), "symbols"), n(T.edges(spark, d), "edges"), n(T.chunks(spark, d), "chunks"), n(table(spark, d, "skipped_files").select("project_id", "file_path").distinct(), "skipped"), state):
+    for df in (n(T.files(spark, d), "files"), n(T.symbols(spark, d, "kind"), "symbols"), n(T.edges(spark, d), "edges"), n(T.chunks(spark, d, "project_id"), "chunks"), n(table(spark, d, "skipped_files").select("project_id", "file_path").distinct(), "skipped"), state):
         out = out.join(df, "project_id", "left")
     counts = ["files", "symbols", "edges", "chunks", "skipped", "fresh", "stale", "pending", "deleted"]
     return out.fillna(0, counts)

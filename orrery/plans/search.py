@@ -18,6 +18,7 @@ from orrery.sources.tables import with_
 
 QUERY = "refresh harbor ledger session guard"
 REUSE_QUERY = "rate limit token bucket"
+_TEXT = ("file_path", "symbol_name", "content")
 BM25_TERMS = ["bucket", "generation", "tracer"]
 
 
@@ -39,13 +40,13 @@ def x17_word_hashes(spark: SparkSession, d: str) -> DataFrame:
 
 def x17_embedding(spark: SparkSession, d: str) -> DataFrame:
     """Hashed embeddings of the chunks' contents, as non-zero entries."""
-    e = embed_rows(T.chunks(spark, d).select("id", "content"), "id", F.col("content"))
+    e = embed_rows(T.chunks(spark, d, "content"), "id", F.col("content"))
     return e.select("id", "slot", F.round("weight", 9).alias("weight"))
 
 
 def x23_fingerprints(spark: SparkSession, d: str) -> DataFrame:
     """Bodies with names and literals blotted out, by how many chunks share them."""
-    c = T.chunks(spark, d).select("id", normalized_body(F.col("content")).alias("body"))
+    c = T.chunks(spark, d, "content").select("id", normalized_body(F.col("content")).alias("body"))
     return c.groupBy(F.substring(F.sha2("body", 256), 1, 32).alias("fingerprint")).agg(F.count(F.lit(1)).alias("chunks"), F.min("id").alias("first_id"))
 
 
@@ -60,24 +61,24 @@ def s14_bm25(spark: SparkSession, d: str) -> DataFrame:
 
 
 def x06_keyword_topk(spark: SparkSession, d: str) -> DataFrame:
-    k = S.keyword_hits(T.chunks(spark, d), X.Profile(QUERY, X.py_tokens(QUERY)), 40, stems=False)
+    k = S.keyword_hits(T.chunks(spark, d, *_TEXT), X.Profile(QUERY, X.py_tokens(QUERY)), 40, stems=False)
     return k.select("id", "file_path", F.round("score", 6).alias("score"))
 
 
 def _query_vector(spark: SparkSession, d: str) -> list[float]:
-    v = T.chunks(spark, d, vectors=True).where("size(embedding) = 64 AND exists(embedding, x -> x <> 0)")
+    v = T.chunks(spark, d, "embedding").where("size(embedding) = 64 AND exists(embedding, x -> x <> 0)")
     row = v.agg(F.min_by("embedding", "id").alias("e")).first()
     return list(row["e"]) if row and row["e"] else [0.0] * 64
 
 
 def s15_vector_topk(spark: SparkSession, d: str) -> DataFrame:
     """The chunks most similar to the first one, exactly."""
-    v = S.vector_hits(T.chunks(spark, d, vectors=True), _query_vector(spark, d), 40)
+    v = S.vector_hits(T.chunks(spark, d, "file_path", "embedding"), _query_vector(spark, d), 40)
     return v.select("id", "file_path", F.round("score", 6).alias("score"))
 
 
 def _fused(spark: SparkSession, d: str) -> DataFrame:
-    return S.fuse(("keyword", S.keyword_hits(T.chunks(spark, d), X.Profile(QUERY, X.py_tokens(QUERY)), 40, stems=False)), ("semantic", S.vector_hits(T.chunks(spark, d, vectors=True), _query_vector(spark, d), 40)))
+    return S.fuse(("keyword", S.keyword_hits(T.chunks(spark, d, *_TEXT), X.Profile(QUERY, X.py_tokens(QUERY)), 40, stems=False)), ("semantic", S.vector_hits(T.chunks(spark, d, "file_path", "embedding"), _query_vector(spark, d), 40)))
 
 
 def n01_rank_fusion(spark: SparkSession, d: str) -> DataFrame:
@@ -86,14 +87,14 @@ def n01_rank_fusion(spark: SparkSession, d: str) -> DataFrame:
 
 def search_code(spark: SparkSession, d: str) -> DataFrame:
     """Fused keyword and vector search with mode boosts, the 20 best."""
-    hits = S.boosted(_fused(spark, d), T.chunks(spark, d), QUERY, X.resolve_mode(QUERY), 20)
+    hits = S.boosted(_fused(spark, d), T.chunks(spark, d, *_TEXT), QUERY, X.resolve_mode(QUERY), 20)
     return hits.select("id", "file_path", "source", F.round("score", 6).alias("score"))
 
 
 def q03_search_expanded(spark: SparkSession, d: str) -> DataFrame:
     """Keyword search with stems and the names of symbols that the query spells out."""
     profile = S.expanded_names(T.symbols(spark, d), QUERY)
-    return S.keyword_hits(T.chunks(spark, d), profile, 40).select("id", "file_path", F.round("score", 6).alias("score"))
+    return S.keyword_hits(T.chunks(spark, d, *_TEXT), profile, 40).select("id", "file_path", F.round("score", 6).alias("score"))
 
 
 def _symbol_matches(spark: SparkSession, d: str, query: str) -> DataFrame:
@@ -106,7 +107,7 @@ def _symbol_matches(spark: SparkSession, d: str, query: str) -> DataFrame:
 
 def a03_owners(spark: SparkSession, d: str) -> DataFrame:
     """Files that own the query's topic, the 20 best."""
-    c = T.chunks(spark, d)
+    c = T.chunks(spark, d, *_TEXT)
     hits = S.keyword_hits(c, X.Profile(QUERY, X.py_tokens(QUERY)), 50, stems=False)
     low = c.select("id", F.lower(F.concat_ws("\n", "file_path", "symbol_name", "content")).alias("text"))
     m = _symbol_matches(spark, d, QUERY).select("id", "file_path", "name", "score", F.lower(F.concat_ws("\n", "file_path", "name", "signature")).alias("text"))

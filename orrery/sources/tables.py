@@ -15,10 +15,10 @@ CHUNK_COLUMNS = ["project_id", "file_path", "language", "kind", "symbol_name", "
 EDGE_COLUMNS = ["project_id", "source_id", "target_id", "kind", "source_file", "target_file", "target_name", "framework", "resolution", "line", "file_path"]
 
 
-def symbols(spark: SparkSession, d: str) -> DataFrame:
-    """Living symbols, each in its state of the highest generation."""
+def symbols(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    """Living symbols, each in its state of the highest generation; with the columns named, or all."""
     s = table(spark, d, "symbols").withColumn("gone", F.col("deleted_at").isNotNull())
-    return latest(s, ["project_id", "id"], "generation", ["gone", *SYMBOL_COLUMNS]).where("NOT gone").drop("gone")
+    return latest(s, ["project_id", "id"], "generation", ["gone", *(columns or SYMBOL_COLUMNS)]).where("NOT gone").drop("gone")
 
 
 def files(spark: SparkSession, d: str) -> DataFrame:
@@ -32,9 +32,9 @@ def edges(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "edges").groupBy(*EDGE_COLUMNS).agg(F.min("edge_seq").alias("edge_seq"))
 
 
-def chunks(spark: SparkSession, d: str, vectors: bool = False) -> DataFrame:
-    """Chunks in their state of the highest generation."""
-    return latest(table(spark, d, "semantic_chunks"), ["id"], "generation", CHUNK_COLUMNS + ["embedding"] * vectors)
+def chunks(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    """Chunks in their state of the highest generation. Name the columns that are needed: the state is one aggregate, through which unused ones can't be pruned."""
+    return latest(table(spark, d, "semantic_chunks"), ["id"], "generation", list(columns) or CHUNK_COLUMNS)
 
 
 def texts(spark: SparkSession, d: str) -> DataFrame:
