@@ -67,11 +67,16 @@ def similar_pairs(reps: DataFrame, t: float, cap: int = 48, pivots: int = 12, de
     )
     n = F.size("s")
     ordered = cut(ordered.withColumn("w", F.slice("s", 1, n - F.ceil(F.lit(t) * n - F.lit(1e-9)).cast("int") + 1)))
-    level = ordered.select("rep", "s", "w", F.explode("w").alias("first")).withColumns({"region": F.col("first").cast("string"), "home": F.lit(True)})
+    # which sets meet at all is settled on (set, value) rows, before any array is moved
+    slim = ordered.select("rep", F.explode("w").alias("first"))
+    met = slim.groupBy("first").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    level = slim.join(met, "first").join(ordered, "rep").withColumns({"region": F.col("first").cast("string"), "home": F.lit(True), "homes": F.col("size")})
     found: list[DataFrame] = []
     for d in range(depth + 1):
-        sizes = level.groupBy("region").agg(F.count(F.lit(1)).alias("size"), F.count_if("home").alias("homes")).where("size > 1 AND homes > 0")
-        level = cut(level.join(sizes, "region"))
+        if d:
+            sizes = level.groupBy("region").agg(F.count(F.lit(1)).alias("size"), F.count_if("home").alias("homes")).where("size > 1 AND homes > 0")
+            level = level.join(sizes, "region")
+        level = cut(level)
         large = level.where(F.col("size") > cap)
         if d == depth or large.isEmpty():
             found.append(_leaf(level, t, block))
@@ -81,10 +86,8 @@ def similar_pairs(reps: DataFrame, t: float, cap: int = 48, pivots: int = 12, de
         draw = F.pmod(F.xxhash64("rep", "region", F.lit(d)), F.lit(1 << 30)) < F.lit(pivots << 30) / F.col("size")
         drawn = large.where(draw).groupBy("region").agg(F.sort_array(F.collect_list("s")).alias("p"))  # bounded by the draw
         apart = large.join(drawn, "region", "left").withColumn("p", F.coalesce("p", F.array(F.col("s"))))
-        lone = F.size("p") < 2
         apart = apart.withColumn("d", F.transform("p", lambda p: _distance(F.col("s"), p))).drop("p")
         apart = cut(apart.withColumn("near", F.array_position("d", F.array_min("d")).cast("int") - 1).withColumn("dmin", F.array_min("d")).withColumn("lone", F.size("d") < 2))
-        del lone
         radius = apart.where(~F.col("lone")).groupBy("region", F.col("near").alias("q")).agg(F.max("dmin").alias("radius"))
         reach = radius.groupBy("region").agg(F.map_from_entries(F.collect_list(F.struct("q", "radius"))).alias("radii"))  # one entry per pivot
         apart = apart.join(reach, "region", "left")
