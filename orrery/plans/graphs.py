@@ -183,3 +183,12 @@ ORACLE = {
     "a09_diff_review": with_("edg", "sym", "fil") + f", {_G}, c AS (SELECT project_id, path FROM fil WHERE status = 'stale'), h AS (SELECT DISTINCT g.project_id, g.file FROM gr g JOIN c ON c.project_id = g.project_id AND c.path = g.neighbour) SELECT project_id, changed, impacted, tests, {_RISK.format('changed + impacted')} AS risk FROM (SELECT n.project_id, n.changed, coalesce(i.impacted, 0) AS impacted, coalesce(i.tests, 0) AS tests FROM (SELECT project_id, count(*) AS changed FROM c GROUP BY 1) n LEFT JOIN (SELECT project_id, count(*) AS impacted, count(*) FILTER (WHERE regexp_matches(lower(file), '{_TESTY}')) AS tests FROM h GROUP BY 1) i USING (project_id))",
     "t04_topology_edges": with_("edg") + ' SELECT project_id, edge_seq, kind, priority, "to" FROM (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY priority DESC, edge_seq) AS r FROM (SELECT project_id, edge_seq, kind, coalesce(target_name, target_id) AS "to", CASE kind WHEN \'handles_webhook\' THEN 100 WHEN \'calls_api\' THEN 90 WHEN \'routes_to\' THEN 85 WHEN \'uses_middleware\' THEN 84 WHEN \'tested_by\' THEN 82 WHEN \'writes_to\' THEN 78 WHEN \'reads_from\' THEN 76 WHEN \'handles_event\' THEN 74 ELSE CASE WHEN resolution = \'resolved_lsp\' THEN 80 WHEN resolution IN (\'resolved\', \'exact\') THEN 75 ELSE 20 END END AS priority FROM edg WHERE source_file IS NOT NULL AND kind IN (\'calls\', \'calls_api\', \'routes_to\', \'handles_webhook\', \'handles_event\', \'tested_by\', \'uses_middleware\', \'reads_from\', \'writes_to\'))) WHERE r <= 12',
 }
+
+_OK = "resolution IN ('resolved', 'resolved_lsp', 'exact', 'import')"
+VERIFIED = f"""vk AS (SELECT e.*, EXISTS (SELECT 1 FROM sym s WHERE s.project_id = e.project_id AND s.id = e.target_id) AS known FROM edg e),
+vv AS (SELECT *, CASE WHEN resolution = 'resolved_lsp' THEN 'lsp' WHEN resolution IN ('resolved', 'exact') THEN 'ast' WHEN resolution IN ('test_import', 'import') AND kind = 'tested_by' THEN 'test_import' WHEN resolution = 'resource_static' THEN 'resource_rule' WHEN resolution = 'event_static' THEN 'event_rule'
+  WHEN resolution IN ('framework_static', 'framework_call_graph') OR framework IS NOT NULL THEN 'framework_rule' WHEN kind IN ('imports', 'exports', 'contains') THEN 'ast' ELSE 'heuristic' END AS vouched FROM vk),
+vc AS (SELECT *, CASE WHEN vouched IN ('lsp', 'test_import', 'framework_rule') THEN 'high' WHEN vouched = 'ast' AND (known OR coalesce({_OK}, false)) THEN 'high' WHEN vouched IN ('resource_rule', 'event_rule') AND line IS NOT NULL THEN 'medium' WHEN target_name IS NOT NULL OR target_file IS NOT NULL THEN 'medium' ELSE 'low' END AS confidence FROM vv),
+ver AS (SELECT *, greatest(1, 120 - CASE kind WHEN 'calls_api' THEN 100 WHEN 'routes_to' THEN 95 WHEN 'tested_by' THEN 90 WHEN 'handles_webhook' THEN 88 WHEN 'uses_middleware' THEN 84 WHEN 'writes_to' THEN 78 WHEN 'reads_from' THEN 76 WHEN 'handles_event' THEN 74
+  ELSE CASE WHEN resolution = 'resolved_lsp' THEN 72 WHEN resolution IN ('resolved', 'exact', 'import') THEN 70 WHEN kind = 'calls' THEN 60 WHEN kind = 'contains' THEN 55 ELSE 20 END END - CASE confidence WHEN 'high' THEN 25 WHEN 'medium' THEN 12 ELSE 0 END)::INT AS cost FROM vc)"""
+ORACLE["g05_verified_edges"] = with_("edg", "sym") + f", {VERIFIED} SELECT kind, vouched, confidence, cost, count(*) AS edges FROM ver GROUP BY ALL"

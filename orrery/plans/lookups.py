@@ -11,6 +11,7 @@ from orrery.functions import text as X
 from orrery.functions.paths import is_test, slashes
 from orrery.operators import graph as G
 from orrery.operators import relations as R
+from orrery.plans.graphs import VERIFIED
 from orrery.sources import tables as T
 from orrery.sources.tables import with_
 
@@ -167,3 +168,8 @@ ORACLE = {
     "u07_test_overlap": with_("edg") + f" SELECT *, round(tests / importers, 6) AS share FROM (SELECT project_id, target_file, count(*) AS importers, count(*) FILTER (WHERE regexp_matches(lower(source_file), '{_TEST}')) AS tests FROM (SELECT DISTINCT project_id, target_file, source_file FROM edg WHERE kind = 'imports' AND source_file IS NOT NULL AND target_file IS NOT NULL) GROUP BY ALL) WHERE tests > 0",
     "q08_explain_files": with_("edg", "sym") + f", {_ENDS} SELECT s.project_id, s.path, s.symbols, s.exported, coalesce(o.n, 0) AS edges_out, coalesce(i.n, 0) AS edges_in FROM (SELECT project_id, file_path AS path, count(*) AS symbols, count(*) FILTER (WHERE exported) AS exported FROM sym WHERE kind <> 'file' AND file_path IS NOT NULL GROUP BY ALL) s LEFT JOIN (SELECT project_id, sf, count(*) AS n FROM ends GROUP BY ALL) o ON o.project_id = s.project_id AND o.sf = s.path LEFT JOIN (SELECT project_id, tf, count(*) AS n FROM ends GROUP BY ALL) i ON i.project_id = s.project_id AND i.tf = s.path",
 }
+ORACLE["g06_merged_nodes"] = (
+    with_("edg", "sym")
+    + f""", {VERIFIED}, n AS (SELECT project_id, source_id AS id, 'caller' AS role, confidence FROM ver UNION ALL SELECT project_id, target_id, CASE WHEN kind = 'tested_by' THEN 'test' WHEN kind IN ('calls_api', 'routes_to', 'handles_webhook') THEN 'route' WHEN kind = 'uses_middleware' THEN 'middleware' WHEN kind IN ('reads_from', 'writes_to') THEN 'resource' WHEN kind = 'handles_event' THEN 'event' ELSE 'callee' END, confidence FROM ver)
+SELECT project_id, id, min(role) AS role, max(CASE confidence WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END)::INT AS sure, count(*) AS edges FROM n WHERE id IS NOT NULL GROUP BY ALL"""
+)

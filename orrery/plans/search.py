@@ -12,6 +12,7 @@ from orrery.functions import text as X
 from orrery.functions.vectors import embed_rows, fnv1a
 from orrery.operators import relations as R
 from orrery.operators import retrieval as S
+from orrery.plans.relations import ORACLE as RELATIONS
 from orrery.session import table
 from orrery.sources import tables as T
 from orrery.sources.tables import with_
@@ -202,4 +203,22 @@ j AS (SELECT file_path, coalesce(c, 0) + coalesce(s, 0) + CASE WHEN regexp_match
 o AS (SELECT file_path, CASE WHEN test AND (SELECT max(raw) FROM j WHERE NOT test) IS NOT NULL THEN least(raw * 0.55, 0.95 * (SELECT max(raw) FROM j WHERE NOT test)) ELSE raw END AS score FROM j)
 SELECT file_path, round(score, 6) AS score, 0 AS exact, 0 AS names FROM o ORDER BY o.score DESC, file_path LIMIT 20""",
 }
+_KIND = r"""CASE WHEN regexp_matches(file_path, '(^|/)(__tests__|tests?)(/|$)|\.(test|spec)\.[jt]sx?$') THEN 'test_fixture' WHEN regexp_matches(file_path, '\.tsx?$') AND regexp_matches(name, '^use[A-Z]') THEN 'react_hook' WHEN regexp_matches(file_path, '\.tsx$') AND regexp_matches(name, '^[A-Z]') THEN 'component'
+WHEN regexp_matches(file_path, '(?i)api|client|sdk|fetch') OR regexp_matches(name, '(?i)api|client|fetch') THEN 'api_wrapper' WHEN kind = 'type' OR regexp_matches(file_path, '(?i)schema|type|interface') THEN 'type_or_schema'
+WHEN regexp_matches(file_path, '(?i)config|constant|env') OR regexp_matches(name, '^[A-Z0-9_]+$') THEN 'config_constant' WHEN regexp_matches(file_path, '(?i)service|billing|repo|repository') OR kind = 'method' THEN 'service_method' WHEN kind = 'function' THEN 'helper' ELSE 'unknown' END"""
+_REUSE = with_("sym") + f""", h AS (SELECT *, lower(concat_ws(' ', name, array_to_string({_split('name')}, ' '), file_path, coalesce(signature, ''))) AS hay FROM sym WHERE kind NOT IN ('file', 'unknown')),
+d AS (SELECT *, {_OWN_TERMS} AS own FROM h), g AS ({RELATIONS['j18_duplicate_signals']}), u AS ({RELATIONS['a13_callers_and_tests']}),
+c AS (SELECT d.id, d.file_path, d.name, d.kind, coalesce(d.exported, false) AS exported, coalesce(u.callers, 0) AS callers, coalesce(u.tests, 0) AS tests, coalesce(g.duplicates, 0) AS duplicates,
+  own + CASE WHEN coalesce(d.exported, false) THEN 1.2 ELSE 0 END + least(2.0, coalesce(u.callers, 0) * 0.4) + least(1.5, coalesce(u.tests, 0) * 0.8) + CASE WHEN g.duplicates > 0 THEN 2.5 ELSE 0 END + CASE WHEN g.signature_similarity >= 0.75 THEN 0.7 ELSE 0 END + CASE WHEN g.import_overlap >= 0.5 THEN 0.5 ELSE 0 END + CASE WHEN g.callee_overlap >= 0.5 THEN 0.5 ELSE 0 END AS raw
+  FROM d LEFT JOIN g ON g.symbol_id = d.id LEFT JOIN u ON u.id = d.id WHERE own > 0),
+r AS (SELECT id, file_path, name, {_KIND} AS candidate_kind, round(raw, 3)::DOUBLE AS score, CASE WHEN raw >= 3.5 THEN 'high' WHEN raw >= 2 THEN 'medium' ELSE 'low' END AS confidence, exported, callers, tests, duplicates FROM c)
+"""
+ORACLE["q11_reuse_candidates"] = _REUSE + "SELECT * FROM r ORDER BY score DESC, file_path, id LIMIT 50"
+ORACLE["a16_reuse_decision"] = (
+    _REUSE
+    + """, t AS (SELECT * FROM r ORDER BY score DESC, file_path, id LIMIT 8), b AS (SELECT * FROM t ORDER BY score DESC, id DESC LIMIT 1)
+SELECT CASE WHEN b.confidence = 'high' AND b.exported THEN 'reuse' WHEN b.confidence = 'high' THEN 'extend' WHEN b.confidence = 'medium' AND b.exported THEN 'wrap' ELSE 'uncertain' END AS decision,
+CASE WHEN (SELECT count(*) FROM t WHERE duplicates > 0 AND confidence = 'high') > 0 OR b.confidence = 'high' OR (SELECT count(*) FROM t WHERE b.score - score < 1) - 1 >= 2 THEN 'high' WHEN b.confidence = 'medium' OR (SELECT count(*) FROM t) > 1 THEN 'medium' ELSE 'low' END AS duplicate_risk,
+CASE WHEN (SELECT count(*) FROM t WHERE exported AND confidence = 'high') > 0 THEN 'review_required' ELSE 'allow_new' END AS guard FROM b"""
+)
 ORACLE["a03_owners"] = ORACLE["a03_owners"].replace("0 AS exact, 0 AS names", "0::INT AS exact, 0::BIGINT AS names")

@@ -36,8 +36,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Point checkpoint() at the folder named in spark.checkpoint.dir.
 
-    The cluster's own setting always wins. Only where the session has none (tests, a laptop)
-    is a temporary folder taken, which local mode shares by nature.
+    The cluster's own setting always wins. Only in local mode, which shares its disk by nature, is a temporary folder
+    taken where the session names none; on a cluster that is an error.
     """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
@@ -46,6 +46,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
             sc.setCheckpointDir(named)
         return
     if sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="orrery-ckpt-"))
 
 
