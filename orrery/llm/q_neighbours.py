@@ -22,8 +22,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {"p1_found": p1_found, "p1_neighbours": p1_neighbours}
-ORACLE = {
-    "p1_found": """
+_NEAR = """
 WITH cur AS (
   SELECT id, max(embedding) AS e FROM (
     SELECT id, embedding, generation, max(generation) OVER (PARTITION BY id) AS g FROM semantic_chunks
@@ -35,8 +34,10 @@ WITH cur AS (
   SELECT a.id AS a, b.id AS b, round(array_cosine_similarity(a.v, b.v), 4) AS sim
   FROM ok a JOIN ok b ON a.id <> b.id
 ), n AS (
-  SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY sim DESC, b) AS r FROM s WHERE sim >= 0.86
+  SELECT a, b, sim, row_number() OVER (PARTITION BY a ORDER BY sim DESC, b) AS r FROM s WHERE sim >= 0.86
 )
-SELECT DISTINCT least(a, b) AS id_a, greatest(a, b) AS id_b FROM n WHERE r <= 5
-""",
+"""
+ORACLE = {
+    "p1_found": _NEAR + "SELECT DISTINCT least(a, b) AS id_a, greatest(a, b) AS id_b FROM n WHERE r <= 5",
+    "p1_neighbours": _NEAR + "SELECT a AS id, b AS neighbour, sim AS similarity FROM n WHERE r <= 5",
 }
