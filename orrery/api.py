@@ -163,6 +163,25 @@ class Engine:
         return R.duplicate_signals(structures)
 
 
+def doctor(spark: SparkSession, data: str) -> DataFrame:
+    """(check, passed, detail): whether the tables are there, the relations hold rows, searches answer, and checkpoints can be written."""
+    from orrery.session import cut
+
+    def run(name, f):
+        try:
+            n = f()
+            return (name, bool(n), str(n))
+        except Exception as e:  # a failing check is a finding
+            return (name, False, f"{type(e).__name__}: {e}"[:200])
+
+    checks = {
+        "projects": lambda: spark.read.parquet(f"{data}/projects.parquet").count(), "files": lambda: T.files(spark, data).limit(1).count(), "symbols": lambda: T.symbols(spark, data).limit(1).count(),
+        "edges": lambda: T.edges(spark, data).limit(1).count(), "chunks": lambda: T.chunks(spark, data, "content").limit(1).count(), "search": lambda: Engine(spark, data).search_code("a", k=1).limit(1).count(),
+        "checkpoint": lambda: cut(spark.range(1)).count(),
+    }
+    return spark.createDataFrame([run(n, f) for n, f in checks.items()], "check string, passed boolean, detail string")
+
+
 def index_tree(store: Store, root: str, project_id: str, paths: DataFrame | None = None) -> dict[str, int]:
     """Index a source tree into a store: all of it the first time, then only what changed and what depends on that.
 

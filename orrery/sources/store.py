@@ -173,3 +173,15 @@ def retrying(embed, texts: list[str], attempts: int = 3) -> list[list[float]]:
 def liveness(heartbeat_age_ms: Column, exited: Column, limit_ms: int = 30_000) -> Column:
     """State of a watcher by its last heartbeat: running, stale, dead or not_running."""
     return F.when(heartbeat_age_ms.isNull(), "not_running").when(exited, "dead").when(heartbeat_age_ms > limit_ms, "stale").otherwise("running")
+
+
+def explain_failure(error: Exception | str) -> str:
+    """What kind of failure an embedding provider's error is: rate_limit, auth, timeout, network, bad_response or unknown."""
+    import re
+
+    text = f"{type(error).__name__}: {error}".lower() if isinstance(error, Exception) else str(error).lower()
+    kinds = {
+        "rate_limit": r"\b429\b|rate.?limit|too many requests", "auth": r"\b40[13]\b|unauthori|forbidden|api.?key", "timeout": r"timed? ?out|timeout|deadline",
+        "network": r"connection|refused|unreachable|resolve|dns|reset by peer", "bad_response": r"finite|dimension|vector|json|\b5\d\d\b",
+    }
+    return next((k for k, p in kinds.items() if re.search(p, text)), "unknown")

@@ -5,7 +5,8 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from orrery.api import Engine
+from orrery.api import Engine, doctor
+from orrery.sources.store import explain_failure
 
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
@@ -63,3 +64,14 @@ def test_review_diff(engine):
     path = engine.edges.where("kind = 'imports' AND target_file IS NOT NULL").first()["target_file"]
     out = engine.review_diff(f"diff --git a/{path} b/{path}\n--- a/{path}\n+++ b/{path}\n@@ -1 +1 @@\n-a\n+b\n").collect()
     assert [r["path"] for r in out] == [path] and out[0]["impacted"] >= 1
+
+
+def test_doctor(spark, tmp_path):
+    good = {r["check"]: r["passed"] for r in doctor(spark, DATA).collect()}
+    assert good["files"] and good["symbols"] and good["checkpoint"]
+    bad = {r["check"]: r["passed"] for r in doctor(spark, str(tmp_path)).collect()}
+    assert not bad["files"] and not bad["search"] and bad["checkpoint"]
+
+
+def test_failures_are_told_apart():
+    assert [explain_failure(x) for x in ("HTTP 429", "401 Unauthorized", TimeoutError("timed out"), ConnectionError("refused"), "expected dimension 64", "odd")] == ["rate_limit", "auth", "timeout", "network", "bad_response", "unknown"]
