@@ -3,14 +3,16 @@
 The Jaccard distance d = 1 - |a & b| / |a | b| is a metric, so that a document within eps of another lies, for any
 pivot p, within eps of that other's distance to p.
 
-Level 0 takes singletons {t} as pivots: they are points of the same space, and unlike pivots drawn from the
-documents they tell unrelated sparse sets apart (most documents are at distance 1 from nearly every other document,
-where the triangle inequality excludes nothing). A set is at distance 1 - 1/|a| from the pivots of its own values and at
-1 from all others; ties go to the rarest value. Its window is the shortest run of its values in that order which
-every set within eps must meet (a set keeps at least a share t of its values, so the |a| - ceil(t|a|) + 1 rarest do).
-
-A region that holds more than `cap` sets is divided again: documents drawn by hash become its pivots, each member goes
-to the region of the nearest, and is replicated into every other region whose pivot p has
+The first levels take small sets of values as pivots: they are points of the same space, and unlike pivots drawn from
+the documents they tell unrelated sparse sets apart (most documents are at distance 1 from nearly every other document,
+where the triangle inequality excludes nothing). Level 1 has the singletons {t}: a set is at distance 1 - 1/|a| from those of
+its own values and at 1 from all others; ties go to the rarest value. Its window is the shortest run of its values in
+that order which every set within eps must meet: a set keeps at least a share t of its values, so the first value that two
+such sets share is among the |a| - ceil(t|a|) + 1 rarest of each, and the k-th among the |a| - ceil(t|a|) + k rarest. A region
+of more than `cap` sets is therefore divided by the next shared value, {t, u} and {t, u, v}, up to `values` of them.
+
+What is still large by then are sets that lie close to each other. Documents drawn by hash become pivots, each member
+goes to the region of the nearest, and is replicated into every other region whose pivot p has
 d(x, p) <= min(d(x, home) + 2 eps, radius(p) + eps). This repeats until regions are small, or stop shrinking; then
 the pairs inside a region are verified. All of it is DataFrame operations on arrays of 64-bit value fingerprints, and
 pairs that pass are verified once more on the values themselves.
@@ -50,12 +52,11 @@ def classes(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     return reps.select("rep", "vals"), keyed.select("id", "key").join(reps.select("key", "rep"), "key").select("id", "rep")
 
 
-def similar_pairs(reps: DataFrame, t: float, cap: int = 48, pivots: int = 12, depth: int = 6, block: int = 512) -> DataFrame:
+def similar_pairs(reps: DataFrame, t: float, cap: int = 24, values: int = 3, pivots: int = 12, depth: int = 8, block: int = 512) -> DataFrame:
     """(a, b, similarity), a < b: all pairs of distinct sets (rep, vals) whose Jaccard similarity is at least t > 0.
 
     No pair is lost and none is approximate. Empty sets are not in `reps`; an empty table gives an empty result.
     """
-    eps = 1.0 - t
     occ = reps.select("rep", F.explode("vals").alias("v"))
     freq = occ.groupBy("v").agg(F.count(F.lit(1)).alias("f"))
     # values in order of rarity, as 64-bit fingerprints
@@ -65,46 +66,34 @@ def similar_pairs(reps: DataFrame, t: float, cap: int = 48, pivots: int = 12, de
         .agg(F.array_sort(F.collect_list(F.struct("f", "v"))).alias("o"))  # as long as the set itself
         .select("rep", F.transform("o", lambda x: F.xxhash64(x["v"])).alias("s"))
     )
+    ordered = cut(ordered)
     n = F.size("s")
-    ordered = cut(ordered.withColumn("w", F.slice("s", 1, n - F.ceil(F.lit(t) * n - F.lit(1e-9)).cast("int") + 1)))
+    spare = n - F.ceil(F.lit(t) * n - F.lit(1e-9)).cast("int")  # values that a set within the threshold may lack
     # which sets meet at all is settled on (set, value) rows, before any array is moved
-    slim = ordered.select("rep", F.explode("w").alias("first"))
+    slim = ordered.select("rep", F.explode(F.slice("s", 1, spare + 1)).alias("first"))
     met = slim.groupBy("first").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    level = slim.join(met, "first").join(ordered, "rep").withColumns({"region": F.col("first").cast("string"), "home": F.lit(True), "homes": F.col("size")})
+    level = slim.join(met, "first").join(ordered, "rep").select("rep", "s", F.array("first").alias("path"), F.col("first").cast("string").alias("region"), F.lit(True).alias("home"), "size")
     found: list[DataFrame] = []
     for d in range(depth + 1):
         if d:
             sizes = level.groupBy("region").agg(F.count(F.lit(1)).alias("size"), F.count_if("home").alias("homes")).where("size > 1 AND homes > 0")
-            level = level.join(sizes, "region")
+            level = level.join(sizes, "region").drop("homes")
         level = cut(level)
         large = level.where(F.col("size") > cap)
         if d == depth or large.isEmpty():
             found.append(_leaf(level, t, block))
             break
         found.append(_leaf(level.where(F.col("size") <= cap), t, block))
-        # pivots: about `pivots` members, drawn by hash; a region from which none is drawn waits a level
-        draw = F.pmod(F.xxhash64("rep", "region", F.lit(d)), F.lit(1 << 30)) < F.lit(pivots << 30) / F.col("size")
-        drawn = large.where(draw).groupBy("region").agg(F.sort_array(F.collect_list("s")).alias("p"))  # bounded by the draw
-        apart = large.join(drawn, "region", "left").withColumn("p", F.coalesce("p", F.array(F.col("s"))))
-        apart = apart.withColumn("d", F.transform("p", lambda p: _distance(F.col("s"), p))).drop("p")
-        apart = cut(apart.withColumn("near", F.array_position("d", F.array_min("d")).cast("int") - 1).withColumn("dmin", F.array_min("d")).withColumn("lone", F.size("d") < 2))
-        radius = apart.where(~F.col("lone")).groupBy("region", F.col("near").alias("q")).agg(F.max("dmin").alias("radius"))
-        reach = radius.groupBy("region").agg(F.map_from_entries(F.collect_list(F.struct("q", "radius"))).alias("radii"))  # one entry per pivot
-        apart = apart.join(reach, "region", "left")
-        q = F.explode(F.filter(F.transform("d", lambda x, i: F.struct(i.alias("q"), x.alias("x"))), lambda z: (z["q"] == F.col("near")) | ((z["x"] <= F.col("dmin") + 2 * eps + 1e-9) & F.col("radii").isNotNull() & (z["x"] <= F.element_at("radii", z["q"]) + eps + 1e-9)))).alias("z")
-        moved = apart.select("rep", "s", "w", "first", "region", "home", "near", "size", "lone", q)
-        moved = moved.select(
-            "rep", "s", "w", "first",
-            F.when(F.col("lone"), F.col("region")).otherwise(F.concat_ws("/", "region", F.col("z.q"))).alias("region"),
-            (F.col("home") & (F.col("near") == F.col("z.q"))).alias("home"),
-            F.col("size").alias("before"),
-        )
-        # a region that did not shrink cannot be told apart by pivots: it is joined as it is
-        after = moved.groupBy("region").agg(F.count(F.lit(1)).alias("after"), F.max("before").alias("b"))
-        moved = cut(moved.join(after, "region"))
-        stuck = (F.col("after") > cap) & (F.col("after") > 0.9 * F.col("b")) & F.col("region").contains("/")
-        found.append(_leaf(moved.where(stuck).withColumn("size", F.col("after")), t, block))
-        level = moved.where(~stuck).select("rep", "s", "w", "first", "region", "home")
+        # by the next shared value
+        at = F.array_position("s", F.element_at("path", -1)).cast("int")
+        rest = F.slice("s", at + 1, F.greatest(spare + F.size("path") + 1 - at, F.lit(0)))
+        by_value = large.where(F.size("path") < values).select("rep", "s", "path", "region", "home", F.explode(rest).alias("v"))
+        level = by_value.select("rep", "s", F.concat("path", F.array("v")).alias("path"), F.concat_ws(".", "region", F.col("v").cast("string")).alias("region"), "home")
+        close = large.where(F.size("path") >= values)
+        if not close.isEmpty():
+            stuck, moved = _divide(close, d, t, cap, pivots)
+            found.append(_leaf(stuck, t, block))
+            level = level.unionByName(moved)
     pairs = found[0]
     for f in found[1:]:
         pairs = pairs.unionByName(f)
@@ -115,19 +104,49 @@ def similar_pairs(reps: DataFrame, t: float, cap: int = 48, pivots: int = 12, de
     return checked.where(_passes(F.col("n"), na, nb, t)).select("a", "b", (F.col("n") / (na + nb - F.col("n"))).alias("similarity"))
 
 
+def _divide(close: DataFrame, d: int, t: float, cap: int, pivots: int) -> tuple[DataFrame, DataFrame]:
+    """(rows of regions that pivots can't tell apart, rows of the new regions) by document pivots."""
+    eps = 1.0 - t
+    # about `pivots` members, drawn by hash; a region from which fewer than two are drawn waits a level
+    draw = F.pmod(F.xxhash64("rep", "region", F.lit(d)), F.lit(1 << 30)) < F.lit(pivots << 30) / F.col("size")
+    drawn = close.where(draw).groupBy("region").agg(F.sort_array(F.collect_list("s")).alias("p"))  # bounded by the draw
+    apart = close.join(drawn, "region", "left").withColumn("p", F.coalesce("p", F.array(F.col("s"))))
+    apart = apart.withColumn("d", F.transform("p", lambda p: _distance(F.col("s"), p))).drop("p")
+    apart = cut(apart.withColumns({"near": F.array_position("d", F.array_min("d")).cast("int") - 1, "dmin": F.array_min("d"), "lone": F.size("d") < 2}))
+    radius = apart.where(~F.col("lone")).groupBy("region", F.col("near").alias("q")).agg(F.max("dmin").alias("radius"))
+    reach = radius.groupBy("region").agg(F.map_from_entries(F.collect_list(F.struct("q", "radius"))).alias("radii"))  # one entry per pivot
+    apart = apart.join(reach, "region", "left")
+
+    def within(z: Column) -> Column:
+        near = (z["x"] <= F.col("dmin") + 2 * eps + 1e-9) & F.col("radii").isNotNull() & (z["x"] <= F.element_at("radii", z["q"]) + eps + 1e-9)
+        return (z["q"] == F.col("near")) | near
+
+    z = F.explode(F.filter(F.transform("d", lambda x, i: F.struct(i.alias("q"), x.alias("x"))), within)).alias("z")
+    moved = apart.select("rep", "s", "path", "region", "home", "near", "size", "lone", z)
+    moved = moved.select(
+        "rep", "s", "path",
+        F.when(F.col("lone"), F.col("region")).otherwise(F.concat_ws("/", "region", F.col("z.q").cast("string"))).alias("region"),
+        (F.col("home") & (F.col("near") == F.col("z.q"))).alias("home"), F.col("size").alias("before"), "lone",
+    )
+    after = moved.groupBy("region").agg(F.count(F.lit(1)).alias("size"))
+    moved = cut(moved.join(after, "region"))
+    # a region that did not shrink cannot be told apart by pivots: it is joined as it is
+    stuck = (F.col("size") > cap) & (F.col("size") > 0.9 * F.col("before")) & ~F.col("lone")
+    columns = ["rep", "s", "path", "region", "home"]
+    return moved.where(stuck).select(*columns, "size"), moved.where(~stuck).select(*columns)
+
+
 def _leaf(level: DataFrame, t: float, block: int) -> DataFrame:
     """Pairs (a, b) inside regions, at least one of them at home there; regions larger than a block are compared block by block."""
-    blocks = F.ceil(F.col("size") / F.lit(block)).cast("int")
-    rows = level.withColumn("blocks", blocks)
+    rows = level.withColumn("blocks", F.ceil(F.col("size") / F.lit(block)).cast("int"))
     mine = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    left = rows.where("home").select("region", mine.alias("block"), "first", F.col("rep").alias("a"), F.col("s").alias("sa"), F.col("w").alias("wa"))
-    right = rows.select("region", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("rep").alias("b"), F.col("s").alias("sb"), F.col("w").alias("wb"), F.col("home").alias("hb"))
+    left = rows.where("home").select("region", mine.alias("block"), "path", F.col("rep").alias("a"), F.col("s").alias("sa"))
+    right = rows.select("region", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("rep").alias("b"), F.col("s").alias("sb"), F.col("home").alias("hb"))
     na, nb = F.size("sa"), F.size("sb")
     near = (F.col("a") < F.col("b")) | (~F.col("hb") & (F.col("a") > F.col("b")))  # two at home meet once
     pairs = left.join(right, ["region", "block"]).where(near & (na >= F.lit(t) * nb - 1e-9) & (nb >= F.lit(t) * na - 1e-9))
-    # of the level-0 regions that two sets share, the first one answers
-    pairs = pairs.where(F.element_at(F.array_intersect("wa", "wb"), 1) == F.col("first"))
-    pairs = pairs.where(_passes(_shared(F.col("sa"), F.col("sb")), na, nb, t))
+    # of the regions of values that two sets share, the one of their first shared values answers
+    pairs = pairs.withColumn("both", F.array_intersect("sa", "sb")).where(_passes(F.size("both"), na, nb, t) & (F.slice("both", F.lit(1), F.size("path")) == F.col("path")))
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 

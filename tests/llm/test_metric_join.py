@@ -28,12 +28,12 @@ def _sets(seed, hot):
     return out
 
 
-@pytest.mark.parametrize("t,cap,block", [(0.7, 16, 512), (0.8, 8, 10), (0.5, 20, 512)])
-def test_equals_brute_force(spark, t, cap, block):
+@pytest.mark.parametrize("t,cap,block,values", [(0.7, 16, 512, 1), (0.7, 16, 512, 3), (0.8, 8, 10, 2), (0.5, 20, 512, 1), (0.5, 10, 7, 2)])
+def test_equals_brute_force(spark, t, cap, block, values):
     sets = _sets(3, 150)
     recs = spark.createDataFrame([(k, list(v), "x") for k, v in sets.items()], "id string, vals array<string>, rep string").select("id", F.array_sort("vals").alias("vals"))
     reps, members = classes(recs.union(recs))
-    pairs = similar_pairs(reps, t, cap=cap, pivots=5, block=block)
+    pairs = similar_pairs(reps, t, cap=cap, values=values, pivots=5, block=block)
     got = [(r["id_a"], r["id_b"]) for r in expand(pairs, members).collect()]
     assert len(got) == len(set(got)) and set(got) == _brute(sets, t)
 
