@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from copy import copy
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -82,13 +84,19 @@ class Engine:
     def index_status(self) -> DataFrame:
         return plan.a01_index_status(self.spark, self.data)
 
+    def _fresh(self, df: DataFrame) -> DataFrame:
+        stale = self.files.where("status IN ('stale', 'deleted')").select("project_id", F.col("path").alias("file_path"))
+        return df.join(stale, ["project_id", "file_path"], "left_anti")
+
+    def fused(self, query: str, project: str | None = None, k: int = 20, embed=py_embed) -> DataFrame:
+        """Keyword and vector lists of twice k hits each, fused; stale files left out before the limits."""
+        profile = S.expanded_names(self._of(self.symbols, project), query)
+        chunks = self._fresh(self._of(self.chunks, project))
+        return S.fuse(("keyword", S.keyword_hits(chunks, profile, 2 * k)), ("semantic", S.vector_hits(chunks, embed(query), 2 * k)))
+
     def search_code(self, query: str, project: str | None = None, mode: str | None = None, k: int = 20, embed=py_embed) -> DataFrame:
         """Ranked hits: keyword and vector lists, fused and boosted; stale files left out before the limit."""
-        profile = S.expanded_names(self._of(self.symbols, project), query)
-        stale = self.files.where("status IN ('stale', 'deleted')").select("project_id", F.col("path").alias("file_path"))
-        chunks = self._of(self.chunks, project).join(stale, ["project_id", "file_path"], "left_anti")
-        fused = S.fuse(("keyword", S.keyword_hits(chunks, profile, 2 * k)), ("semantic", S.vector_hits(chunks, embed(query), 2 * k)))
-        return S.boosted(fused, chunks, query, X.resolve_mode(query, mode), k)
+        return S.boosted(self.fused(query, project, k, embed), self._of(self.chunks, project), query, X.resolve_mode(query, mode), k)
 
     def get_context(self, query: str, project: str | None = None, mode: str | None = None, budget: int = 18_000) -> DataFrame:
         hits = self.search_code(query, project, mode)
@@ -115,17 +123,46 @@ class Engine:
         body = F.when(F.length(body) + 120 > budget, C.skeleton(F.col("content"))).otherwise(body)
         return c.select("project_id", "id", "file_path", "symbol_name", body.alias("content"))
 
-    def find_owner(self, query: str, project: str | None = None, k: int = 5) -> DataFrame:
-        profile = X.Profile(query, X.py_tokens(query))
-        chunks = self._of(self.chunks, project)
-        low = chunks.select("id", F.lower(F.concat_ws("\n", "file_path", "symbol_name", "content")).alias("text"))
-        hits = S.keyword_hits(chunks, profile, max(8 * k, 50)).join(low, "id")
-        s = self._of(self.symbols, project).where("kind <> 'file'")
+    def owner_matches(self, query: str, project: str | None = None, profile: X.Profile | None = None) -> DataFrame:
+        """(id, file_path, name, score, text): symbols of files that aren't stale which the query names."""
+        profile = profile or S.expanded_names(self._of(self.symbols, project), query)
+        s = self._fresh(self._of(self.symbols, project)).where("kind <> 'file'")
         cov = S.with_stems(s, "id", F.col("name")).withColumn("coverage", X.symbol_coverage(F.col("parts"), F.col("stems"), profile)).select("id", "coverage")
         m = s.join(cov, "id", "left").withColumn("t", X.searchable(F.col("name"), F.col("file_path"), F.col("signature")))
         m = m.withColumn("score", X.symbol_score(F.col("t"), F.col("coverage"), profile)).where("score IS NOT NULL")
-        m = m.select("id", "file_path", "name", "score", F.lower(F.concat_ws("\n", "file_path", "name", "signature")).alias("text"))
-        return S.owners(hits, m, query).orderBy(F.desc("score"), "file_path").limit(k)
+        return m.select("id", "file_path", "name", "score", F.lower(F.concat_ws("\n", "file_path", "name", "signature")).alias("text"))
+
+    def find_owner(self, query: str, project: str | None = None, k: int = 5, profile: X.Profile | None = None) -> DataFrame:
+        """The k best owners; stale files left out before the limits."""
+        profile = profile or S.expanded_names(self._of(self.symbols, project), query)
+        chunks = self._fresh(self._of(self.chunks, project))
+        low = chunks.select("id", F.lower(F.concat_ws("\n", "file_path", "symbol_name", "content")).alias("text"))
+        hits = S.keyword_hits(chunks, profile, max(8 * k, 50)).join(low, "id")
+        return S.owners(hits, self.owner_matches(query, project, profile), query).orderBy(F.desc("score"), "file_path").limit(k)
+
+    def find_reuse_candidates(self, query: str, structures: DataFrame, project: str | None = None, owners: int = 8) -> DataFrame:
+        """What a request may reuse, unordered: drafts of search hits, owners and similar symbols, their structural duplicates, all scored.
+
+        `structures` is (symbol_id, body_fingerprint, signature_tokens, imports, callees), one row per symbol. Stale files
+        are left out of everything.
+        """
+        from orrery.session import cut
+
+        e = copy(self)  # the relations made once, as each is read several times
+        e.files = cut(self.files.where("status IN ('stale', 'deleted')").select("project_id", "path", "status"))
+        e.symbols = cut(self._of(self.symbols, project).select("project_id", "id", "file_path", "name", "kind", "signature", "exported", "start_line"))
+        e.chunks = cut(e._fresh(self._of(self.chunks, project).select("id", "project_id", "file_path", "symbol_name", "content", "embedding")))
+        s = cut(e._fresh(e.symbols.where("kind <> 'file'")))
+        profile = S.expanded_names(e.symbols, query)
+        hits = e.search_code(query).join(e.chunks.select("id", "project_id", "symbol_name"), "id").select("project_id", "file_path", F.nullif("symbol_name", F.lit("")).alias("name"), "score")
+        at = e.chunks.select("project_id", "file_path").union(s.select("project_id", "file_path")).distinct()
+        own = cut(e.find_owner(query, None, owners, profile).select("file_path", "score").join(at, "file_path").select("project_id", "file_path", "score"))
+        drafts = cut(S.reuse_drafts(s, hits, own, e.owner_matches(query, None, profile), X.reuse_terms(query)))
+        st = cut(structures.join(s.select(F.col("id").alias("symbol_id")), "symbol_id", "left_semi"))
+        edges = self._of(self.edges, project)
+        for side in ("source_file", "target_file"):
+            edges = edges.join(e.files.select("project_id", F.col("path").alias(side)), ["project_id", side], "left_anti")
+        return S.reuse_scores(S.with_duplicates(drafts, s, st), R.duplicate_signals(st), R.usage(s, edges))
 
     def impact_analysis(self, target: str, project: str | None = None) -> tuple[DataFrame, DataFrame]:
         return G.impact(target, self._of(self.edges, project), self._of(self.symbols, project))

@@ -123,3 +123,10 @@ def duplicate_signals(structures: DataFrame, window: int = 65, least: float = 0.
     return j.groupBy("symbol_id").agg(
         F.sum(F.when(F.col("cal") >= least, 1).otherwise(0)).alias("duplicates"), F.round(F.max("sig"), 3).alias("signature_similarity"), F.round(F.max("imp"), 3).alias("import_overlap"), F.round(F.max("cal"), 3).alias("callee_overlap")
     )
+
+
+def usage(symbols: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, callers, tests): calls that reach each symbol, and tests of it."""
+    callers = edges.where("kind = 'calls'").groupBy("project_id", F.col("target_id").alias("id")).agg(F.count(F.lit(1)).alias("callers"))
+    tests = edges.where("kind = 'tested_by'").groupBy("project_id", F.col("source_id").alias("id")).agg(F.count(F.lit(1)).alias("tests"))
+    return symbols.select("project_id", "id").join(callers, ["project_id", "id"], "left").join(tests, ["project_id", "id"], "left").select("id", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("callers", "tests")])

@@ -148,6 +148,24 @@ def a16_reuse_decision(spark: SparkSession, d: str) -> DataFrame:
     return S.reuse_decision(_reuse(spark, d).orderBy(F.desc("score"), "file_path", "id").limit(8))
 
 
+def _whole_reuse(spark: SparkSession, d: str) -> DataFrame:
+    from orrery.api import Engine
+
+    st = table(spark, d, "symbol_structures").select("symbol_id", "body_fingerprint", "signature_tokens", "imports", "callees", "generation")
+    st = T.latest(st, ["symbol_id"], "generation", ["body_fingerprint", "signature_tokens", "imports", "callees"])
+    return Engine(spark, d).find_reuse_candidates(REUSE_QUERY, st).orderBy(F.desc("score"), "file_path", "id")
+
+
+def q11_find_reuse_candidates(spark: SparkSession, d: str) -> DataFrame:
+    """Reuse candidates with drafts of search hits, owners and structural duplicates too, which q11_reuse_candidates leaves out."""
+    return _whole_reuse(spark, d).limit(50)
+
+
+def a16_find_reuse_decision(spark: SparkSession, d: str) -> DataFrame:
+    """The decision over the 8 best of q11_find_reuse_candidates."""
+    return S.reuse_decision(_whole_reuse(spark, d).limit(8))
+
+
 QUERIES = {k: v for k, v in list(globals().items()) if re.match(r"[xsnaq]\d\d_|search_code$", k)}
 
 

@@ -174,3 +174,25 @@ def test_evaluation(spark):
     r = s.first()
     assert (r["queries"], round(r["hit_rate"], 4), round(r["mrr"], 4)) == (3, 0.3333, 0.25)
     assert {x["metric"]: x["passed"] for x in gate(s, {"mrr": (">=", 0.2), "hit_rate": (">=", 0.9)}).collect()} == {"mrr": True, "hit_rate": False}
+
+
+def test_reuse_drafts_take_hits_owners_and_duplicates(spark):
+    sym = [
+        ("p", "s1", "src/bucket.ts", "takeBucket", "function", None, False, 1), ("p", "s2", "src/a.ts", "refill", "function", None, False, 1), ("p", "s3", "src/b.ts", "again", "function", None, False, 1),
+        ("p", "s4", "src/c.ts", "open", "function", None, True, 1), ("p", "s5", "src/d.ts", "alone", "function", None, False, 1), ("p", "s6", "src/own.ts", "x1", "function", None, False, 1),
+        ("p", "s7", "src/own.ts", "x2", "function", None, False, 2), ("p", "s8", "src/own.ts", "x3", "function", None, False, 3), ("p", "s9", "src/e.ts", "twin", "function", None, False, 1),
+    ]
+    s = spark.createDataFrame(sym, "project_id string, id string, file_path string, name string, kind string, signature string, exported boolean, start_line int")
+    hits = spark.createDataFrame([("p", "src/a.ts", "refill", 0.75), ("p", "docs/x.md", None, 0.01)], "project_id string, file_path string, name string, score double")
+    own = spark.createDataFrame([("p", "src/a.ts", 4.0), ("p", "src/own.ts", 2.0), ("p", "notes.md", 1.0)], "project_id string, file_path string, score double")
+    m = spark.createDataFrame([("s2",)], "id string")
+    drafts = S.reuse_drafts(s, hits, own, m, ["bucket"])
+    key = lambda df: {(r["file_path"], r["name"]): (r["id"], r["score"]) for r in df.collect()}
+    assert key(drafts) == {
+        ("src/bucket.ts", "takeBucket"): ("s1", 1.2), ("src/a.ts", "refill"): ("s2", 6.0), ("src/c.ts", "open"): ("s4", 0.5), ("docs/x.md", None): (None, 0.1),
+        ("src/own.ts", "x1"): ("s6", 2.5), ("src/own.ts", "x2"): ("s7", 2.5), ("notes.md", None): (None, 1.0),
+    }
+    st = spark.createDataFrame([("s1", "f"), ("s2", "f"), ("s3", "f"), ("s4", "g"), ("s9", "g"), ("s5", "h"), ("s6", None)], "symbol_id string, body_fingerprint string")
+    got = key(S.with_duplicates(drafts, s, st))
+    want = key(drafts) | {("src/bucket.ts", "takeBucket"): ("s1", 4.8), ("src/a.ts", "refill"): ("s2", 7.5), ("src/b.ts", "again"): ("s3", 5.1), ("src/e.ts", "twin"): ("s9", 1.5)}
+    assert got == want
