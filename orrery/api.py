@@ -88,11 +88,14 @@ class Engine:
         stale = self.files.where("status IN ('stale', 'deleted')").select("project_id", F.col("path").alias("file_path"))
         return df.join(stale, ["project_id", "file_path"], "left_anti")
 
+    def keyword(self, query: str, k: int, project: str | None = None) -> DataFrame:
+        """The k best chunks by text, of files that aren't stale."""
+        return S.keyword_hits(self._fresh(self._of(self.chunks, project)), S.expanded_names(self._of(self.symbols, project), query), k)
+
     def fused(self, query: str, project: str | None = None, k: int = 20, embed=py_embed) -> DataFrame:
         """Keyword and vector lists of twice k hits each, fused; stale files left out before the limits."""
-        profile = S.expanded_names(self._of(self.symbols, project), query)
         chunks = self._fresh(self._of(self.chunks, project))
-        return S.fuse(("keyword", S.keyword_hits(chunks, profile, 2 * k)), ("semantic", S.vector_hits(chunks, embed(query), 2 * k)))
+        return S.fuse(("keyword", self.keyword(query, 2 * k, project)), ("semantic", S.vector_hits(chunks, embed(query), 2 * k)))
 
     def search_code(self, query: str, project: str | None = None, mode: str | None = None, k: int = 20, embed=py_embed) -> DataFrame:
         """Ranked hits: keyword and vector lists, fused and boosted; stale files left out before the limit."""

@@ -148,12 +148,37 @@ def a16_reuse_decision(spark: SparkSession, d: str) -> DataFrame:
     return S.reuse_decision(_reuse(spark, d).orderBy(F.desc("score"), "file_path", "id").limit(8))
 
 
-def _whole_reuse(spark: SparkSession, d: str) -> DataFrame:
+def _engine(spark: SparkSession, d: str):
     from orrery.api import Engine
 
+    return Engine(spark, d)
+
+
+def x06_keyword_search(spark: SparkSession, d: str) -> DataFrame:
+    """Keyword search with stems and expanded names over files that aren't stale, which x06_keyword_topk leaves out."""
+    e = _engine(spark, d)
+    return e.keyword(QUERY, 40).select("id", "file_path", F.round("score", 6).alias("score"))
+
+
+def n01_search_fusion(spark: SparkSession, d: str) -> DataFrame:
+    """Whole keyword and vector lists of 40, fused."""
+    return _engine(spark, d).fused(QUERY).select("id", "file_path", "source", F.round("score", 6).alias("score"))
+
+
+def q03_search_code(spark: SparkSession, d: str) -> DataFrame:
+    """Engine.search_code: stems, expanded names, stale files left out, the 20 best."""
+    return _engine(spark, d).search_code(QUERY).select("id", "file_path", "source", F.round("score", 6).alias("score"))
+
+
+def q10_find_owner(spark: SparkSession, d: str) -> DataFrame:
+    """Engine.find_owner: stems, expanded names, stale files left out, the 20 best."""
+    return _engine(spark, d).find_owner(QUERY, k=20).select("file_path", F.round("score", 6).alias("score"), "exact", "names")
+
+
+def _whole_reuse(spark: SparkSession, d: str) -> DataFrame:
     st = table(spark, d, "symbol_structures").select("symbol_id", "body_fingerprint", "signature_tokens", "imports", "callees", "generation")
     st = T.latest(st, ["symbol_id"], "generation", ["body_fingerprint", "signature_tokens", "imports", "callees"])
-    return Engine(spark, d).find_reuse_candidates(REUSE_QUERY, st).orderBy(F.desc("score"), "file_path", "id")
+    return _engine(spark, d).find_reuse_candidates(REUSE_QUERY, st).orderBy(F.desc("score"), "file_path", "id")
 
 
 def q11_find_reuse_candidates(spark: SparkSession, d: str) -> DataFrame:

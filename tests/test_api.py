@@ -1,11 +1,15 @@
 """The facade over the smallest tables."""
 
 import os
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from orrery.api import Engine, doctor
+from orrery.functions import text as X
+from orrery.functions.stemming import stem
+from orrery.plans import search
 from orrery.sources.store import explain_failure
 
 DATA = "/root/testdata/sf0.001"
@@ -32,6 +36,49 @@ def test_stale_files_are_left_out(engine):
     assert not any((r["project_id"], r["file_path"]) in stale for r in got)
 
 
+def _coverage(name, wanted):
+    parts = X.py_split_identifier(name or "")
+    n = sum(p in wanted or (p.isascii() and p.isalpha() and stem(p) in wanted) for p in parts)
+    return n / len(parts) if len(parts) >= 2 and n >= 2 else None
+
+
+def test_keyword_search_equals_brute_force(spark, engine):
+    """With stems, expanded names and stale files out; the reduced registered query differs."""
+    terms = X.py_tokens(search.QUERY)
+    wanted = set(X.variants(terms))
+    names = {r["name"] for r in engine.symbols.where("kind <> 'file'").select("name").collect()}
+    ranked = sorted((-c, n) for n in names if n and (c := _coverage(n, wanted)) is not None)[:48]
+    expanded = list(dict.fromkeys("".join(X.py_split_identifier(n)) for _, n in ranked))
+    stale = {(r["project_id"], r["path"]) for r in engine.files.where("status IN ('stale', 'deleted')").collect()}
+
+    def has(text, term):
+        p = X.term_pattern(term)
+        return term in text if p is None else re.search(p, text) is not None
+
+    rows = []
+    for c in engine.chunks.collect():
+        if (c["project_id"], c["file_path"]) in stale:
+            continue
+        raw = "\n".join(x for x in (c["file_path"], c["symbol_name"], c["content"]) if x)
+        text = raw.lower() + "\n" + " ".join(X.py_split_identifier(raw))
+        n = sum(any(has(text, v) for v in X.variants([t])) for t in terms)
+        e = sum(has(text, t) for t in expanded)
+        cov = _coverage(c["symbol_name"], wanted)
+        if n or e or cov is not None:
+            rows.append((-round(n / len(terms) + min(0.45, 0.15 * e) + 0.85 * (cov or 0), 6), c["file_path"], c["id"]))
+    want = [(i, -s) for s, _, i in sorted(rows)[:40]]
+    got = [(r["id"], r["score"]) for r in search.x06_keyword_search(spark, DATA).collect()]
+    assert len(want) > 5 and sorted(got) == sorted(want)
+    assert sorted(got) != sorted((r["id"], r["score"]) for r in search.x06_keyword_topk(spark, DATA).collect())
+
+
+def test_registered_searches_leave_stale_files_out(spark, engine):
+    stale = {r["path"] for r in engine.files.where("status IN ('stale', 'deleted')").collect()} - {r["path"] for r in engine.files.where("status NOT IN ('stale', 'deleted')").collect()}
+    for f in (search.n01_search_fusion, search.q03_search_code, search.q10_find_owner):
+        got = [r["file_path"] for r in f(spark, DATA).collect()]
+        assert got and not stale & set(got)
+
+
 def test_context_stays_within_the_budget(engine):
     for budget in (0, 900, 4000):
         rows = engine.get_context("refresh the session ledger", budget=budget).collect()
