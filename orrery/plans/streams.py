@@ -24,6 +24,12 @@ def a18_coalesced_events(spark: SparkSession, d: str) -> DataFrame:
     return V.coalesce_events(e, ["day"], "path", keep=100, burst=90)
 
 
+def a18_event_bursts(spark: SparkSession, d: str) -> DataFrame:
+    """The same within the feature's own limits: the first 1,000 paths of a day are kept, and 100 are a burst."""
+    e = _events(spark, d).select(F.to_date("ts").cast("string").alias("day"), F.lpad(F.col("user_id").cast("string"), 8, "0").alias("path"))
+    return V.coalesce_events(e, ["day"], "path")
+
+
 def r03_tumbling(spark: SparkSession, d: str) -> DataFrame:
     t = V.tumbling(_events(spark, d), "ts", "1 hour", None, "event_type")
     return t.select("start", "event_type", "events", F.round("value", 4).alias("value"))
@@ -92,6 +98,7 @@ _DIRTY = "SELECT user_id, min(ts) AS first_seen, max(ts) AS last_seen, count(*)
 _RETRY = "WITH ok AS (SELECT user_id, max(ts) AS ok FROM events WHERE event_type = 'purchase' GROUP BY 1), n AS (SELECT e.user_id, count(*)::INT AS attempts FROM events e LEFT JOIN ok USING (user_id) WHERE e.event_type = 'error' AND (ok.ok IS NULL OR e.ts > ok.ok) GROUP BY 1) SELECT user_id, attempts, CASE WHEN attempts >= 5 THEN 'dead_letter' ELSE 'pending' END AS status, CASE WHEN attempts < 5 THEN least(30000, 750 * pow(2, attempts - 1))::BIGINT END AS delay_ms FROM n"
 ORACLE = {
     "a18_coalesced_events": "WITH n AS (SELECT strftime(ts, '%Y-%m-%d') AS day, lpad(user_id::VARCHAR, 8, '0') AS path, count(*) AS events FROM events GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY day ORDER BY path) AS r, count(*) OVER (PARTITION BY day) AS paths FROM n) SELECT day, path, events, paths >= 90 OR paths > 100 AS burst, greatest(paths - 100, 0) AS dropped FROM r WHERE r <= 100",
+    "a18_event_bursts": "WITH n AS (SELECT strftime(ts, '%Y-%m-%d') AS day, lpad(user_id::VARCHAR, 8, '0') AS path, count(*) AS events FROM events GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY day ORDER BY path) AS r, count(*) OVER (PARTITION BY day) AS paths FROM n) SELECT day, path, events, paths >= 100 OR paths > 1000 AS burst, greatest(paths - 1000, 0) AS dropped FROM r WHERE r <= 1000",
     "r03_tumbling": "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS events, round(sum(value), 4) AS value FROM events GROUP BY ALL",
     "r03_sliding": "SELECT start, count(*) AS events FROM (SELECT time_bucket(INTERVAL 30 MINUTE, ts) - to_minutes(30 * k) AS start FROM events, range(4) t(k)) GROUP BY 1",
     "r02_sessions": "WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM events), s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 6 HOUR AS \"end\", count(*) AS events FROM s GROUP BY user_id, k",

@@ -199,3 +199,15 @@ def test_late_events_fall_behind_the_watermark(spark, tmp_path):
     q.awaitTermination()
     got = {r["start"].hour: r["events"] for r in spark.read.parquet(out).collect()}
     assert got[10] in (2, 3) and got[14] == 1
+
+
+def test_registered_coalescing_keeps_the_first_1000_paths(spark, tmp_path):
+    from orrery.plans import streams
+
+    rows = [(u, dt.datetime(2024, 1, day, 12)) for day, n in ((1, 1003), (2, 100), (3, 99)) for u in range(n)]
+    spark.createDataFrame(rows, "user_id long, ts timestamp").write.parquet(str(tmp_path / "events.parquet"))
+    got = {}
+    for r in streams.QUERIES["a18_event_bursts"](spark, str(tmp_path)).collect():
+        n, last, _, _ = got.get(r["day"], (0, "", None, None))
+        got[r["day"]] = (n + 1, max(last, r["path"]), r["burst"], r["dropped"])
+    assert got == {"2024-01-01": (1000, "00000999", True, 3), "2024-01-02": (100, "00000099", True, 0), "2024-01-03": (99, "00000098", False, 0)}
