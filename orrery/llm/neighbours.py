@@ -57,6 +57,20 @@ def _unit(col: pd.Series) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def _first_tied(u: np.ndarray, rows: np.ndarray, home: np.ndarray, most: int, digits: int, block: int = 256) -> tuple[np.ndarray, np.ndarray]:
+    """(row, position in `home`) of the `most` most similar of `home` for each of `rows`, by comparing all; of equal rounded similarities the first in `home`."""
+    n, most = len(home), min(most, len(home))
+    table = u[home].T
+    q, j = [], []
+    for lo in range(0, len(rows), block):
+        part = rows[lo : lo + block]
+        key = np.rint((u[part] @ table) * 10.0**digits).astype(np.int64) * n + np.arange(n - 1, -1, -1)
+        top = np.argpartition(key, n - most, axis=1)[:, n - most :]
+        q.append(np.repeat(part, most))
+        j.append(top.reshape(-1))
+    return np.concatenate(q), np.concatenate(j)
+
+
 def nearest(
     vectors: DataFrame, k: int = 5, floor: float = 0.86, width: int = 64, digits: int = 4, spare: int = 19, ef: int = 48, shard: int = SHARD, margin: float = MARGIN
 ) -> DataFrame:
@@ -65,7 +79,8 @@ def nearest(
     `vectors` is (id, embedding), one row per id; repeated rows count once, and of several vectors of an id the
     greatest is taken. Similarity is the cosine, rounded to `digits`; ties go to the smaller id. Rows without a usable
     vector take no part, an empty table gives an empty result, a lone vector has no neighbour. `spare` more distinct
-    vectors than k are kept per search, so that ties and copies are settled exactly.
+    vectors than k are kept per search; where even the last of them ties with the k-th, the part is scanned whole, so
+    that ties and copies are settled exactly.
     """
     spark = vectors.sparkSession
     own = usable(vectors.select("id", "embedding"), width).groupBy("id").agg(F.max("embedding").alias("embedding"))
@@ -112,8 +127,20 @@ def nearest(
         q, j = np.nonzero(at >= 0)
         to = home[at[q, j]] if len(home) else np.zeros(0, int)
         other = vid[q] != vid[to]
-        q, to = q[other], to[other]
+        q, j, to = q[other], j[other], to[other]
         s = np.einsum("ij,ij->i", u[q], u[to])
+        got = np.full(at.shape, np.inf)  # negative rounded similarities, the best first
+        got[q, j] = -np.round(s, digits)
+        got.sort(axis=1)
+        full = np.isfinite(got).sum(1) >= keep - 1
+        tied = np.nonzero(full & (got[:, keep - 2] <= got[:, k - 1]) & (-got[:, k - 1] >= low))[0]
+        if len(tied):
+            fine = ~np.isin(q, tied)
+            more, at_home = _first_tied(u, tied, home, k + 2, digits)
+            near = home[at_home]
+            other = vid[more] != vid[near]
+            q, to = np.concatenate([q[fine], more[other]]), np.concatenate([to[fine], near[other]])
+            s = np.concatenate([s[fine], np.einsum("ij,ij->i", u[more[other]], u[near[other]])])
         ok = s >= low
         return pd.DataFrame({"a": vid[q[ok]], "b": vid[to[ok]], "similarity": np.round(s[ok], digits)})
 

@@ -45,6 +45,20 @@ def test_equals_brute_force_with_hot_copies_and_unusable_rows(spark):
     assert hot == {"c0000", "c0200", "c0201", "c0202", "c0203"}  # ties go to the smaller id
 
 
+@pytest.mark.parametrize("kind", ["scaled", "moved"])
+def test_a_hot_direction_of_unequal_vectors(spark, kind):
+    """A third of the rows tie by their rounded similarity although no two have the same floats."""
+    rng = np.random.default_rng(3)
+    x = _clustered(600, 2)
+    x[200:400] = x[0] * rng.uniform(0.3, 3, (200, 1)) if kind == "scaled" else x[0] * (1 + 1e-5 * rng.normal(size=(200, 64)))
+    ids = [f"c{i:04d}" for i in rng.permutation(600)]
+    got = {(r["id"], r["neighbour"]) for r in nearest(_frame(spark, ids, x), shard=64).collect()}
+    want = brute_force(ids, x)
+    assert len(got & want) >= 0.99 * len(want) and len(got - want) <= 0.01 * len(want)
+    hot = {ids[0], *ids[200:400]}
+    assert {p for p in got if p[0] in hot} == {p for p in want if p[0] in hot}
+
+
 def test_empty_and_lone(spark):
     assert nearest(_frame(spark, [], [])).count() == 0
     assert nearest(_frame(spark, ["a"], [[1.0] * 64])).count() == 0
