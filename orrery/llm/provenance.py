@@ -188,7 +188,7 @@ def classify_files(files: DataFrame, projects: DataFrame, copies: int = 3, copy_
             for repo, path, ext, text, n1, n2, key in pdf.itertuples(index=False):
                 own = {n.lower() for n in (n1, n2) if n}
                 why = c.reason(path, text, CODE[ext], own)
-                rows.append((repo, path, CODE[ext], len(text), key, why, parses(text, CODE[ext], ext == "tsx") if why else None))
+                rows.append((repo, path, CODE[ext], len(text), key, why, parses(text, CODE[ext], ext == "tsx") is not False if why else None))
             yield pd.DataFrame(rows, columns=["repo", "path", "language", "size", "key", "reason", "well_formed"])
 
     facts = cut(named.mapInPandas(run, SCHEMA).distinct())
@@ -197,7 +197,7 @@ def classify_files(files: DataFrame, projects: DataFrame, copies: int = 3, copy_
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"key": pdf["key"], "ext": pdf["ext"], "fine": [parses(t, CODE[e], e == "tsx") for e, t in zip(pdf["ext"], pdf["content"])]})
+            yield pd.DataFrame({"key": pdf["key"], "ext": pdf["ext"], "fine": [parses(t, CODE[e], e == "tsx") is not False for e, t in zip(pdf["ext"], pdf["content"])]})
 
     # one text of each copied fingerprint and extension is read again and parsed
     one = open_.withColumn("ext", extension(F.col("path"))).groupBy("key", "ext").agg(F.min(F.struct("repo", "path")).alias("f")).select("key", "ext", "f.repo", "f.path")

@@ -42,6 +42,10 @@ _SIGNS = {k: re.compile(v, re.M) for k, v in SIGNS.items()}
 _CONFLICT = re.compile(r"^(?:<{7}|={7}|>{7}|\|{7})(?: |$)", re.M)
 
 
+#: Python's messages for nesting beyond its tokeniser's tables.
+_DEPTH = ("too many nested parentheses", "too many levels of indentation")
+
+
 def _no_constant(name: str):
     raise Broken
 
@@ -51,7 +55,11 @@ def _python(src: str) -> None:
         warnings.simplefilter("ignore")
         try:
             ast.parse(src.removeprefix("﻿"))
-        except (SyntaxError, ValueError, MemoryError):
+        except MemoryError:  # the parser's own stack is full
+            raise RecursionError from None
+        except SyntaxError as e:
+            raise RecursionError if str(e.msg).startswith(_DEPTH) else Broken from None
+        except ValueError:
             raise Broken from None
 
 
@@ -62,8 +70,8 @@ def _json(src: str) -> None:
         raise Broken from None
 
 
-def parses(src: str, language: str, jsx: bool = False) -> bool:
-    """Whether a text is well-formed in a language. Nesting beyond the interpreter's depth counts as not."""
+def parses(src: str, language: str, jsx: bool = False) -> bool | None:
+    """Whether a text is well-formed in a language; None if its nesting is beyond the parser's depth, so that it isn't known."""
     if sys.getrecursionlimit() < 20_000:
         sys.setrecursionlimit(20_000)
     try:
@@ -83,7 +91,9 @@ def parses(src: str, language: str, jsx: bool = False) -> bool:
             _json(src)
         else:
             raise ValueError(language)
-    except (Broken, RecursionError, IndexError, KeyError):
+    except RecursionError:
+        return None
+    except (Broken, IndexError, KeyError):
         return False
     return True
 
@@ -94,10 +104,13 @@ def ranked(src: str, but: str) -> list[str]:
     return sorted(score, key=lambda k: (-score[k], k))
 
 
-def verdict(src: str, extension: str) -> tuple[bool, str, str | None]:
-    """(well-formed, finding, language it parses as). Findings: ok, wrong_extension, merge_conflict, truncated, corrupt."""
+def verdict(src: str, extension: str) -> tuple[bool | None, str, str | None]:
+    """(well-formed, finding, language it parses as). Findings: ok, wrong_extension, merge_conflict, truncated, corrupt, and too_deep, of which it isn't known whether it is well-formed."""
     language = EXTENSIONS[extension]
-    if parses(src, language, extension == "tsx"):
+    own = parses(src, language, extension == "tsx")
+    if own is None:
+        return None, "too_deep", None
+    if own:
         return True, "ok", language
     if src.strip():
         for other in ranked(src, language):
@@ -124,12 +137,13 @@ def check_files(files: DataFrame) -> DataFrame:
 
     Null paths, null contents and other extensions (Markdown among them) have no row; empty texts are well-formed
     where the grammar allows it (not in Go and JSON); repeated rows count once, and of a path with several texts each
-    is judged and the file is broken if any text is. Texts are parsed whole, however long; columns besides those named are ignored.
+    is judged and the file is broken if any text is. Texts are parsed whole, however long; one nested
+    beyond the parser's depth is `too_deep` and neither well-formed nor broken; columns besides those named are ignored.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            seen: dict[tuple[str, str], tuple[bool, str, str | None]] = {}
+            seen: dict[tuple[str, str], tuple[bool | None, str, str | None]] = {}
             rows = []
             for repo, path, ext, content in zip(pdf["repo"], pdf["path"], pdf["ext"], pdf["content"]):
                 key = (ext, content)
@@ -141,7 +155,7 @@ def check_files(files: DataFrame) -> DataFrame:
 
     known = files.select("repo", "path", "content").withColumn("ext", extension(F.col("path"))).where(F.col("content").isNotNull() & F.col("ext").isin(*EXTENSIONS))
     out = known.mapInPandas(run, SCHEMA)
-    worst = F.min(F.struct("well_formed", "finding", "parses_as", "language"))
+    worst = F.min(F.struct(F.coalesce("well_formed", F.lit(True)).alias("unbroken"), "well_formed", "finding", "parses_as", "language"))
     return out.groupBy("repo", "path").agg(worst.alias("w")).select("repo", "path", "w.language", "w.well_formed", "w.finding", "w.parses_as")
 
 
@@ -156,7 +170,7 @@ def rates(checked: DataFrame, files: DataFrame, analysis: DataFrame) -> DataFram
     all_ = checked.join(warned, ["repo", "path"], "left").join(said, ["repo", "path"], "left")
     broken = ~F.col("well_formed")
     n = lambda c: F.sum(F.when(c, 1).otherwise(0))
-    kinds = ("wrong_extension", "merge_conflict", "truncated", "corrupt")
+    kinds = ("wrong_extension", "merge_conflict", "truncated", "corrupt", "too_deep")
     return all_.groupBy("repo", "language").agg(
         F.count(F.lit(1)).alias("files"), n(broken).alias("broken"), *[n(F.col("finding") == k).alias(k) for k in kinds],
         (n(broken) / F.count(F.lit(1))).alias("broken_rate"), n(F.col("warned").isNotNull()).alias("warned"), n(broken & F.col("warned").isNotNull()).alias("broken_and_warned"),

@@ -81,3 +81,10 @@ def test_every_cut_of_a_bracketed_text_is_broken(ext):
     first = next(i for i, c in enumerate(src) if c in "([{" and (ext != "go" or c == "{"))
     assert parses(src, EXTENSIONS[ext])
     assert not any(parses(src[:n], EXTENSIONS[ext]) for n in range(first + 1, len(src)))
+
+
+def test_depth_is_no_grammar_error(spark):
+    deep = {"py": "x = a" + ".b()" * 30_000 + "\n", "json": "[" * 200_000 + "]" * 200_000}
+    rows = [("r", f"deep.{e}", t) for e, t in deep.items()] + [("r", "bad.py", "def f(:\n"), ("r", "two.json", "{"), ("r", "two.json", deep["json"])]
+    got = {r["path"]: (r["well_formed"], r["finding"]) for r in check_files(spark.createDataFrame(rows, "repo string, path string, content string")).collect()}
+    assert got["deep.py"] == (None, "too_deep") and got["deep.json"] == (None, "too_deep") and got["bad.py"][0] is False and got["two.json"][0] is False
