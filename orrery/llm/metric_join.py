@@ -11,6 +11,9 @@ that order which every set within eps must meet: a set keeps at least a share t
 such sets share is among the |a| - ceil(t|a|) + 1 rarest of each, and the k-th among the |a| - ceil(t|a|) + k rarest. A region
 of more than `cap` sets is therefore divided by the next shared value, {t, u} and {t, u, v}, up to `values` of them.
 
+Two sets that share no further value part there, and are joined before: they share the path alone, so that they pass if and only if
+|a| + |b| <= |path| (1 + 1/t), and the join is on the region and the sizes that may meet.
+
 What is still large by then are sets that lie close to each other. Documents drawn by hash become pivots, each member
 goes to the region of the nearest, and is replicated into every other region whose pivot p has
 d(x, p) <= min(d(x, home) + 2 eps, radius(p) + eps). This repeats until regions are small, or stop shrinking; then
@@ -84,6 +87,7 @@ def similar_pairs(reps: DataFrame, t: float, cap: int = 24, values: int = 3, piv
             found.append(_leaf(level, t, block))
             break
         found.append(_leaf(level.where(F.col("size") <= cap), t, block))
+        found.append(_ended(large.where(F.size("path") < values), t))
         # by the next shared value
         at = F.array_position("s", F.element_at("path", -1)).cast("int")
         rest = F.slice("s", at + 1, F.greatest(spare + F.size("path") + 1 - at, F.lit(0)))
@@ -104,6 +108,15 @@ def similar_pairs(reps: DataFrame, t: float, cap: int = 24, values: int = 3, piv
     return checked.where(_passes(F.col("n"), na, nb, t)).select("a", "b", (F.col("n") / (na + nb - F.col("n"))).alias("similarity"))
 
 
+def _ended(large: DataFrame, t: float) -> DataFrame:
+    """Pairs (a, b) of a region of values that pass by the values of its path alone; sets of the region that share more pass then too."""
+    p, n = F.size("path"), F.size("s")
+    small = large.select("rep", "region", p.alias("p"), n.alias("n"), F.floor(p * F.lit(1.0 + 1.0 / t) + 1e-9).cast("int").alias("most")).where("n + p <= most")
+    left = small.select("region", F.col("rep").alias("a"), F.explode(F.sequence(F.col("p"), F.col("most") - F.col("n"))).alias("nb"))
+    right = small.select("region", F.col("rep").alias("b"), F.col("n").alias("nb"))
+    return left.join(right, ["region", "nb"]).where("a < b").select("a", "b")
+
+
 def _divide(close: DataFrame, d: int, t: float, cap: int, pivots: int) -> tuple[DataFrame, DataFrame]:
     """(rows of regions that pivots can't tell apart, rows of the new regions) by document pivots."""
     eps = 1.0 - t

@@ -58,3 +58,13 @@ def test_nulls_and_empty(spark):
     reps, members = classes(recs)
     assert expand(similar_pairs(reps, 0.7), members).count() == 0
     assert classes(spark.createDataFrame([("a", [])], "id string, vals array<string>"))[0].count() == 0
+
+
+@pytest.mark.parametrize("t", [0.2, 0.34, 0.5, 0.7])
+def test_small_sets_that_share_no_further_value(spark, t):
+    """{x} and {x, y} in a region of more sets than the cap."""
+    sets = {"a": {"x"}, "b": {"x", "z"}, "c": {"x", "z", "w"}} | {f"d{i:02d}": {"x", f"y{i}"} for i in range(30)} | {f"e{i:02d}": {"x", "z", f"w{i}"} for i in range(30)}
+    recs = spark.createDataFrame([(k, sorted(v)) for k, v in sets.items()], "id string, vals array<string>")
+    reps, members = classes(recs)
+    got = [(r["id_a"], r["id_b"]) for r in expand(similar_pairs(reps, t), members).collect()]
+    assert len(got) == len(set(got)) and set(got) == _brute(sets, t)
