@@ -8,7 +8,7 @@ from orrery.llm.grammar.base import ENDS, Broken, Cursor, Tokens
 
 _LEX = re.compile(
     r"""(?P<w>(?:[\s\ufeff]+|//[^\n\r\u2028\u2029]*|/\*[\s\S]*?\*/)*)(?:(?P<i>[#@]?(?:[^\W\d]|\$|\\u[0-9a-fA-F]{4}|\\u\{[0-9a-fA-F]+\})(?:[\w$‌‍]|\\u[0-9a-fA-F]{4}|\\u\{[0-9a-fA-F]+\})*)
-    |(?P<n>(?:0[xX][0-9a-fA-F](?:_?[0-9a-fA-F])*n?|0[bB][01](?:_?[01])*n?|0[oO][0-7](?:_?[0-7])*n?|(?:\d(?:_?\d)*\.?(?:\d(?:_?\d)*)?|\.\d(?:_?\d)*)(?:[eE][+-]?\d(?:_?\d)*)?n?)(?![\w$]))
+    |(?P<n>(?:0[xX][0-9a-fA-F](?:_?[0-9a-fA-F])*n?|0[bB][01](?:_?[01])*n?|0[oO][0-7](?:_?[0-7])*n?|(?:0|[1-9](?:_?\d)*)n|(?:(?:0(?!_)\d*|[1-9](?:_?\d)*)(?:\.(?:\d(?:_?\d)*)?)?|\.\d(?:_?\d)*)(?:[eE][+-]?\d(?:_?\d)*)?)(?![\w$]))
     |(?P<s>"(?:[^"\\\n\r]|\\(?:\r\n|[\s\S]))*"|'(?:[^'\\\n\r]|\\(?:\r\n|[\s\S]))*')
     |(?P<t>`)
     |(?P<p>\.\.\.|=>|===|!==|\*\*=|\?\?=|&&=|\|\|=|<<=|==|!=|<=|\+\+|--|&&|\|\||\?\?|\?\.(?!\d)|\*\*|\+=|-=|\*=|/=|%=|&=|\|=|\^=|<<|[{}()\[\];,<>+\-*/%&|^!~?:=.@])|(?P<z>\Z))""",
@@ -25,6 +25,109 @@ _JSX_ATTR = re.compile(r"\s*(?:([A-Za-z_$][\w$:-]*)(?:\s*=\s*(?:\"[^\"]*\"|'[^']
 _BEFORE_OPERAND = frozenset("return typeof instanceof in of new delete void throw case do else yield await default extends".split())
 
 
+_HEADED = frozenset("if while for with switch catch".split())
+_OPENS_STATEMENT = frozenset("else do export default declare abstract try finally catch".split())
+_TYPE_GOES_ON = frozenset([":", "|", "&", "=>", "<", ",", "=", "(", "?", "[", "..."])
+_TYPE_WORDS = frozenset("extends implements is keyof readonly infer typeof".split())
+
+
+class _Places:
+    """Whether an operand may follow a closing bracket, which tells a regular expression from a division.
+
+    One pass over the tokens so far, made only as far as it is asked: most texts never ask. Each open bracket is a
+    frame of what it holds (statements, class members, an object, expressions), of whether a statement may follow its
+    end, and of a function or class whose body is still to come.
+    """
+
+    def __init__(self, toks: Tokens, statements: bool):
+        self.T, self.K, self.L = toks.text, toks.kind, toks.line
+        self.frames: list[list] = [["statements" if statements else "values", False, None, False]]
+        self.open: dict[int, bool] = {}  # closing brackets after which an operand may come
+        self.colons: set[int] = set()  # those of labels and cases
+        self.i = 0
+
+    def after(self, at: int) -> bool:
+        while self.i <= at:
+            self._step(self.i)
+            self.i += 1
+        return self.open.get(at, False)
+
+    def _starts(self, i: int) -> bool:
+        """Whether token i begins a statement."""
+        kind = self.frames[-1][0]
+        if not i:
+            return kind == "statements"
+        t, k = self.T[i - 1], self.K[i - 1]
+        if k == "p":
+            if t in (";", "{"):
+                return kind == "statements"
+            if t in (")", "}"):
+                return self.open.get(i - 1, False) or self.L[i]
+            if t == ":":
+                return i - 1 in self.colons
+            return t in ("]", "++", "--") and self.L[i]
+        if k == "i":
+            if t == "async":
+                return self._starts(i - 1)
+            return t in _OPENS_STATEMENT or t not in _BEFORE_OPERAND
+        return k != "q" or t == "}`"
+
+    def _step(self, i: int) -> None:
+        t, k, f = self.T[i], self.K[i], self.frames[-1]
+        if k == "i":
+            if i and self.K[i - 1] == "p" and self.T[i - 1] in (".", "?."):
+                return
+            if t in ("function", "class"):
+                f[2] = (t, self._starts(i))
+            elif t in ("interface", "enum", "namespace", "module") and i + 1 < len(self.T) and self.K[i + 1] in ("i", "s"):
+                f[2] = (t, True)
+            elif t in ("case", "default") and f[0] == "statements":
+                f[3] = True
+        elif k == "q":
+            if t == "`${":
+                self.frames.append(["values", False, None, False])
+            elif t == "}`" and len(self.frames) > 1:
+                self.frames.pop()
+        elif k == "p":
+            if t == "(":
+                before = self.T[i - 1] if i and self.K[i - 1] == "i" else ""
+                named = i > 1 and self.T[i - 2] in (".", "?.")
+                head = f[0] not in ("class", "object") and (before in _HEADED and not named or before == "await" and i > 1 and self.T[i - 2] == "for")
+                self.frames.append(["values", head, None, False])
+            elif t == "[":
+                self.frames.append(["values", False, None, False])
+            elif t == "{":
+                self.frames.append(self._brace(i, f))
+            elif t in (")", "]", "}"):
+                if len(self.frames) > 1:
+                    self.open[i] = self.frames.pop()[1]
+            elif t == ";":
+                f[2], f[3] = None, False
+            elif t == "," and f[0] == "object":
+                f[2] = None
+            elif t == ":" and f[0] == "statements":
+                if f[3] or i and self.K[i - 1] == "i" and self._starts(i - 1):
+                    self.colons.add(i)
+                    f[3] = False
+
+    def _brace(self, i: int, f: list) -> list:
+        t, k = (self.T[i - 1], self.K[i - 1]) if i else ("", "")
+        going = k == "p" and t in _TYPE_GOES_ON or k == "i" and t in _TYPE_WORDS
+        if f[2] and not going:
+            what, declared = f[2]
+            f[2] = None
+            return ["class" if what == "class" else "object" if what in ("interface", "enum") else "statements", declared, None, False]
+        if k == "p" and t == "=>":
+            return ["statements", True, None, False]
+        if f[0] == "class" and not going:
+            return ["statements", True, None, False]
+        if f[0] == "object" and (k == "p" and t == ")" or k == "i" and t not in _BEFORE_OPERAND):
+            return ["statements", False, None, False]
+        if f[0] == "statements" and (self._starts(i) or k == "p" and t == ")"):
+            return ["statements", True, None, False]
+        return ["object", False, None, False]
+
+
 def tokens(src: str, jsx: bool, start: int = 0, stop_brace: bool = False) -> tuple[Tokens, int, list[Tokens]]:
     """Tokens from `start`; with stop_brace up to the brace that closes what was open before. JSX elements are single
     tokens, the expressions inside them come back as lists of their own."""
@@ -37,12 +140,15 @@ def tokens(src: str, jsx: bool, start: int = 0, stop_brace: bool = False) -> tup
         pos = len(src.split("\n", 1)[0])
     match = _LEX.match
     texts, kinds = out.text, out.kind
+    places = _Places(out, not stop_brace)
 
     def operand() -> bool:
-        """Whether an operand may come next, judged by the token before."""
+        """Whether an operand may come next, judged by the token before and, if that closes a bracket, by its place."""
         if not kinds:
             return True
         k, t = kinds[-1], texts[-1]
+        if k == "p" and t in (")", "}"):
+            return places.after(len(texts) - 1)
         return k == "p" and t not in _AFTER_OPERAND or k == "q" and t != "}`" or k == "i" and t in _BEFORE_OPERAND
 
     while pos < n:
@@ -81,12 +187,12 @@ def tokens(src: str, jsx: bool, start: int = 0, stop_brace: bool = False) -> tup
                         else:
                             t = "}${"
                             braces.append(True)
-                elif operand():
-                    if t == "<":
-                        if jsx and _ELEMENT.match(src, start):
-                            end = _jsx(src, start, inner)
-                            kind, t = "s", "<jsx/>"
-                    else:
+                elif t == "<":
+                    if jsx and _ELEMENT.match(src, start) and operand():
+                        end = _jsx(src, start, inner)
+                        kind, t = "s", "<jsx/>"
+                else:
+                    if operand():
                         r = _REGEX.match(src, start)
                         if r is None:
                             raise Broken
@@ -175,6 +281,15 @@ class Script(Cursor):
         super().__init__(toks)
         self.ts = ts
         self.noin = False
+        self.inside = 0  # functions around
+        self.nocond = False  # in the extends clause of a conditional type
+
+    def attempt(self, *steps) -> bool:
+        kept = self.noin, self.inside, self.nocond
+        if super().attempt(*steps):
+            return True
+        self.noin, self.inside, self.nocond = kept
+        return False
 
     # statements ---------------------------------------------------------------------------------------------------
     def program(self) -> None:
@@ -289,9 +404,11 @@ class Script(Cursor):
             if self.ts:
                 self.eat("!")
             self.annotation()
+            self.plain = loop
             if loop and self.T[self.p] in ("of", "in"):
                 return
             if self.eat("="):
+                self.plain = False
                 self.assign()
             elif (const or pattern) and not (self.ts and not pattern and self.declared()):
                 raise Broken
@@ -326,9 +443,14 @@ class Script(Cursor):
         if may_lack_body and self.T[self.p] != "{":
             self.semi()
         else:
-            noin, self.noin = self.noin, False
-            self.block()
-            self.noin = noin
+            self.body()
+
+    def body(self) -> None:
+        noin, self.noin = self.noin, False
+        self.inside += 1
+        self.block()
+        self.inside -= 1
+        self.noin = noin
 
     def return_type(self) -> None:
         if self.ts and self.eat(":"):
@@ -444,13 +566,18 @@ class Script(Cursor):
         self.decorators()
         if self.T[self.p] == "static" and self.T[self.p + 1] == "{":
             self.p += 1
-            return self.block()
+            inside, self.inside = self.inside, 0
+            self.block()
+            self.inside = inside
+            return None
         after = ("(", "=", ";", "}", ":", "?", "!", "<", ",")
+        accessor = ""
         while self.K[self.p] == "i" and self.T[self.p + 1] not in after and not (self.L[self.p + 1] and self.T[self.p] not in ("static", "async") and self.K[self.p + 1] == ""):
             t = self.T[self.p]
             if t in ("static", "async", "get", "set", "accessor") or self.ts and t in _MODS:
                 if t in ("get", "set", "async") and self.L[self.p + 1]:
                     break
+                accessor = t if t in ("get", "set") else accessor
                 self.p += 1
             else:
                 break
@@ -465,12 +592,30 @@ class Script(Cursor):
         if self.ts and not self.eat("?"):
             self.eat("!")
         if self.T[self.p] in ("(", "<"):
+            self.accessor_params(accessor)
             return self.rest_of_function(self.ts)
+        if accessor:
+            raise Broken
         self.annotation()
         if self.eat("="):
             self.assign()
         return self.semi()
 
+    def accessor_params(self, kind: str) -> None:
+        """A getter takes nothing, a setter one thing."""
+        if not kind:
+            return
+        at, end = self.p, self.M.get(self.p, -1)
+        if self.T[at] != "(" or (kind == "get") != (end == at + 1):
+            raise Broken
+        if kind == "set":
+            depth = 0
+            for i in range(at + 1, end):
+                if self.K[i] == "p":
+                    depth += (self.T[i] in "([{") - (self.T[i] in ")]}")
+                    if self.T[i] == "," and not depth and i + 1 < end and not self.ts:
+                        raise Broken
+
     def s_if(self) -> None:
         self.p += 1
         self.paren()
@@ -495,18 +640,24 @@ class Script(Cursor):
 
     def s_for(self) -> None:
         self.p += 1
-        self.eat("await")
+        wait = self.eat("await")
         self.need("(")
         t = self.T[self.p]
         self.noin = True
-        if t in ("var", "const") or t == "let" and (self.K[self.p + 1] == "i" or self.T[self.p + 1] in ("{", "[")):
+        if t in ("var", "const") or t == "let" and (self.K[self.p + 1] == "i" and self.T[self.p + 1] not in ("of", "in") or self.T[self.p + 1] in ("{", "[")):
             self.p += 1
             self.declarators(t == "const", True)
+            if self.T[self.p] in ("of", "in") and not self.plain:
+                raise Broken
         elif t != ";":
             self.expr()
         self.noin = False
-        if self.eat("of") or self.eat("in"):
+        if self.eat("of"):
+            self.assign()
+        elif not wait and self.eat("in"):
             self.expr()
+        elif wait:
+            raise Broken
         else:
             self.need(";")
             if self.T[self.p] != ";":
@@ -518,6 +669,8 @@ class Script(Cursor):
         self.statement()
 
     def s_return(self) -> None:
+        if not self.inside:
+            raise Broken
         self.p += 1
         if self.T[self.p] not in (";", "}") and not self.L[self.p]:
             self.expr()
@@ -561,11 +714,15 @@ class Script(Cursor):
         self.p += 1
         self.paren()
         self.need("{")
+        default = False
         while not self.eat("}"):
             if self.eat("case"):
                 self.expr()
             else:
                 self.need("default")
+                if default:
+                    raise Broken
+                default = True
             self.need(":")
             while self.T[self.p] not in ("case", "default", "}"):
                 self.statement()
@@ -737,9 +894,7 @@ class Script(Cursor):
 
     def arrow_body(self) -> None:
         if self.T[self.p] == "{" and self.K[self.p] == "p":
-            noin, self.noin = self.noin, False
-            self.block()
-            self.noin = noin
+            self.body()
         else:
             self.assign()
 
@@ -756,11 +911,18 @@ class Script(Cursor):
         return target
 
     def binary(self) -> bool:
+        if self.K[self.p] == "i" and self.T[self.p][0] == "#" and self.T[self.p + 1] == "in":
+            self.p += 2  # a brand check
         target = self.unary()
+        mixed = 0
         while True:
             t, k = self.T[self.p], self.K[self.p]
             if k == "p" or k == "i":
                 if t in _BINARY and not (t == "in" and self.noin):
+                    if t == "??" or t == "||" or t == "&&":
+                        mixed |= 1 if t == "??" else 2
+                        if mixed == 3:
+                            raise Broken
                     self.p += 1
                     self.unary()
                     target = False
@@ -793,7 +955,10 @@ class Script(Cursor):
                 return self.postfix()
             self.p += 1
             target = self.unary()
-            if t in ("++", "--") and not target:
+            if t in ("++", "--"):
+                if not target:
+                    raise Broken
+            elif self.T[self.p] == "**" and self.K[self.p] == "p":
                 raise Broken
             return False
         if self.ts and t == "<" and k == "p":
@@ -911,7 +1076,7 @@ class Script(Cursor):
                 self.p += 1
                 if self.eat("."):
                     self.word()
-                elif self.T[self.p] != "(":
+                elif self.T[self.p] != "(" or self.T[self.p + 1] == ")":
                     raise Broken
             else:
                 raise Broken
@@ -976,13 +1141,18 @@ class Script(Cursor):
             return self.assign()
         T, K = self.T, self.K
         after = (",", ":", "(", "}", "=", "<")
+        accessor = ""
         while K[self.p] == "i" and T[self.p] in ("async", "get", "set") and T[self.p + 1] not in after:
+            accessor = T[self.p] if T[self.p] != "async" else accessor
             self.p += 1
         star = self.eat("*")
         simple = K[self.p] == "i" and T[self.p] not in RESERVED and not star
         self.property_name()
         if T[self.p] in ("(", "<"):
+            self.accessor_params(accessor)
             return self.rest_of_function()
+        if accessor:
+            raise Broken
         if self.eat(":"):
             return self.assign()
         if not simple:
@@ -1035,14 +1205,18 @@ class Script(Cursor):
         if self.K[p] == "i" and self.T[p + 1] in (",", ")", ";", "}", "=", "{", "]") and self.T[p] not in _NOT_TYPES:
             self.p += 1
             return
+        nocond, self.nocond = self.nocond, False
         self.union()
         if self.T[self.p] == "extends" and not self.L[self.p]:
             self.p += 1
+            self.nocond = True
             self.union()
+            self.nocond = False
             self.need("?")
             self.type()
             self.need(":")
             self.type()
+        self.nocond = nocond
 
     def union(self) -> None:
         self.eat("|")
@@ -1072,7 +1246,7 @@ class Script(Cursor):
                 self.need("]")
 
     def _no_question(self) -> None:
-        if self.T[self.p] == "?":
+        if self.T[self.p] == "?" and not self.nocond:
             raise Broken
 
     def type_primary(self) -> None:
@@ -1200,9 +1374,18 @@ _NOT_TYPES = (RESERVED - {"void", "null", "this", "true", "false", "typeof", "ne
 _HEADS = frozenset(m[2:] for m in dir(Script) if m.startswith("s_"))
 
 
+def may_hold_elements(src: str) -> bool:
+    """Whether anything in a text looks like the start of a JSX element."""
+    return _ELEMENT.search(src) is not None
+
+
 def recognise(src: str, ts: bool, jsx: bool) -> None:
     """Raise Broken unless the text is a well-formed module or script. A leading byte order mark is allowed."""
     toks, _, inner = tokens(src.removeprefix("\ufeff"), jsx)
+    recognise_tokens(toks, inner, ts)
+
+
+def recognise_tokens(toks: Tokens, inner: list[Tokens], ts: bool) -> None:
     Script(toks, ts).program()
     for part in inner:
         c = Script(part, ts)

@@ -82,9 +82,11 @@ class File(Cursor):
             self.need(";")
 
     def group(self, item) -> None:
+        self.first = True  # of its group
         if self.eat("("):
             while not self.eat(")"):
                 item()
+                self.first = False
                 if not self.eat(";"):
                     self.need(")")
                     return
@@ -119,10 +121,14 @@ class File(Cursor):
 
     def const_spec(self) -> None:
         self.names()
-        if self.T[self.p] not in ("=", ";", ")"):
+        first = self.first
+        typed = self.T[self.p] not in ("=", ";", ")")
+        if typed:
             self.type()
         if self.eat("="):
             self.exprs()
+        elif typed or first:
+            raise Broken
 
     def type_spec(self) -> None:
         self.name()

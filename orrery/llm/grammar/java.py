@@ -356,7 +356,7 @@ class Unit(Cursor):
                     depth += 1
                 elif t in (")", "]", "}"):
                     depth -= 1
-                elif depth == 0 and (t in _ASSIGN or t in ("++", "--")):
+                elif depth == 0 and (t in _ASSIGN or t in ("++", "--") or t == ">=" and self.T[i - 1] == ">" and self.S[i] == self.S[i - 1] + 1):
                     return True
         return self.T[at] == "new" or self.T[at] in ("++", "--")
 
@@ -509,6 +509,9 @@ class Unit(Cursor):
 
     def pattern(self) -> None:
         self.modifiers()
+        if self.T[self.p] == "_" and self.T[self.p + 1] in (",", ")"):
+            self.p += 1
+            return
         self.type()
         if self.eat("("):
             self.until(")", self.pattern, trailing=False)

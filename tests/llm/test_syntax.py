@@ -1,6 +1,7 @@
 import pytest
 
 from orrery.llm.syntax import EXTENSIONS, check_files, parses, rates, verdict
+from syntax_cases import BROKEN, WELL_FORMED
 
 GOOD = {
     "ts": [
@@ -42,22 +43,24 @@ BAD = {
 }
 
 
-@pytest.mark.parametrize("ext,src", [(e, s) for e, v in GOOD.items() for s in v])
+@pytest.mark.parametrize("ext,src", [(e, s) for table in (GOOD, WELL_FORMED) for e, v in table.items() for s in v])
 def test_well_formed(ext, src):
     assert parses(src, EXTENSIONS[ext], ext == "tsx")
 
 
-@pytest.mark.parametrize("ext,src", [(e, s) for e, v in BAD.items() for s in v])
+@pytest.mark.parametrize("ext,src", [(e, s) for table in (BAD, BROKEN) for e, v in table.items() for s in v])
 def test_broken(ext, src):
     assert not parses(src, EXTENSIONS[ext], ext == "tsx")
 
 
 def test_findings():
-    assert verdict("package a;\npublic class B { int c; }\n", "py")[1:] == ("wrong_extension", "java")
-    assert verdict("def f(x):\n    return x\n", "ts")[1:] == ("wrong_extension", "python")
+    assert verdict("package a;\npublic class B { int c; }\n", "py")[1:3] == ("wrong_extension", "java")
+    assert verdict("def f(x):\n    return x\n", "ts")[1:3] == ("wrong_extension", "python")
     assert verdict("a = 1\n<<<<<<< HEAD\nb = 2\n=======\nc = 3\n>>>>>>> d\n", "py")[1] == "merge_conflict"
     assert verdict("function f() {\n  g(", "js")[1] == "truncated"
     assert verdict("function f() { ] }\n", "js")[1] == "corrupt"
+    assert verdict('{"a": [1, 2]}', "py") == (True, "ok", "python", "json")  # a literal, likelier data than a program
+    assert verdict("const a = 1\n", "ts") == (True, "ok", "typescript", None)
 
 
 def test_operator(spark):
@@ -84,7 +87,9 @@ def test_every_cut_of_a_bracketed_text_is_broken(ext):
 
 
 def test_depth_is_no_grammar_error(spark):
-    deep = {"py": "x = a" + ".b()" * 30_000 + "\n", "json": "[" * 200_000 + "]" * 200_000}
-    rows = [("r", f"deep.{e}", t) for e, t in deep.items()] + [("r", "bad.py", "def f(:\n"), ("r", "two.json", "{"), ("r", "two.json", deep["json"])]
+    deep = {"py": "x = a" + ".b()" * 30_000 + "\n", "json": "[" * 200_000 + "]" * 200_000, "ts": "(" * 20_000 + "1" + ")" * 20_000}
+    rows = [("r", f"deep.{e}", t) for e, t in deep.items()] + [("r", "bad.py", "def f(:\n"), ("r", "two.json", "{"), ("r", "two.json", deep["json"]), ("r", "deep_bad.json", deep["json"][:-1])]
+    rows += [("r", "number.py", "x = " + "1" * 5_000 + "\n"), ("r", "number.json", "1" * 5_000)]
     got = {r["path"]: (r["well_formed"], r["finding"]) for r in check_files(spark.createDataFrame(rows, "repo string, path string, content string")).collect()}
-    assert got["deep.py"] == (None, "too_deep") and got["deep.json"] == (None, "too_deep") and got["bad.py"][0] is False and got["two.json"][0] is False
+    assert got["deep.py"] == (None, "too_deep") and got["bad.py"][0] is False and got["two.json"][0] is False and got["deep_bad.json"][0] is False
+    assert all(got[k][0] for k in ("deep.json", "deep.ts", "number.py", "number.json"))
