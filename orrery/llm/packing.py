@@ -2,16 +2,18 @@
 
 Token counts are taken in one streaming pass; from then on only (id, count) rows exist. The global histogram of counts
 (at most one entry per token of capacity, hence bounded) goes to the driver, where dynamic programming chooses the
-bucket boundaries that minimise padding, and token-budget batches are formed as patterns: so many items of this length
-and that length, repeated so many times. A batch starts inside a bucket, longest items first, and the room that is
-left over is topped up with the longest items that still fit, from this bucket and then from shorter ones. Items meet
-their pattern by their rank among the items of their length; hot lengths are ranked in salted parts.
+bucket boundaries that minimise padding. Token-budget batches are formed inside each bucket, the bucket of the longest items
+first: its items are taken in order of length until the next one would exceed the budget. The room that a batch leaves is
+then topped up with items of shorter buckets, the longest that fit, which is the only way in which buckets mix; a
+column tells what came so. Batches are planned as patterns: so many items of this length and that, repeated so many
+times. Items meet their pattern by their rank among the items of their length; hot lengths are ranked in salted parts.
 """
 
 from __future__ import annotations
 
 import base64
 import bisect
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,18 +38,31 @@ def encoder(ranks_path: str):
     return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+#: White space as the pattern above means it, and runs of it too long for its backtracking.
+_WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_LONG_GAP = re.compile(f"[{_WHITE}]{{4096,}}")
+_END = re.compile(f"(?<=[^{_WHITE}])(?=[{_WHITE}])")
+
+
 def _count(enc, text: str, piece: int = 1 << 20) -> int:
-    """Tokens of a text; very long ones are encoded in pieces that end before a line break or blank, so that memory stays bounded."""
-    if len(text) <= piece:
-        return len(enc.encode_ordinary(text))
-    n, at = 0, 0
+    """Tokens of a text, the same as of encoding it at once.
+
+    A token never goes on from a visible character into white space, so that long texts are encoded from one such place to
+    the next after `piece` characters. A run of white space is one token group but for its last character if
+    a visible one follows; long runs are given to the merges directly, as the pattern's backtracking fails on them.
+    """
+    n = at = 0
     while at < len(text):
-        end = min(len(text), at + piece)
-        if end < len(text):
-            space = text.rfind(" ", at + 1, end)
-            end = space if space > at else end
-        n += len(enc.encode_ordinary(text[at:end]))
-        at = end
+        gap = _LONG_GAP.search(text, at)
+        stop = gap.start() if gap else len(text)
+        while at < stop:
+            cut = _END.search(text, at + piece, stop) if stop - at > piece else None
+            end = cut.start() if cut else stop
+            n += len(enc.encode_ordinary(text[at:end]))
+            at = end
+        if gap:
+            at = gap.end() - (gap.end() < len(text))
+            n += len(enc._encode_single_piece(text[stop:at]))
     return n
 
 
@@ -91,47 +106,55 @@ def bucket_bounds(hist: np.ndarray, buckets: int) -> list[int]:
 def plan(hist: np.ndarray, capacity: int, bounds: list[int]) -> pd.DataFrame:
     """Patterns: for each length, from rank `base` on `uses` items in each of `reps` containers from `first` on, at `place`.
 
-    Rows are in order of length and base. Every pattern exhausts a length, so that their number is bounded by the
-    capacity and not by the items.
+    `bounds` are the upper bounds of the buckets, ascending. A container belongs to the `bucket` that its batch was
+    formed in; `topped` rows fill what that left. Rows are in order of length and base. Every pattern exhausts a length, so that
+    their number is bounded by the capacity and not by the items.
     """
     left = hist.astype(np.int64).copy()
     used = np.zeros_like(left)
     have = [int(x) for x in np.nonzero(left)[0]]  # lengths with items left, ascending
     rows, first = [], 0
-    while have:
-        room, pattern = capacity, []
-        limit = capacity
-        longest = have[-1]
-        bucket = bounds[bisect.bisect_left(bounds, longest)] if bounds else longest
-        while room > 0:
-            k = bisect.bisect_right(have, min(limit, room)) - 1
-            if k < 0:
-                break
-            size = have[k]
-            n = min(int(left[size]), room // size)
-            pattern.append((size, n, capacity - room))
-            room -= n * size
-            limit = size - 1
-            if limit < 1:
-                break
-        reps = min(int(left[size]) // n for size, n, _ in pattern)
-        for size, n, place in pattern:
-            rows.append((size, int(used[size]), n, reps, first, place, bucket))
-            used[size] += n * reps
-            left[size] -= n * reps
-            if not left[size]:
-                have.pop(bisect.bisect_left(have, size))
-        first += reps
-    out = pd.DataFrame(rows, columns=["length", "base", "uses", "reps", "first", "place", "bucket"])
+    edges = sorted({0, *bounds, have[-1] if have else 0})
+    for low, high in reversed(list(zip(edges, edges[1:]))):
+        while have and have[-1] > low:
+            room, pattern = capacity, []
+            i = len(have) - 1
+            while i >= 0 and have[i] > low and have[i] <= room:  # the batch: the bucket's items in order, up to the budget
+                n = min(int(left[have[i]]), room // have[i])
+                pattern.append((have[i], n, capacity - room, False))
+                room -= n * have[i]
+                if n < left[have[i]]:
+                    break
+                i -= 1
+            limit = low
+            while room > 0 and limit > 0:  # what it left: the longest items of shorter buckets
+                k = bisect.bisect_right(have, min(limit, room)) - 1
+                if k < 0:
+                    break
+                n = min(int(left[have[k]]), room // have[k])
+                pattern.append((have[k], n, capacity - room, True))
+                room -= n * have[k]
+                limit = have[k] - 1
+            reps = min(int(left[size]) // n for size, n, _, _ in pattern)
+            for size, n, place, topped in pattern:
+                rows.append((size, int(used[size]), n, reps, first, place, high, topped))
+                used[size] += n * reps
+                left[size] -= n * reps
+                if not left[size]:
+                    have.pop(bisect.bisect_left(have, size))
+            first += reps
+    out = pd.DataFrame(rows, columns=["length", "base", "uses", "reps", "first", "place", "bucket", "topped"])
     return out.sort_values(["length", "base"], kind="stable").reset_index(drop=True)
 
 
 def pack(counts: DataFrame, capacity: int = 2048, buckets: int = 16, part_rows: int = 250_000) -> DataFrame:
-    """(doc_id, part, container, place, length, bucket) of counts (doc_id, tokens), one row per item or piece.
+    """(doc_id, part, container, place, length, bucket, topped) of counts (doc_id, tokens), one row per item or piece.
 
     An item longer than the capacity is split into full pieces and a rest; none else is. Items of no tokens, nulls
     and empty tables give no rows; repeated rows of a doc_id count once (the greatest count). Containers are numbered
-    from 0, `place` is the offset in tokens; items of a container never overlap and never exceed the capacity.
+    from 0, `place` is the offset in tokens; items of a container never overlap and never exceed the capacity. `bucket` is
+    the upper bound of the bucket in which the container's batch was formed, `topped` tells items of shorter buckets
+    that fill its rest.
     """
     spark = counts.sparkSession
     items = cut(counts.where("doc_id IS NOT NULL AND tokens > 0").groupBy("doc_id").agg(F.max("tokens").alias("tokens")))
@@ -155,7 +178,7 @@ def pack(counts: DataFrame, capacity: int = 2048, buckets: int = 16, part_rows:
         p = shared.value
         step = int(hist_max) + 1
         keys = p["length"].to_numpy(np.int64) * step + p["base"].to_numpy(np.int64)
-        cols = {c: p[c].to_numpy(np.int64) for c in ("base", "uses", "first", "place", "bucket")}
+        cols = {c: p[c].to_numpy(np.int64) for c in ("base", "uses", "first", "place", "bucket", "topped")}
         for pdf in batches:
             length, rank = pdf["length"].to_numpy(np.int64), pdf["rank"].to_numpy(np.int64)
             at = np.searchsorted(keys, length * step + rank, side="right") - 1
@@ -163,8 +186,8 @@ def pack(counts: DataFrame, capacity: int = 2048, buckets: int = 16, part_rows:
             uses = cols["uses"][at]
             yield pd.DataFrame({
                 "doc_id": pdf["doc_id"], "part": pdf["part"], "container": cols["first"][at] + i // uses,
-                "place": (cols["place"][at] + i % uses * length).astype(np.int32), "length": pdf["length"], "bucket": cols["bucket"][at].astype(np.int32),
+                "place": (cols["place"][at] + i % uses * length).astype(np.int32), "length": pdf["length"], "bucket": cols["bucket"][at].astype(np.int32), "topped": cols["topped"][at].astype(bool),
             })
 
     hist_max = hist.max()
-    return ranked.mapInPandas(place, "doc_id long, part int, container long, place int, length int, bucket int")
+    return ranked.mapInPandas(place, "doc_id long, part int, container long, place int, length int, bucket int, topped boolean")
