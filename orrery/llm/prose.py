@@ -4,7 +4,8 @@ A text is cut into blocks at blank lines. For each block two distributions are t
 function words (for each language), and of its characters over character classes. Both are compared by
 Jensen-Shannon divergence with profiles: one of running prose per language, and one per kind of other structure. The
 nearest profile names the block; the share of a document's characters in blocks nearest to prose is its prose share.
-Profiles are computed from the exemplars below with the same code. Texts stream through once; nothing is shuffled.
+Blocks of letters that are nearest to no prose profile are compared once more, by rhythm, with prose of any
+language (`rhythm`). Profiles are computed from exemplars with the same code. Texts stream through once; nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from orrery.llm.rhythm import reads_as_prose
+
 #: A word begins with a letter; what follows belongs to it, so that the parts of an identifier are no words of their own.
 WORD = re.compile(r"\b[^\W\d]\w*")
 GAP = re.compile(r"\n[^\S\n]*\n\s*")
@@ -87,6 +90,10 @@ _LANGS = list(FUNCTION_WORDS)
 _KINDS = ("article", "preposition", "conjunction", "pronoun", "auxiliary", "adverb")
 _NAMES = list(EXEMPLARS)
 _PROSE = sum(n.startswith("prose") for n in _NAMES)
+#: What a block may be: nearest to an exemplar, or prose of a language that has none.
+KINDS = [*_NAMES, "prose_other"]
+_LETTERS = [CLASSES.index(c) for c in ("letter", "accented", "inner capital", "odd")]
+_SPACE = [CLASSES.index(c) for c in ("blank", "break")]
 
 
 def _char_table() -> np.ndarray:
@@ -217,7 +224,7 @@ def _two(share: np.ndarray) -> np.ndarray:
 
 
 def classify(blocks: list[str], mix: float = 0.15) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Nearest profile of each block, its divergence, counts (words, letters, function words, characters by class), all divergences.
+    """Kind of each block, the divergence of its nearest profile, counts (words, letters, function words, characters by class), all divergences.
 
     A block's divergence from a profile is that of its characters, of its share of function words, and `mix` times
     that of the classes of function words, of which a short block shows only some.
@@ -235,8 +242,12 @@ def classify(blocks: list[str], mix: float = 0.15) -> tuple[np.ndarray, np.ndarr
     for i in range(_PROSE):
         dist[:, i] += divergence(_two(share[:, i]), _two(pw[i : i + 1]))[:, 0] + mix * divergence(share[:, i], pw[i : i + 1])[:, 0]
     near = dist.argmin(1)
+    worded = chars[:, _LETTERS].sum(1) >= 0.7 * (chars.sum(1) - chars[:, _SPACE].sum(1))
+    for i in np.nonzero((near >= _PROSE) & worded)[0]:
+        if reads_as_prose(blocks[i]):
+            near[i] = len(_NAMES)
     common = words.shape[0] and counts[:, 0] - words[:, :, -1].min(1)
-    return near, dist[np.arange(len(blocks)), near], np.column_stack([counts, common, chars]), dist
+    return near, dist.min(1), np.column_stack([counts, common, chars]), dist
 
 
 #: Columns of `quality`.
@@ -274,7 +285,7 @@ def quality(documents: DataFrame) -> DataFrame:
         size = np.array([len(b) for b in blocks], np.float64)
         total = lambda x: np.bincount(at, x, n)
         in_blocks = total(size)
-        by = np.zeros((n, len(_NAMES)))
+        by = np.zeros((n, len(KINDS)))
         np.add.at(by, (at, near), size)
         words, letters, common = (total(counts[:, k]) for k in range(3))
         symbols = total(counts[:, [3 + s for s in sym]].sum(1))
@@ -284,8 +295,8 @@ def quality(documents: DataFrame) -> DataFrame:
                 "doc_id": pdf["doc_id"].to_numpy(), "chars": [len(t) for t in pdf["text"]], "words": words.astype(np.int64),
                 "mean_word_length": letters / words, "symbol_ratio": symbols / in_blocks, "lines": lines, "punctuated_lines": stopped,
                 "punctuated_share": stopped / lines, "common_word_share": common / words, "blocks": np.bincount(at, minlength=n).astype(np.int32),
-                "prose_share": np.where(some, by[:, :_PROSE].sum(1) / in_blocks, np.nan),
-                "profile": np.where(some, np.array(_NAMES, object)[by.argmax(1)], "blank"), "divergence": np.where(some, total(size * dist) / in_blocks, np.nan),
+                "prose_share": np.where(some, (by[:, :_PROSE].sum(1) + by[:, -1]) / in_blocks, np.nan),
+                "profile": np.where(some, np.array(KINDS, object)[by.argmax(1)], "blank"), "divergence": np.where(some, total(size * dist) / in_blocks, np.nan),
             })
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -1,6 +1,9 @@
 import pytest
 
-from orrery.llm.prose import classify, divergence, quality, _NAMES, _PROSE
+from language_cases import LISTS
+from language_cases import PROSE as FOREIGN
+from orrery.llm.prose import KINDS, classify, divergence, quality, _NAMES, _PROSE
+from orrery.llm.rhythm import reads_as_prose
 
 import numpy as np
 
@@ -32,6 +35,29 @@ def test_other(text):
     assert classify([text])[0][0] >= _PROSE
 
 
+def _is_prose(text):
+    return KINDS[classify([text])[0][0]].startswith("prose")
+
+
+@pytest.mark.parametrize("language", list(FOREIGN))
+def test_prose_of_other_languages(language):
+    text = FOREIGN[language]
+    assert _is_prose(text) and _is_prose(text.upper()) and _is_prose(text.replace(" ", "\n", 60).replace("\n", " ", 9) if language in ("zh", "ja") else text)
+    words = text.split(" ")
+    if len(words) > 20:  # wrapped lines
+        assert _is_prose("\n".join(" ".join(words[i : i + 9]) for i in range(0, len(words), 9)))
+
+
+@pytest.mark.parametrize("text", [x for v in LISTS.values() for x in v])
+def test_lists_of_other_languages(text):
+    assert not _is_prose(text) and not reads_as_prose(text)
+
+
+@pytest.mark.parametrize("text", ["", "\n", "...", "Да.", "asdf jkl; ghgh sdfkj;l qwpeoir sldkfj ;alskd ghfj\nlkjh; fdsa hjkl gfds ;lkj", FOREIGN["ru"].encode().decode("cp1252", "replace"), FOREIGN["it"].replace("e", "\ufffd")])
+def test_rhythm_of_what_is_no_prose(text):
+    assert not reads_as_prose(text)
+
+
 def test_divergence():
     p = np.array([[1.0, 0.0], [0.5, 0.5]])
     d = divergence(p, p)
