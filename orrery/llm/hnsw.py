@@ -21,46 +21,54 @@ class Layer:
         self.size = 0
 
 
-def _beam(layer: Layer, q: np.ndarray, entry: np.ndarray, ef: int, wide: int = 3) -> tuple[np.ndarray, np.ndarray]:
-    """For each query the ef best nodes found from `entry` (queries x entries): positions (-1: none) and cosines, best first."""
-    n, b = layer.size, len(q)
-    ids = np.full((b, ef), -1, np.int32)
-    sims = np.full((b, ef), -np.inf, np.float32)
-    done = np.ones((b, ef), bool)
-    seen = np.zeros((b, n + 1), bool)  # the last column takes the padding
-    seen[:, n] = True
-    new = entry.astype(np.int32)
-    rows = np.arange(b)
+def _beam(layer: Layer, q: np.ndarray, entry: np.ndarray, ef: int, wide: int = 3, floor: float = -np.inf, least: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """For each query the ef best nodes found from `entry` (queries x entries): positions (-1: none) and cosines, best first.
+
+    The `wide` best nodes not yet looked at are expanded at a time, until all of the ef are. After `least` of them, nodes
+    under `floor` are not expanded: a query that has met nothing near by then has nothing near.
+    """
+    n, b, degree = layer.size, len(q), layer.degree
+    found_i, found_s = np.full((b, ef), -1, np.int32), np.full((b, ef), -np.inf, np.float32)
+    seen = np.zeros(b * (n + 1), bool)
+    base = np.arange(b, dtype=np.int64) * (n + 1)
+    seen[base + n] = True  # takes the padding
+    rows, ids, sims, fresh_ones = np.arange(b), found_i.copy(), found_s.copy(), np.zeros((b, ef), bool)
+    new, expanded = entry.astype(np.int32), 0
     while True:
         new = np.where(new < 0, n, new)
         new.sort(axis=1)
-        fresh = ~seen[rows[:, None], new]
+        flat = base[:, None] + new
+        fresh = ~seen[flat]
         fresh[:, 1:] &= new[:, 1:] != new[:, :-1]
-        seen[rows[:, None], new] = True
-        s = np.full(new.shape, -np.inf, np.float32)
+        seen[flat] = True
         r, c = np.nonzero(fresh)
-        s[r, c] = np.einsum("ij,ij->i", layer.v[new[r, c]], q[rows][r] if len(rows) != b else q[r])
-        all_s = np.concatenate([sims[rows], s], 1)
-        all_i = np.concatenate([ids[rows], np.where(fresh, new, -1)], 1)
-        all_d = np.concatenate([done[rows], ~fresh], 1)
-        top = np.argpartition(-all_s, ef - 1, axis=1)[:, :ef]
-        sims[rows] = np.take_along_axis(all_s, top, 1)
-        ids[rows] = np.take_along_axis(all_i, top, 1)
-        done[rows] = np.take_along_axis(all_d, top, 1)
-        rows = rows[~done[rows].all(1)]
-        if not len(rows):
-            break
-        key = np.where(done[rows], -np.inf, sims[rows])
-        k = min(wide, ef)
-        pick = np.argpartition(-key, k - 1, axis=1)[:, :k]
-        usable = np.take_along_axis(key, pick, 1) > -np.inf
-        at = np.where(usable, np.take_along_axis(ids[rows], pick, 1), 0)
-        d = done[rows]
-        np.put_along_axis(d, pick, True, 1)
-        done[rows] = d
-        new = np.where(usable[:, :, None], layer.links[at], -1).reshape(len(rows), -1)
-    order = np.argsort(-sims, axis=1, kind="stable")
-    return np.take_along_axis(ids, order, 1), np.take_along_axis(sims, order, 1)
+        node = new[r, c]
+        s = np.einsum("ij,ij->i", layer.v[node], q[r])
+        better = s > sims[r, -1]
+        r, node, s = r[better], node[better], s[better]
+        count = np.bincount(r, minlength=len(rows))
+        if len(r):
+            at = np.arange(len(r)) - np.repeat(np.cumsum(count) - count, count)
+            more_s, more_i = np.full((len(rows), int(count.max())), -np.inf, np.float32), np.full((len(rows), int(count.max())), -1, np.int32)
+            more_s[r, at], more_i[r, at] = s, node
+            all_s, all_i, all_new = np.concatenate([sims, more_s], 1), np.concatenate([ids, more_i], 1), np.concatenate([fresh_ones, more_i >= 0], 1)
+            top = np.argsort(-all_s, axis=1, kind="stable")[:, :ef]
+            row = np.arange(len(rows))[:, None]
+            sims, ids, fresh_ones = all_s[row, top], all_i[row, top], all_new[row, top]
+        may = fresh_ones & (sims >= floor) if expanded >= least else fresh_ones
+        place = np.cumsum(may, axis=1)
+        live = place[:, -1] > 0
+        if not live.all():
+            found_i[rows[~live]], found_s[rows[~live]] = ids[~live], sims[~live]
+            if not live.any():
+                return found_i, found_s
+            rows, ids, sims, fresh_ones, base, q, may, place = (x[live] for x in (rows, ids, sims, fresh_ones, base, q, may, place))
+        r, c = np.nonzero(may & (place <= wide))
+        fresh_ones[r, c] = False
+        new = np.full((len(rows), wide, degree), -1, np.int32)
+        new[r, place[r, c] - 1] = layer.links[ids[r, c]]
+        new = new.reshape(len(rows), -1)
+        expanded += wide
 
 
 def _diverse(layer: Layer, q: np.ndarray, ids: np.ndarray, sims: np.ndarray, m: int) -> np.ndarray:
@@ -153,7 +161,7 @@ def entries(layer: Layer, n: int) -> np.ndarray:
 class Graph:
     """The graph over unit vectors (float32, one per row); rows are shuffled by a fixed seed, since batches assume no order."""
 
-    def __init__(self, vectors: np.ndarray, m: int = 12, ef: int = 40, batch: int = 256, fan: int = 12, seed: int = 7):
+    def __init__(self, vectors: np.ndarray, m: int = 12, ef: int = 32, batch: int = 256, fan: int = 12, seed: int = 7):
         n = len(vectors)
         self.order = np.random.default_rng(seed).permutation(n)
         base = np.ascontiguousarray(vectors[self.order], np.float32)
@@ -166,8 +174,11 @@ class Graph:
                 break
             n = max(1, n // fan)
 
-    def search(self, q: np.ndarray, k: int, ef: int = 48, batch: int = 256) -> tuple[np.ndarray, np.ndarray]:
-        """Rows of the k most similar vectors for each query (-1: none) and their approximate cosines."""
+    def search(self, q: np.ndarray, k: int, ef: int = 32, floor: float = -np.inf, least: int = 16, batch: int = 256) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of the k most similar vectors for each query (-1: none) and their approximate cosines.
+
+        With a `floor`, only neighbours of that similarity are wanted, and a search that meets none near it ends early.
+        """
         if not len(self.order):
             return np.full((len(q), k), -1, np.int64), np.full((len(q), k), -np.inf, np.float32)
         out_i, out_s = [], []
@@ -176,7 +187,7 @@ class Graph:
             at = np.repeat(np.arange(self.layers[-1].size)[None], len(part), 0)  # the top layer is small enough to start everywhere
             for layer in reversed(self.layers[1:]):
                 at, _ = _beam(layer, part, at, 4)
-            i, s = _beam(self.layers[0], part, at, max(ef, k))
+            i, s = _beam(self.layers[0], part, at, max(ef, k), floor=floor, least=least)
             out_i.append(np.where(i[:, :k] >= 0, self.order[np.maximum(i[:, :k], 0)], -1))
             out_s.append(s[:, :k])
         return np.concatenate(out_i) if out_i else np.zeros((0, k), np.int64), np.concatenate(out_s) if out_s else np.zeros((0, k), np.float32)

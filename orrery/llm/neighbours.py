@@ -1,12 +1,15 @@
 """Most similar vectors for every vector.
 
 The vectors are spread over shards by a coarse quantiser fitted on a bounded sample; a shard that is still too large
-is cut into parts by hash. Each part holds an HNSW graph (flat neighbour arrays, `hnsw.Graph`) of its own vectors
-and is searched by them and by the vectors of other shards that lie near its border. The answers of all shards are
-merged, both directions of a pair are used, and the similarities are computed anew in double precision.
-
-Equal vectors are one node: their ids come back in when the lists are made, so that a vector that a third of the
-rows share neither blows up a shard nor crowds other neighbours out.
+is cut into parts by hash, and a part with very many visitors into blocks of them. Each part holds an HNSW graph (flat
+neighbour arrays, `hnsw.Graph`) of its own vectors and is searched by them and by the vectors of other shards that lie near
+its border. The answers of all shards are merged, both directions of a pair are used, and the similarities are computed
+in double precision.
+
+Equal vectors are one node: the k + 1 smallest of their ids stand for it in any list, and every id takes its vector's list in the
+end, so that a vector that a third of the rows share neither blows up a shard nor crowds other neighbours out. Which vector
+counts for an id, and which ids share one, is settled on hashes; the vectors themselves move twice, once to be made
+distinct and once to their shards.
 """
 
 from __future__ import annotations
@@ -16,27 +19,37 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orrery.llm.hnsw import Graph
 from orrery.session import cut
 
-#: Vectors that the quantiser is fitted on, at most; every vector is indexed and searched.
+#: Vectors that the quantiser is fitted on: so many, or eight per shard if that is more; every vector is indexed and searched.
 SAMPLE = 16_384
 #: Vectors of a graph, about.
-SHARD = 4_096
+SHARD = 8_192
 #: A vector also searches each shard whose centre is no less similar to it than its own shard's centre by more than this.
 MARGIN = 0.15
-#: Shards of the quantiser, at most; larger collections get larger shards, which are cut by hash.
-CENTRES = 4_096
+#: Shards at most, which bounds the sample to 262,144 vectors; larger collections get larger shards, cut by hash.
+CENTRES = 32_768
+#: Shards up to which all centres are compared; beyond, centres are nested and only near cells are looked into.
+FLAT = 512
 
 
-def usable(vectors: DataFrame, width: int) -> DataFrame:
-    """Rows (id, embedding) that have a direction: of the given width, without null, NaN or infinite entries, not all zero."""
-    e = F.col("embedding")
-    fine = F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
-    return vectors.where(e.isNotNull() & F.col("id").isNotNull() & (F.size(e) == width) & fine & F.exists(e, lambda x: x != 0))
+def usable(e: Column, width: int) -> Column:
+    """Whether a vector has a direction: of the given width, without null, NaN or infinite entries, not all zero."""
+    top, low = F.array_max(e), F.array_min(e)
+    # NaN ranks above infinity; looking for an absent value gives null if there are null entries
+    whole = F.array_contains(e, F.lit(float("nan")).cast("float")).eqNullSafe(F.lit(False))
+    fine = (F.size(e) == width) & (top < F.lit(float("inf"))) & (low > F.lit(float("-inf"))) & whole & ((top != 0) | (low != 0))
+    return F.coalesce(fine, F.lit(False))
+
+
+#: What a row is to a graph: a vector of it that also asks, one of it only, or one that only asks.
+_BOTH, _HELD, _ASKS = 0, 1, 2
+#: How far under the wanted similarity a node may lie and still be expanded.
+_NEAR = 0.2
 
 
 def fit_centres(sample: np.ndarray, k: int, rounds: int = 8, seed: int = 11) -> np.ndarray:
@@ -52,6 +65,38 @@ def fit_centres(sample: np.ndarray, k: int, rounds: int = 8, seed: int = 11) ->
     return c
 
 
+class Quantiser:
+    """Centres of shards. Above `flat` of them they are nested: cells, and the centres inside each."""
+
+    def __init__(self, sample: np.ndarray, k: int, flat: int = FLAT, slack: float = 0.15):
+        self.slack = slack
+        if k <= flat:
+            self.cells = None
+            self.centres = fit_centres(sample, k) if len(sample) else np.zeros((1, sample.shape[1]))
+            return
+        self.cells = fit_centres(sample, math.isqrt(k - 1) + 1)
+        at = (sample @ self.cells.T).argmax(1)
+        inner = [fit_centres(sample[at == c], max(1, round(k * np.mean(at == c)))) if (at == c).any() else self.cells[c : c + 1] for c in range(len(self.cells))]
+        self.first = np.cumsum([0] + [len(x) for x in inner])
+        self.centres = np.concatenate(inner)
+
+    def near(self, u: np.ndarray, margin: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, shard, whether it is the row's own shard) for all shards near a row's vector."""
+        if self.cells is None:
+            sims = u @ self.centres.T
+        else:
+            top = u @ self.cells.T
+            look = top >= top.max(1, keepdims=True) - margin - self.slack
+            sims = np.full((len(u), len(self.centres)), -np.inf, np.float32)
+            for c in np.nonzero(look.any(0))[0]:
+                rows, lo, hi = np.nonzero(look[:, c])[0], self.first[c], self.first[c + 1]
+                sims[rows, lo:hi] = u[rows] @ self.centres[lo:hi].T
+        home = sims.argmax(1)
+        near = sims >= sims[np.arange(len(u)), home][:, None] - margin
+        row, to = np.nonzero(near)
+        return row, to, to == home[row]
+
+
 def _unit(col: pd.Series) -> np.ndarray:
     x = np.stack(col.to_numpy()).astype(np.float64) if len(col) else np.zeros((0, 1))
     return x / np.linalg.norm(x, axis=1, keepdims=True)
@@ -72,63 +117,78 @@ def _first_tied(u: np.ndarray, rows: np.ndarray, home: np.ndarray, most: int, di
 
 
 def nearest(
-    vectors: DataFrame, k: int = 5, floor: float = 0.86, width: int = 64, digits: int = 4, spare: int = 19, ef: int = 48, shard: int = SHARD, margin: float = MARGIN
+    vectors: DataFrame, k: int = 5, floor: float = 0.86, width: int = 64, digits: int = 4, spare: int = 19, ef: int = 32, shard: int = SHARD, margin: float = MARGIN, version: str | None = None, flat: int = FLAT
 ) -> DataFrame:
     """(id, neighbour, similarity): up to k most similar other ids of every id, of similarity `floor` or more.
 
-    `vectors` is (id, embedding), one row per id; repeated rows count once, and of several vectors of an id the
-    greatest is taken. Similarity is the cosine, rounded to `digits`; ties go to the smaller id. Rows without a usable
-    vector take no part, an empty table gives an empty result, a lone vector has no neighbour. `spare` more distinct
-    vectors than k are kept per search; where even the last of them ties with the k-th, the part is scanned whole, so
-    that ties and copies are settled exactly.
+    `vectors` is (id, embedding), and `version` names a column of which an id's highest row counts; repeated rows count
+    once, and of several vectors of that version one is taken, the same in every run. Similarity is the cosine, rounded to
+    `digits`; ties go to the smaller id. Ids without a usable vector take no part, an empty table gives an empty result, a
+    lone vector has no neighbour. `spare` more distinct vectors than k are kept per search; where even the last of them
+    ties with the k-th, the part is scanned whole, so that ties and copies are settled exactly.
     """
     spark = vectors.sparkSession
-    own = usable(vectors.select("id", "embedding"), width).groupBy("id").agg(F.max("embedding").alias("embedding"))
-    keyed = own.withColumns({"h1": F.xxhash64("embedding"), "h2": F.hash("embedding")})
-    keyed = cut(keyed)
-    groups = cut(keyed.groupBy("h1", "h2").agg(F.min("id").alias("vid"), F.min("embedding").alias("embedding")))
-    members = keyed.select("id", "h1", "h2").join(groups.select("h1", "h2", "vid"), ["h1", "h2"]).select("id", "vid")
-    n = groups.count()
-
-    centres_n = max(1, min(CENTRES, math.ceil(n / shard)))
-    part = min(1.0, SAMPLE / max(n, 1))
-    drawn = groups.where(F.pmod(F.col("h1"), F.lit(1 << 20)) < F.lit(math.ceil(part * (1 << 20)))).select("embedding").limit(2 * SAMPLE).toPandas()
-    centres = fit_centres(_unit(drawn["embedding"]), centres_n) if len(drawn) else np.zeros((1, width))
-    shared = spark.sparkContext.broadcast(centres)
+    e = F.col("embedding")
+    raw = vectors.select("id", (F.col(version) if version else F.lit(0)).alias("version"), "embedding").where("id IS NOT NULL")
+    key = {"h1": F.xxhash64(e), "h2": F.hash(e)}
+    said = raw.select("id", "version", *[F.when(usable(e, width), v).alias(h) for h, v in key.items()])
+    best = F.max(F.struct("version", "h1", "h2")).alias("m")
+    own = cut(said.groupBy("id").agg(best).select("id", "m.h1", "m.h2").where("h1 IS NOT NULL"))
+    n = own.agg(F.approx_count_distinct("h1").alias("n")).first()["n"]
+
+    first = Window.partitionBy("h1", "h2").orderBy("id")
+    heads = own.withColumn("r", F.row_number().over(first)).where(F.col("r") <= k + 1).groupBy("h1", "h2").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+    keyed = raw.where(usable(e, width)).select(*[v.alias(h) for h, v in key.items()], "embedding")
+    distinct = keyed.groupBy("h1", "h2").agg(F.first("embedding").alias("embedding")).join(heads, ["h1", "h2"])
+
+    shards = max(1, min(CENTRES, math.ceil(n / shard)))
+    size = max(SAMPLE, 8 * shards)
+    share = math.ceil(min(1.0, size / max(n, 1)) * (1 << 20))
+    drawn = keyed.where(F.pmod(F.col("h1"), F.lit(1 << 20)) < F.lit(share)).groupBy("h1", "h2").agg(F.first("embedding").alias("embedding")).select("embedding").limit(2 * size).toPandas()
+    sample = _unit(drawn["embedding"]) if len(drawn) else np.zeros((0, width))
+    quantiser = Quantiser(sample, shards, flat)
+    # how many parts and blocks a shard takes, judged by the sample
+    row, to, home = quantiser.near(sample, margin)
+    scale = n / max(1, len(sample))
+    parts = np.maximum(1, np.ceil(np.bincount(to[home], minlength=len(quantiser.centres)) * scale / (4 * shard))).astype(np.int64)
+    blocks = np.maximum(1, np.ceil(np.bincount(to, minlength=len(quantiser.centres)) * scale / parts / (32 * shard))).astype(np.int64)
+    shared = spark.sparkContext.broadcast((quantiser, parts, blocks))  # at most CENTRES centres
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        c = shared.value
+        q, parts, blocks = shared.value
         for pdf in batches:
-            if not len(pdf):
-                continue
-            sims = _unit(pdf["embedding"]) @ c.T
-            home = sims.argmax(1)
-            near = sims >= sims[np.arange(len(pdf)), home][:, None] - margin
-            near[np.arange(len(pdf)), home] = True
-            row, to = np.nonzero(near)
-            yield pd.DataFrame({"vid": pdf["vid"].to_numpy()[row], "embedding": pdf["embedding"].to_numpy()[row], "shard": to.astype(np.int32), "home": to == home[row]})
-
-    placed = cut(groups.select("vid", "embedding").mapInPandas(place, "vid string, embedding array<float>, shard int, home boolean"))
-    # parts of a shard: homes are dealt by hash, visitors go to each
-    sizes = placed.where("home").groupBy("shard").count().withColumn("parts", F.greatest(F.lit(1), F.ceil(F.col("count") / F.lit(4 * shard))).cast("int"))
-    dealt = placed.join(F.broadcast(sizes.select("shard", "parts")), "shard")  # at most CENTRES rows
-    mine = F.pmod(F.xxhash64("vid"), F.col("parts")).cast("int")
-    spread = dealt.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("home", F.col("home") & (F.col("part") == mine)).drop("parts")
+            for lo in range(0, len(pdf), 2048):
+                part = pdf.iloc[lo : lo + 2048]
+                row, to, home = q.near(_unit(part["embedding"]), margin)
+                # to each part of a shard; of the own part to each block, as one of the graph
+                h = part["h1"].to_numpy(np.int64) & 0x7FFFFFFFFFFFFFFF
+                reps = parts[to]
+                row, to, home, p = np.repeat(row, reps), np.repeat(to, reps), np.repeat(home, reps), np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps)
+                mine, asks = home & (h[row] % parts[to] == p), h[row] // 97 % blocks[to]
+                reps = np.where(mine, blocks[to], 1)
+                at = np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps)
+                row, to, p, mine, asks = (np.repeat(x, reps) for x in (row, to, p, mine, asks))
+                block = np.where(mine, at, asks)
+                role = np.where(mine, np.where(block == asks, _BOTH, _HELD), _ASKS)
+                yield pd.DataFrame({"ids": part["ids"].to_numpy()[row], "embedding": part["embedding"].to_numpy()[row], "shard": to.astype(np.int32), "part": p.astype(np.int32), "block": block.astype(np.int32), "role": role.astype(np.int8)})
+
+    placed = distinct.select("h1", "ids", "embedding").mapInPandas(place, "ids array<string>, embedding array<float>, shard int, part int, block int, role byte")
 
     keep = k + 1 + spare
     low = floor - 0.51 * 10.0**-digits - 1e-6
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("vid", kind="stable")
-        u = _unit(pdf["embedding"])
-        vid = pdf["vid"].to_numpy()
-        home = np.nonzero(pdf["home"].to_numpy())[0]
-        at, _ = Graph(u[home]).search(u, keep, max(ef, keep))
+        vid = np.array([x[0] for x in pdf["ids"]], object)
+        order = np.argsort(vid, kind="stable")
+        pdf, vid = pdf.iloc[order], vid[order]
+        u, role, ids = _unit(pdf["embedding"]), pdf["role"].to_numpy(), pdf["ids"].to_numpy()
+        home, asks = np.nonzero(role != _ASKS)[0], np.nonzero(role != _HELD)[0]
+        at, _ = Graph(u[home]).search(u[asks], keep, ef, floor - _NEAR)
         q, j = np.nonzero(at >= 0)
-        to = home[at[q, j]] if len(home) else np.zeros(0, int)
-        other = vid[q] != vid[to]
-        q, j, to = q[other], j[other], to[other]
-        s = np.einsum("ij,ij->i", u[q], u[to])
+        a, to = asks[q], home[at[q, j]] if len(home) else np.zeros(0, int)
+        other = a != to
+        q, j, a, to = q[other], j[other], a[other], to[other]
+        s = np.einsum("ij,ij->i", u[a], u[to])
         got = np.full(at.shape, np.inf)  # negative rounded similarities, the best first
         got[q, j] = -np.round(s, digits)
         got.sort(axis=1)
@@ -136,28 +196,30 @@ def nearest(
         tied = np.nonzero(full & (got[:, keep - 2] <= got[:, k - 1]) & (-got[:, k - 1] >= low))[0]
         if len(tied):
             fine = ~np.isin(q, tied)
-            more, at_home = _first_tied(u, tied, home, k + 2, digits)
+            more, at_home = _first_tied(u, asks[tied], home, k + 2, digits)
             near = home[at_home]
-            other = vid[more] != vid[near]
-            q, to = np.concatenate([q[fine], more[other]]), np.concatenate([to[fine], near[other]])
+            other = more != near
+            a, to = np.concatenate([a[fine], more[other]]), np.concatenate([to[fine], near[other]])
             s = np.concatenate([s[fine], np.einsum("ij,ij->i", u[more[other]], u[near[other]])])
-        ok = s >= low
-        return pd.DataFrame({"a": vid[q[ok]], "b": vid[to[ok]], "similarity": np.round(s[ok], digits)})
-
-    found = spread.groupBy("shard", "part").applyInPandas(search, "a string, b string, similarity double").where(F.col("similarity") >= floor)
-    ways = F.explode(F.array(F.struct(F.col("a").alias("a"), F.col("b").alias("b")), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("w")
-    both = cut(found.select(ways, "similarity").select("w.a", "w.b", "similarity").groupBy("a", "b").agg(F.max("similarity").alias("similarity")))
-
-    # the k + 1 smallest ids of each distinct vector stand for it in any list
-    first = Window.partitionBy("vid").orderBy("id")
-    heads = members.withColumn("r", F.row_number().over(first)).where(F.col("r") <= k + 1).select(F.col("vid").alias("b"), F.col("id").alias("neighbour"))
-    best = Window.partitionBy("a").orderBy(F.desc("similarity"), "neighbour")
-    pool = both.join(heads, "b").select("a", "neighbour", "similarity").union(heads.select(F.col("b").alias("a"), "neighbour", F.lit(1.0).alias("similarity")))
-    pool = pool.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k + 1).drop("r")
-    lists = pool.groupBy("a").agg(F.sort_array(F.collect_list(F.struct((-F.col("similarity")).alias("d"), "neighbour"))).alias("list"))  # k + 1 entries at most
-    named = members.join(lists, members["vid"] == lists["a"])
-    mine_out = F.slice(F.filter("list", lambda x: x["neighbour"] != F.col("id")), 1, k)
-    return named.select("id", F.explode(mine_out).alias("x")).select("id", F.col("x.neighbour").alias("neighbour"), (-F.col("x.d")).alias("similarity"))
+        s = np.round(s, digits)
+        a, to, s = a[s >= floor], to[s >= floor], s[s >= floor]
+        # each way, and each id that stands for the other vector
+        a, to, s = np.concatenate([a, to]), np.concatenate([to, a]), np.concatenate([s, s])
+        n_ids = np.fromiter(map(len, ids), np.int64, len(ids))
+        names, begin = np.array([x for y in ids for x in y], object), np.cumsum(n_ids) - n_ids
+        reps = n_ids[to]
+        name = np.repeat(begin[to], reps) + np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps)
+        return pd.DataFrame({"a": vid[np.repeat(a, reps)], "b": names[name], "similarity": np.repeat(s, reps)})
+
+    found = placed.groupBy("shard", "part", "block").applyInPandas(search, "a string, b string, similarity double")
+    copies = heads.where("size(ids) > 1").select(F.col("ids")[0].alias("a"), F.explode("ids").alias("b"), F.lit(1.0).alias("similarity"))
+    # a pair is found at most once from either side, so that so many rows hold the k + 1 best
+    best = Window.partitionBy("a").orderBy(F.desc("similarity"), "b")
+    pool = found.unionByName(copies).withColumn("r", F.row_number().over(best)).where(F.col("r") <= 2 * (k + 1))
+    lists = pool.groupBy("a").agg(F.slice(F.array_sort(F.collect_set(F.struct((-F.col("similarity")).alias("d"), F.col("b").alias("neighbour")))), 1, k + 1).alias("list"))
+    named = own.join(heads, ["h1", "h2"]).select("id", F.col("ids")[0].alias("a")).join(lists, "a")
+    mine = F.slice(F.filter("list", lambda x: x["neighbour"] != F.col("id")), 1, k)
+    return named.select("id", F.explode(mine).alias("x")).select("id", F.col("x.neighbour").alias("neighbour"), (-F.col("x.d")).alias("similarity"))
 
 
 def brute_force(ids: list[str], x: np.ndarray, k: int = 5, floor: float = 0.86, digits: int = 4) -> set[tuple[str, str]]:

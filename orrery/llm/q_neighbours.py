@@ -6,14 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orrery.llm.neighbours import nearest
-from orrery.operators.current import latest
 from orrery.session import table
 
 
 def p1_neighbours(spark: SparkSession, d: str) -> DataFrame:
     """(id, neighbour, similarity) of every current chunk."""
     chunks = table(spark, d, "semantic_chunks").select("id", "generation", "embedding")
-    return nearest(latest(chunks, ["id"], "generation", ["embedding"]))
+    return nearest(chunks, version="generation")
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:

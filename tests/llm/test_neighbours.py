@@ -59,6 +59,16 @@ def test_a_hot_direction_of_unequal_vectors(spark, kind):
     assert {p for p in got if p[0] in hot} == {p for p in want if p[0] in hot}
 
 
+@pytest.mark.parametrize("shard,flat", [(32, 2), (64, 4), (16, 512)])
+def test_nested_centres_and_versions(spark, shard, flat):
+    x = _clustered(1500, 4)
+    ids = [f"c{i:04d}" for i in range(len(x))]
+    rows = [(i, 2, [float(a) for a in v]) for i, v in zip(ids, x)] + [(i, 1, [float(a) for a in v]) for i, v in zip(ids, x[::-1])] + [(i, None, [1.0] * 64) for i in ids[:9]] + [("gone", 1, [1.0] * 64), ("gone", 2, None)]
+    got = {(r["id"], r["neighbour"]) for r in nearest(spark.createDataFrame(rows, "id string, v int, embedding array<float>"), shard=shard, flat=flat, version="v").collect()}
+    want = brute_force(ids, x)
+    assert len(got & want) >= 0.97 * len(want) and len(got - want) <= 0.03 * len(want)
+
+
 def test_empty_and_lone(spark):
     assert nearest(_frame(spark, [], [])).count() == 0
     assert nearest(_frame(spark, ["a"], [[1.0] * 64])).count() == 0
