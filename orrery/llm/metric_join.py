@@ -1,33 +1,43 @@
-"""Near-duplicate sets: an exact Jaccard join by recursive Voronoi regions.
+"""Near-duplicate sets: an exact Jaccard join by regions of shared values and, inside large ones, Voronoi regions.
 
 The Jaccard distance d = 1 - |a & b| / |a | b| is a metric, so that a document within eps of another lies, for any
-pivot p, within eps of that other's distance to p.
+pivot p, within eps of that other's distance to p. Pivots drawn from the documents are the last level here, not the
+first: sparse unrelated sets are all at distances near 1 from any document, where the triangle inequality excludes
+nothing and would replicate every document into every region.
 
-The first levels take small sets of values as pivots: they are points of the same space, and unlike pivots drawn from
-the documents they tell unrelated sparse sets apart (most documents are at distance 1 from nearly every other document,
-where the triangle inequality excludes nothing). Level 1 has the singletons {t}: a set is at distance 1 - 1/|a| from those of
-its own values and at 1 from all others; ties go to the rarest value. Its window is the shortest run of its values in
-that order which every set within eps must meet: a set keeps at least a share t of its values, so the first value that two
-such sets share is among the |a| - ceil(t|a|) + 1 rarest of each, and the k-th among the |a| - ceil(t|a|) + k rarest. A region
-of more than `cap` sets is therefore divided by the next shared value, {t, u} and {t, u, v}, up to `values` of them.
+The first level is therefore a region per value. In an order of the values from rare to common a set keeps at least a share t
+of its values, so that two sets within the threshold share one of the |a| - ceil(t|a|) + 1 first of each. Only (value, set number,
+place, size, bitmap) rows move there; places, sizes and bitmaps bound what two sets can share, and only pairs that
+pass the bounds fetch their sets and are verified. The values in at most one of `COMMON` sets need no order among
+each other but their fingerprints', so that the counts of the others, a bounded list, are all that is broadcast.
 
-Two sets that share no further value part there, and are joined before: they share the path alone, so that they pass if and only if
-|a| + |b| <= |path| (1 + 1/t), and the join is on the region and the sizes that may meet.
+A region of more than `cap` sets is divided by the next shared value and the next (the k-th that two sets share is among the
+|a| - ceil(t|a|) + k first), up to `values` of them. Two sets that share no further value part there, and are joined before:
+they share the path alone, so that they pass if and only if |a| + |b| <= |path| (1 + 1/t), and the join is on the region
+and the sizes that may meet.
 
 What is still large by then are sets that lie close to each other. Documents drawn by hash become pivots, each member
 goes to the region of the nearest, and is replicated into every other region whose pivot p has
 d(x, p) <= min(d(x, home) + 2 eps, radius(p) + eps). This repeats until regions are small, or stop shrinking; then
-the pairs inside a region are verified. All of it is DataFrame operations on arrays of 64-bit value fingerprints, and
-pairs that pass are verified once more on the values themselves.
+the pairs inside a region are verified. Values are compared by 64-bit fingerprints.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orrery.session import cut
 
+#: Values in more than one of so many sets are ordered by their counts; there are at most COMMON times the mean size of them.
+COMMON = 10_000
+#: Counts that are broadcast, at most; sets of a greater mean size than 200 have fewer values ordered.
+COUNTS = 2_000_000
+
 
 def pooled(*parts: Column) -> Column:
     """The distinct non-null values of array columns, null arrays counting as empty."""
@@ -49,33 +59,108 @@ def _passes(shared: Column, na: Column, nb: Column, t: float) -> Column:
 
 
 def classes(records: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(representatives (rep, vals), membership (id, rep)) of records (id, vals) with equal sets; rep is the smallest id."""
-    keyed = cut(records.where("id IS NOT NULL AND size(vals) > 0").groupBy("id").agg(F.min("vals").alias("vals")).withColumn("key", F.sha2(F.concat_ws("\x1f", "vals"), 256)))
-    reps = cut(keyed.groupBy("key").agg(F.min("id").alias("rep"), F.min("vals").alias("vals")))
-    return reps.select("rep", "vals"), keyed.select("id", "key").join(reps.select("key", "rep"), "key").select("id", "rep")
+    """(representatives (rep, s), membership (id, rep)) of records (id, vals) with equal sets; rep is the smallest id.
+
+    `s` are the fingerprints of the values, ascending. Repeated rows count once; of several sets of an id one is taken, the same in every run.
+    """
+    s = F.array_sort(F.transform("vals", lambda x: F.xxhash64(x)))
+    rec = records.where("id IS NOT NULL AND size(vals) > 0").select("id", s.alias("s")).withColumns({"h1": F.xxhash64("s"), "h2": F.hash("s")})
+    own = cut(rec.groupBy("id").agg(F.min(F.struct("h1", "h2")).alias("m")).select("id", "m.h1", "m.h2"))
+    heads = own.groupBy("h1", "h2").agg(F.min("id").alias("rep"))
+    reps = rec.select("h1", "h2", "s").groupBy("h1", "h2").agg(F.first("s").alias("s")).join(heads, ["h1", "h2"]).select("rep", "s")
+    return reps, own.join(heads, ["h1", "h2"]).select("id", "rep")
+
+
+class Order:
+    """The order of values: those of the list by their counts, all others before them, equals by fingerprint."""
 
+    def __init__(self, values: np.ndarray, counts: np.ndarray):
+        at = np.argsort(values)
+        self.values, self.counts = values[at], counts[at]
 
-def similar_pairs(reps: DataFrame, t: float, cap: int = 24, values: int = 3, pivots: int = 12, depth: int = 8, block: int = 512) -> DataFrame:
-    """(a, b, similarity), a < b: all pairs of distinct sets (rep, vals) whose Jaccard similarity is at least t > 0.
+    def sets(self, column: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(values in order, set of each, place of each, size of each set)."""
+        size = column.map(len).to_numpy(np.int64)
+        flat = np.concatenate(list(column)).astype(np.int64) if len(column) else np.zeros(0, np.int64)
+        owner = np.repeat(np.arange(len(size)), size)
+        rank = np.zeros(len(flat), np.int64)
+        if len(self.values):
+            at = np.minimum(np.searchsorted(self.values, flat), len(self.values) - 1)
+            rank = np.where(self.values[at] == flat, self.counts[at], 0)
+        order = np.lexsort((flat, rank, owner))
+        return flat[order], owner, np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size), size
+
+
+def _bitmaps(flat: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """128 bits of each set, one set for each value."""
+    bit = (flat.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(57)
+    words = [np.where(bit >> np.uint64(6) == w, np.uint64(1) << (bit & np.uint64(63)), np.uint64(0)) for w in (0, 1)]
+    begin = np.cumsum(size) - size
+    return np.stack([np.bitwise_or.reduceat(w, begin) for w in words]).view(np.int64) if len(flat) else np.zeros((2, 0), np.int64)
+
+
+def similar_pairs(reps: DataFrame, t: float, cap: int = 128, values: int = 3, pivots: int = 12, depth: int = 8, block: int = 512) -> DataFrame:
+    """(a, b, similarity), a < b: all pairs of distinct sets (rep, s) whose Jaccard similarity is at least t > 0.
 
     No pair is lost and none is approximate. Empty sets are not in `reps`; an empty table gives an empty result.
     """
-    occ = reps.select("rep", F.explode("vals").alias("v"))
-    freq = occ.groupBy("v").agg(F.count(F.lit(1)).alias("f"))
-    # values in order of rarity, as 64-bit fingerprints
-    ordered = (
-        occ.join(freq, "v")
-        .groupBy("rep")
-        .agg(F.array_sort(F.collect_list(F.struct("f", "v"))).alias("o"))  # as long as the set itself
-        .select("rep", F.transform("o", lambda x: F.xxhash64(x["v"])).alias("s"))
-    )
-    ordered = cut(ordered)
+    base = cut(reps.select("rep", "s").withColumn("rid", F.monotonically_increasing_id()))
+    n, total = base.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("s")), F.lit(0))).first()
+    common = min(COMMON, COUNTS * n // max(total, 1))
+    often = base.select(F.explode("s").alias("v")).groupBy("v").agg(F.count(F.lit(1)).alias("f")).where(F.col("f") > max(1, n // max(common, 1))).toPandas()
+    order = base.sparkSession.sparkContext.broadcast(Order(often["v"].to_numpy(np.int64), often["f"].to_numpy(np.int64)))
+
+    def prefixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            flat, owner, place, size = order.value.sets(pdf["s"])
+            bits = _bitmaps(flat, size)
+            keep = place <= (size - np.ceil(t * size - 1e-9).astype(np.int64))[owner]
+            of = owner[keep]
+            yield pd.DataFrame({"v": flat[keep], "rid": pdf["rid"].to_numpy()[of], "place": place[keep].astype(np.int32), "n": size[of].astype(np.int32), "b0": bits[0][of], "b1": bits[1][of]})
+
+    slim = base.select("rid", "s").mapInPandas(prefixes, "v long, rid long, place int, n int, b0 long, b1 long")
+    met = slim.groupBy("v").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    wide = cut(met.where(F.col("size") > cap))
+    regions = slim.join(met.where(F.col("size") <= cap).drop("size"), "v")
+    pairs = _bounded_pairs(regions, t)
+    sa, sb = (base.select(F.col("rid").alias(f"r{x}"), F.col("rep").alias(x), F.col("s").alias(f"s{x}")) for x in "ab")
+    whole = pairs.join(sa, "ra").join(sb, "rb").withColumn("shared", _shared(F.col("sa"), F.col("sb")))
+    na, nb = F.size("sa"), F.size("sb")
+    similarity = (F.col("shared") / (na + nb - F.col("shared"))).alias("similarity")
+    fine = whole.where(_passes(F.col("shared"), na, nb, t)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), similarity)
+    if wide.isEmpty():
+        return fine
+    # the sets of large regions, whole and in order
+    def ordered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                flat, _, _, size = order.value.sets(pdf["s"])
+                yield pd.DataFrame({"rid": pdf["rid"], "rep": pdf["rep"], "s": np.split(flat, np.cumsum(size)[:-1])})
+
+    large = slim.join(wide, "v").select("rid", "v", "size")
+    texts = base.join(large.select("rid").distinct(), "rid", "left_semi").select("rid", "rep", "s").mapInPandas(ordered, "rid long, rep string, s array<long>")
+    level = large.join(texts, "rid").select("rep", "s", F.array("v").alias("path"), F.col("v").cast("string").alias("region"), F.lit(True).alias("home"), "size")
+    return fine.unionByName(_large_regions(level, base, t, cap, values, pivots, depth, block)).dropDuplicates(["a", "b"])
+
+
+def _bounded_pairs(regions: DataFrame, t: float) -> DataFrame:
+    """(ra, rb): pairs of a region of one value that may pass, by sizes, by what follows their places, and by their bitmaps."""
+    a, b = (regions.select("v", *[F.col(c).alias(c + x) for c in ("rid", "place", "n", "b0", "b1")]) for x in "ab")
+    need = F.ceil(F.lit(t / (1 + t)) * (F.col("na") + F.col("nb")) - F.lit(1e-9))
+    # each shared prefix value is a row of its own: the first of them has nothing shared before it
+    room = F.least(F.col("na") - F.col("placea"), F.col("nb") - F.col("placeb"))
+    lacks = lambda x, y: F.bit_count(F.col(f"b0{x}").bitwiseAND(F.bitwise_not(F.col(f"b0{y}")))) + F.bit_count(F.col(f"b1{x}").bitwiseAND(F.bitwise_not(F.col(f"b1{y}"))))
+    may = (room >= need) & (F.col("na") - lacks("a", "b") >= need) & (F.col("nb") - lacks("b", "a") >= need)
+    close = (F.col("na") >= F.lit(t) * F.col("nb") - 1e-9) & (F.col("nb") >= F.lit(t) * F.col("na") - 1e-9)
+    return a.join(b, "v").where((F.col("rida") < F.col("ridb")) & close & may).select(F.col("rida").alias("ra"), F.col("ridb").alias("rb")).distinct()
+
+
+def _large_regions(level: DataFrame, reps: DataFrame, t: float, cap: int, values: int, pivots: int, depth: int, block: int) -> DataFrame:
+    """(a, b, similarity) of the regions of more than `cap` sets."""
     n = F.size("s")
     spare = n - F.ceil(F.lit(t) * n - F.lit(1e-9)).cast("int")  # values that a set within the threshold may lack
-    # which sets meet at all is settled on (set, value) rows, before any array is moved
-    slim = ordered.select("rep", F.explode(F.slice("s", 1, spare + 1)).alias("first"))
-    met = slim.groupBy("first").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    level = slim.join(met, "first").join(ordered, "rep").select("rep", "s", F.array("first").alias("path"), F.col("first").cast("string").alias("region"), F.lit(True).alias("home"), "size")
     found: list[DataFrame] = []
     for d in range(depth + 1):
         if d:
@@ -101,10 +186,9 @@ def similar_pairs(reps: DataFrame, t: float, cap: int = 24, values: int = 3, piv
     pairs = found[0]
     for f in found[1:]:
         pairs = pairs.unionByName(f)
-    pairs = pairs.distinct()
-    va, vb = reps.select(F.col("rep").alias("a"), F.col("vals").alias("va")), reps.select(F.col("rep").alias("b"), F.col("vals").alias("vb"))
-    checked = pairs.join(va, "a").join(vb, "b").withColumn("n", _shared(F.col("va"), F.col("vb")))
-    na, nb = F.size("va"), F.size("vb")
+    sa, sb = reps.select(F.col("rep").alias("a"), F.col("s").alias("sa")), reps.select(F.col("rep").alias("b"), F.col("s").alias("sb"))
+    checked = pairs.distinct().join(sa, "a").join(sb, "b").withColumn("n", _shared(F.col("sa"), F.col("sb")))
+    na, nb = F.size("sa"), F.size("sb")
     return checked.where(_passes(F.col("n"), na, nb, t)).select("a", "b", (F.col("n") / (na + nb - F.col("n"))).alias("similarity"))
 
 
