@@ -75,7 +75,7 @@ def _diverse(layer: Layer, q: np.ndarray, ids: np.ndarray, sims: np.ndarray, m:
     """Up to m of the candidates (best first) of each row, none nearer to a kept one than to the row's own vector; then the nearest of the rest."""
     b, c = ids.shape
     vec = layer.v[np.maximum(ids, 0)]
-    among = np.einsum("bij,bkj->bik", vec, vec)
+    among = np.matmul(vec, vec.transpose(0, 2, 1))
     kept = np.zeros((b, c), bool)
     nearest = np.full((b, c), -np.inf, np.float32)  # similarity of each candidate to its most similar kept one
     count = np.zeros(b, np.int32)
@@ -117,7 +117,7 @@ def _link(layer: Layer, at: np.ndarray, to: np.ndarray) -> None:
         heavy = np.nonzero(full)[0]
         for h in range(0, len(heavy), 512):
             hh = heavy[h : h + 512]
-            s = np.einsum("bcj,bj->bc", layer.v[np.maximum(cand[hh], 0)], layer.v[t[hh]])
+            s = np.matmul(layer.v[np.maximum(cand[hh], 0)], layer.v[t[hh]][:, :, None])[:, :, 0]
             s = np.where(cand[hh] >= 0, s, -np.inf)
             o = np.argsort(-s, axis=1, kind="stable")[:, : 2 * deg]
             layer.links[t[hh]] = _diverse(layer, layer.v[t[hh]], np.take_along_axis(cand[hh], o, 1), np.take_along_axis(s, o, 1).astype(np.float32), deg)
@@ -161,9 +161,11 @@ def entries(layer: Layer, n: int) -> np.ndarray:
 class Graph:
     """The graph over unit vectors (float32, one per row); rows are shuffled by a fixed seed, since batches assume no order."""
 
-    def __init__(self, vectors: np.ndarray, m: int = 12, ef: int = 32, batch: int = 256, fan: int = 12, seed: int = 7):
+    def __init__(self, vectors: np.ndarray, m: int = 12, ef: int = 32, batch: int = 512, fan: int = 12, seed: int = 7):
         n = len(vectors)
         self.order = np.random.default_rng(seed).permutation(n)
+        self.place = np.empty(n, np.int32)
+        self.place[self.order] = np.arange(n)
         base = np.ascontiguousarray(vectors[self.order], np.float32)
         self.layers: list[Layer] = []
         while True:  # layer k holds the first n / fan^k rows, so that positions agree between layers
@@ -174,19 +176,23 @@ class Graph:
                 break
             n = max(1, n // fan)
 
-    def search(self, q: np.ndarray, k: int, ef: int = 32, floor: float = -np.inf, least: int = 16, batch: int = 256) -> tuple[np.ndarray, np.ndarray]:
+    def search(self, q: np.ndarray, k: int, ef: int = 32, floor: float = -np.inf, least: int = 16, batch: int = 512, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Rows of the k most similar vectors for each query (-1: none) and their approximate cosines.
 
         With a `floor`, only neighbours of that similarity are wanted, and a search that meets none near it ends early.
+        `own` are the rows of the queries themselves, if they are in the graph: they start from their own nodes.
         """
         if not len(self.order):
             return np.full((len(q), k), -1, np.int64), np.full((len(q), k), -np.inf, np.float32)
         out_i, out_s = [], []
         for lo in range(0, len(q), batch):
             part = np.ascontiguousarray(q[lo : lo + batch], np.float32)
-            at = np.repeat(np.arange(self.layers[-1].size)[None], len(part), 0)  # the top layer is small enough to start everywhere
-            for layer in reversed(self.layers[1:]):
-                at, _ = _beam(layer, part, at, 4)
+            if own is not None:
+                at = self.place[own[lo : lo + batch]][:, None]
+            else:
+                at = np.repeat(np.arange(self.layers[-1].size)[None], len(part), 0)  # the top layer is small enough to start everywhere
+                for layer in reversed(self.layers[1:]):
+                    at, _ = _beam(layer, part, at, 4)
             i, s = _beam(self.layers[0], part, at, max(ef, k), floor=floor, least=least)
             out_i.append(np.where(i[:, :k] >= 0, self.order[np.maximum(i[:, :k], 0)], -1))
             out_s.append(s[:, :k])

@@ -183,7 +183,10 @@ def nearest(
         pdf, vid = pdf.iloc[order], vid[order]
         u, role, ids = _unit(pdf["embedding"]), pdf["role"].to_numpy(), pdf["ids"].to_numpy()
         home, asks = np.nonzero(role != _ASKS)[0], np.nonzero(role != _HELD)[0]
-        at, _ = Graph(u[home]).search(u[asks], keep, ef, floor - _NEAR)
+        graph, inside = Graph(u[home]), role[asks] == _BOTH
+        at = np.empty((len(asks), keep), np.int64)
+        at[inside], _ = graph.search(u[asks[inside]], keep, ef, floor - _NEAR, own=np.searchsorted(home, asks[inside]))
+        at[~inside], _ = graph.search(u[asks[~inside]], keep, ef, floor - _NEAR)
         q, j = np.nonzero(at >= 0)
         a, to = asks[q], home[at[q, j]] if len(home) else np.zeros(0, int)
         other = a != to
