@@ -42,24 +42,28 @@ def orphan_report(refs: DataFrame, parents: DataFrame, history: DataFrame, table
 
     `history` is (scope, ref_id, first_seen_at): every key that the parent table ever had, and when it was first
     seen. A reference is `never_seen` if its key isn't there at all, `deleted` if it is there but not living,
-    `arrived_later` if it is living but was first seen after the reference was written, and `resolved` otherwise.
-    References are counted per key and period, and their earliest and latest times kept, before they meet the
-    parents; only keys whose first sight falls inside such a period need the row-level comparison, which the
-    time itself as a grouping column provides.
+    `arrived_later` if it is living but was first seen after the reference was written, and `resolved` otherwise (a null
+    time or first sight is no later one). The distinct keys are anti-joined against the parents; the references, counted by key
+    and period before they are exchanged, meet only the orphans among the keys and those that arrived after their first
+    reference. All other references are counted without being joined.
     """
-    counted = refs.groupBy("scope", "ref_field", "ref_id", F.date_trunc(period, F.col(at)).alias("period"), F.col(at).alias("_at")).agg(F.count(F.lit(1)).alias("_n"))
-    live = parents.select("scope", "ref_id").distinct().withColumn("_live", F.lit(True))
-    kinds = history.join(live, ["scope", "ref_id"], "left")
-    joined = counted.join(kinds, ["scope", "ref_id"], "left")
-    kind = (
-        F.when(F.col("first_seen_at").isNull(), "never_seen")
-        .when(F.col("_live").isNull(), "deleted")
-        .when(F.col("first_seen_at") > F.col("_at"), "arrived_later")
-        .otherwise("resolved")
-    )
-    one = lambda k: F.sum(F.when(F.col("_kind") == k, F.col("_n")).otherwise(0)).alias(k)
-    return (
-        joined.withColumn("_kind", kind)
-        .groupBy(F.lit(table_name).alias("table_name"), "ref_field", "period")
-        .agg(F.sum("_n").alias("refs"), one("never_seen"), one("deleted"), one("arrived_later"), one("resolved"))
-    )
+    when = F.date_trunc(period, F.col(at)).alias("period")
+    keys = refs.groupBy("scope", "ref_id").agg(F.min(at).alias("_from"))
+    live = parents.select("scope", "ref_id").distinct()
+    seen = history.groupBy("scope", "ref_id").agg(F.min("first_seen_at").alias("_seen"), F.lit(True).alias("_known"))
+    missing = keys.join(live, ["scope", "ref_id"], "left_anti").join(seen, ["scope", "ref_id"], "left")
+    missing = missing.select(F.col("scope").alias("_s"), F.col("ref_id").alias("_k"), F.when(F.col("_known"), "deleted").otherwise("never_seen").alias("_kind"))
+    late = keys.join(live, ["scope", "ref_id"]).join(seen, ["scope", "ref_id"]).where(F.col("_seen") > F.col("_from"))
+    late = late.select(F.col("scope").alias("_s"), F.col("ref_id").alias("_k"), "_seen")
+    same = F.col("scope").eqNullSafe(F.col("_s")) & (F.col("ref_id") == F.col("_k"))
+
+    counted = refs.groupBy("scope", "ref_field", "ref_id", when).agg(F.count(F.lit(1)).alias("_n"))
+    gone = counted.join(missing, same).groupBy("ref_field", "period", "_kind").agg(F.sum("_n").alias("_n"))
+    early = refs.join(late, same).where(F.col("_seen") > F.col(at)).groupBy("ref_field", when).agg(F.count(F.lit(1)).alias("_n"))
+    total = refs.groupBy("ref_field", when).agg(F.count(F.lit(1)).alias("_n"))
+    rows = total.select("ref_field", "period", F.lit("refs").alias("_kind"), "_n").unionByName(gone).unionByName(early.select("ref_field", "period", F.lit("arrived_later").alias("_kind"), "_n"))
+    of = lambda k: F.sum(F.when(F.col("_kind") == k, F.col("_n")).otherwise(0))
+    return rows.groupBy(F.lit(table_name).alias("table_name"), "ref_field", "period").agg(
+        of("refs").alias("refs"), of("never_seen").alias("never_seen"), of("deleted").alias("deleted"), of("arrived_later").alias("arrived_later"),
+        (of("refs") - of("never_seen") - of("deleted") - of("arrived_later")).alias("resolved"),
+    )
