@@ -10,13 +10,17 @@ from pyspark.sql import functions as F
 
 from orrery.functions.stemming import stem
 
-_CAMEL = r"[a-z0-9][A-Z]|[A-Z]{2,}[a-z]"
+#: The runs that an identifier is made of: an acronym up to the word after it, a word with its capitals, capitals alone.
+_RUN = r"[A-Z]+(?=[A-Z][a-z])|[A-Z]*[a-z0-9]+|[A-Z]+"
+#: A word of a query, the signs that make it a path or a qualified name, and the change of case that makes it several words.
+_WORD = r"[A-Za-z0-9_./:-]+"
+_QUALIFIED = r"[._/:-]"
+_SEVERAL = r"[a-z0-9][A-Z]|[A-Z]{2}[a-z]"
 
 
 def split_identifier(c: Column) -> Column:
-    """Lower-case parts of an identifier at case changes and at everything that is neither letter nor digit."""
-    spaced = F.regexp_replace(F.regexp_replace(c, r"([a-z0-9])([A-Z])", "$1 $2"), r"([A-Z]+)([A-Z][a-z])", "$1 $2")
-    return F.filter(F.split(F.lower(spaced), r"[^a-z0-9]+"), lambda x: x != "")
+    """Lower-case parts of an identifier: it is cut at case changes and at everything that is neither letter nor digit."""
+    return F.transform(F.regexp_extract_all(c, F.lit(_RUN), F.lit(0)), F.lower)
 
 
 def normalize_identifier(c: Column) -> Column:
@@ -25,28 +29,24 @@ def normalize_identifier(c: Column) -> Column:
 
 def tokens(c: Column) -> Column:
     """Distinct query tokens in order; identifiers in camel case add their parts."""
-    parts = F.filter(F.split(c, r"[^A-Za-z0-9_./:-]+"), lambda x: x != "")
-
-    def one(x: Column) -> Column:
-        camel = ~x.rlike(r"[._/:-]") & x.rlike(_CAMEL)
-        return F.concat(F.array(F.lower(x)), F.when(camel, split_identifier(x)).otherwise(F.array().cast("array<string>")))
-
-    return F.array_distinct(F.flatten(F.transform(parts, one)))
+    words = F.regexp_extract_all(c, F.lit(_WORD), F.lit(0))
+    parts = lambda x: F.when(x.rlike(_SEVERAL) & ~x.rlike(_QUALIFIED), split_identifier(x)).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.flatten(F.transform(words, lambda x: F.array_prepend(parts(x), F.lower(x)))))
 
 
 def py_split_identifier(text: str) -> list[str]:
-    spaced = re.sub(r"([A-Z]+)([A-Z][a-z])", r"\1 \2", re.sub(r"([a-z0-9])([A-Z])", r"\1 \2", text))
-    return [x for x in re.split(r"[^a-z0-9]+", spaced.lower()) if x]
+    """`split_identifier` on the driver."""
+    return [run.lower() for run in re.findall(_RUN, text)]
 
 
 def py_tokens(query: str) -> list[str]:
-    out: dict[str, None] = {}
-    for part in re.split(r"[^A-Za-z0-9_./:-]+", query):
-        if part:
-            out[part.lower()] = None
-            if not re.search(r"[._/:-]", part) and re.search(_CAMEL, part):
-                out.update(dict.fromkeys(py_split_identifier(part)))
-    return list(out)
+    """`tokens` on the driver."""
+    found = []
+    for word in re.findall(_WORD, query):
+        found.append(word.lower())
+        if re.search(_SEVERAL, word) and not re.search(_QUALIFIED, word):
+            found += py_split_identifier(word)
+    return list(dict.fromkeys(found))
 
 
 def variants(terms: list[str]) -> list[str]:
@@ -59,21 +59,23 @@ def variants(terms: list[str]) -> list[str]:
     return list(out)
 
 
+def plural(word: str) -> str:
+    """The pattern of a word in either number."""
+    return f"{word[:-1]}(?:y|ies)" if word.endswith("y") else f"{word}(?:e?s)?"
+
+
 def term_pattern(term: str) -> str | None:
     """The pattern that finds a term as a whole token, singular or plural; None if it is searched as it stands."""
-    if not re.fullmatch(r"[a-z0-9]+", term, re.I):
-        return None
-    t = term.lower()
-    plural = f"(?:{t}|{t[:-1]}ies)" if t.endswith("y") else f"{t}(?:s|es)?"
-    return f"(^|[^a-z0-9]){plural}([^a-z0-9]|$)"
+    low = term.lower()
+    return rf"(?:^|[^a-z0-9]){plural(low)}(?:[^a-z0-9]|$)" if low.isascii() and low.isalnum() else None
 
 
 def contains_term(text: Column, term: str) -> Column:
-    """Whether lower-case text holds a term."""
-    p = term_pattern(term)
+    """Whether lower-case text holds a term; the empty one is in none."""
     if not term:
         return F.lit(False)
-    return F.contains(text, F.lit(term.lower())) if p is None else text.rlike(p)
+    pattern = term_pattern(term)
+    return text.rlike(pattern) if pattern else F.contains(text, F.lit(term.lower()))
 
 
 def contains_any_variant(text: Column, term: str) -> Column:
@@ -187,17 +189,16 @@ def next_queries(query: str, mode: str) -> list[str]:
     }.get(mode, [f"module overview for {query}", f"key symbols for {query}", f"main execution flow for {query}"])
 
 
+def _specific(word: str) -> bool:
+    """Whether a word of a query names one thing: a path or qualified name of eight signs, or a compound or capitalised word of five."""
+    if re.search(_QUALIFIED, word):
+        return len(word) >= 8
+    return len(word) >= 5 and (word.lower() != word or len(py_split_identifier(word)) > 1)
+
+
 def exact_identifiers(query: str) -> list[str]:
     """Identifiers of a query that are specific enough to be looked up as they stand."""
-    out: dict[str, None] = {}
-    for part in re.split(r"[^A-Za-z0-9_./:-]+", query):
-        if re.search(r"[._/:-]", part):
-            specific = len(part) >= 8
-        else:
-            specific = len(part) >= 5 and (len(py_split_identifier(part)) >= 2 or bool(re.search(r"[A-Z]", part)))
-        if part and specific:
-            out[part.lower()] = None
-    return list(out)
+    return list(dict.fromkeys(word.lower() for word in re.findall(_WORD, query) if _specific(word)))
 
 
 #: Requests that bring further terms with them (fixed values).

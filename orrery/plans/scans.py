@@ -232,6 +232,9 @@ ORACLE = {
     "pred09_evidence_classes": with_("fil") + f" SELECT project_id, {_EVID} AS evidence, regexp_matches(lower(path), '{P._TEST_PATH}') AS is_test, count(*) AS files FROM fil GROUP BY ALL",
     "pred11_fresh_edges": with_("edg", "fil") + f", {_STALE} SELECT e.project_id, count(*) AS fresh_edges FROM edg e WHERE NOT EXISTS (SELECT 1 FROM stale s WHERE s.project_id = e.project_id AND s.path = e.source_file) AND NOT EXISTS (SELECT 1 FROM stale s WHERE s.project_id = e.project_id AND s.path = e.target_file) GROUP BY ALL",
     "pred14_unresolved_calls": with_("edg", "sym") + " SELECT project_id, edge_seq, target_name FROM edg e WHERE kind = 'calls' AND coalesce(resolution, '') NOT IN ('resolved', 'resolved_lsp') AND target_file IS NULL AND NOT EXISTS (SELECT 1 FROM sym s WHERE s.project_id = e.project_id AND s.id = e.target_id)",
-    "pred17_api_routes": with_("txt") + r""" SELECT project_id, path, unnest(list_distinct(regexp_extract_all(content, '["''`](/api/[A-Za-z0-9_\-/:\[\]\.]*)', 1))) AS route FROM txt""",
+    "pred16_routes_by_path": with_("fil") + r""", b AS (SELECT project_id, path, coalesce(nullif(regexp_extract(path, '(?:^|/)app/(.*?)/?(?:route|page)\.[jt]sx?$', 1), ''), nullif(regexp_extract(path, '(?:^|/)pages/(.*)\.[jt]sx?$', 1), '')) AS body FROM fil)
+SELECT project_id, path, '/' || array_to_string(list_transform(list_filter(string_split(body, '/'), lambda x: x <> '' AND x <> 'index' AND NOT regexp_matches(x, '^\(.*\)$')), lambda x: regexp_replace(x, '^\[(?:\.\.\.)?(.+?)\]$', ':\1')), '/') AS route FROM b WHERE body IS NOT NULL""",
+    "pred17_api_routes": with_("txt") + r""" SELECT DISTINCT project_id, path, unnest(list_concat(list_filter(regexp_extract_all(content, '["''`](/api/[A-Za-z0-9_./:\[\]()*-]+)["''`]', 1), lambda r: NOT contains(r, '*')),
+  list_transform(list_concat(regexp_extract_all(content, '\b(?:api|apiClient)\.([A-Za-z0-9_-]+)\b', 1), regexp_extract_all(content, '\b([A-Za-z][A-Za-z0-9_-]*)Api\.', 1)), lambda x: '/api/' || x))) AS route FROM txt""",
     "pred18_import_sources": with_("txt") + r""" SELECT project_id, path, unnest(list_distinct(regexp_extract_all(content, '(?:from\s+|import\s*\(?\s*|require\s*\(\s*)["''](\.[^"'']*)["'']', 1))) AS source FROM txt""",
 }

@@ -25,6 +25,14 @@ def test_stems(word, root):
     assert stem(word) == root
 
 
+@pytest.mark.parametrize("text,parts", [
+    ("HTTPServer", ["http", "server"]), ("parseJSON2XML", ["parse", "json2", "xml"]), ("aBCd", ["a", "b", "cd"]), ("ABc", ["a", "bc"]), ("HTTP2Server", ["http2", "server"]), ("x_y-Z1b", ["x", "y", "z1b"]),
+    ("ABCD1E", ["abcd1", "e"]), ("", []), ("__", []), ("getURLsNow", ["get", "ur", "ls", "now"]),
+])
+def test_identifier_parts(text, parts):
+    assert X.py_split_identifier(text) == parts
+
+
 def test_term_boundaries(spark):
     has = lambda text, term: _one(spark, X.contains_any_variant(F.col("t"), term), t=text)
     assert has("a react-query hook", "react") and not has("a preact-query hook", "react")
@@ -38,7 +46,7 @@ def test_modes():
 
 
 def test_paths(spark):
-    roles = {"src/a.ts": "source", "node_modules/x/a.js": "vendor", "a/dist/b.js": "build", "a.min.js": "minified", "x_pb2.py": "generated", "tests/a.py": "test", "a.spec.tsx": "test", "docs/a.md": "docs", "package.json": "config", "a/b.yaml": "config", "src\\gen\\a.go": "generated"}
+    roles = {"yarn.lock": "config", "yarnxlock": "source", "a/mocks/b.ts": "generated", "x.pb.go": "generated", "_next/static/chunks/a.js": "minified", "src/a.ts": "source", "node_modules/x/a.js": "vendor", "a/dist/b.js": "build", "a.min.js": "minified", "x_pb2.py": "generated", "tests/a.py": "test", "a.spec.tsx": "test", "docs/a.md": "docs", "package.json": "config", "a/b.yaml": "config", "src\\gen\\a.go": "generated"}
     for path, role in roles.items():
         assert _one(spark, P.role_of(F.col("p")), p=path) == role, path
     assert _one(spark, P.skip_reason(F.col("p"), F.lit(9), 5), p="src/a.ts") == "file exceeds 5 bytes"
@@ -49,7 +57,7 @@ def test_paths(spark):
 
 def test_ignore_rules(spark):
     rules = P.ignore_rules("# c\n*.log\nbuild/\nsrc/*/tmp\n!keep.log\n**/x.ts\na?c\n")
-    want = {"a.log": True, "d/keep.log": False, "build/a.ts": True, "p/build/a.ts": True, "src/q/tmp/z": True, "src/q/r/tmp/z": False, "d/e/x.ts": True, "abc/z": True, "abbc": False, "ok.ts": False}
+    want = {"a.log": True, "build": False, "d/keep.log": False, "build/a.ts": True, "p/build/a.ts": True, "src/q/tmp/z": True, "src/q/r/tmp/z": False, "d/e/x.ts": True, "abc/z": True, "abbc": False, "ok.ts": False}
     for path, ignored in want.items():
         assert _one(spark, P.ignored_by(F.col("p"), rules), p=path) is ignored, path
     assert _one(spark, P.ignored_by(F.col("p"), []), p="a") is False
@@ -61,7 +69,7 @@ def test_routes_and_imports(spark):
     assert _one(spark, P.next_route(F.col("p")), p="src/lib/a.ts") is None
     assert _one(spark, P.import_candidates(F.col("f"), F.col("s")), f="src/a/b.ts", s="../c/./d.js")[:2] == ["src/c/d.js", "src/c/d.ts"]
     assert _one(spark, P.import_sources(F.col("t")), t="import a from './a'; export * from \"../b\"; const c = require('./c'); import('d')") == ["./a", "../b", "./c"]
-    assert _one(spark, P.api_routes(F.col("t")), t="fetch('/api/a/b') + `/api/c`") == ["/api/a/b", "/api/c"]
+    assert _one(spark, P.api_routes(F.col("t")), t="fetch('/api/a/b') + `/api/c` + '/api/*'; api.users.list(); apiClient.orders(); billingApi.pay()") == ["/api/a/b", "/api/billing", "/api/c", "/api/orders", "/api/users"]
 
 
 def test_vectors(spark):
