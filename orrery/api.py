@@ -14,6 +14,7 @@ from orrery.operators import context as C
 from orrery.operators import graph as G
 from orrery.operators import relations as R
 from orrery.operators import retrieval as S
+from orrery.operators import subgraph as W
 from orrery.plans import relations as plan
 from orrery.sources import extract as E
 from orrery.sources import tables as T
@@ -174,22 +175,34 @@ class Engine:
         e = self.edges.where((F.col("kind") == "tested_by") & (F.col("source_id") == symbol_id)).select("project_id", F.col("target_id").alias("id"))
         return self.symbols.join(e, ["project_id", "id"], "left_semi").select("project_id", "file_path").distinct()
 
+    def _walked(self, seeds: DataFrame, flow: bool = False) -> tuple[DataFrame, DataFrame]:
+        """(nodes, edges) of the verified subgraph around each seed (project_id, id)."""
+        from orrery.session import cut
+
+        edges = W.walkable(self.edges, self.symbols)
+        walked = cut(W.walks(edges, seeds, flow=flow))
+        return W.subgraph_nodes(walked, edges, self.symbols), W.subgraph_edges(walked, edges, self.symbols)
+
     def explain_impact(self, seeds: DataFrame) -> DataFrame:
-        return G.coverage(G.subgraphs(self.edges, self.symbols, seeds))
+        return W.explain(W.signals(*self._walked(seeds)))
 
     def trace_request_flow(self, seeds: DataFrame) -> DataFrame:
-        return G.subgraphs(self.edges, self.symbols, seeds, flow=True)
+        return self._walked(seeds, flow=True)[1]
 
     def verified_subgraph(self, seeds: DataFrame, preset: str = "compact") -> DataFrame:
-        """The subgraph in one of its shapes: compact, agent_edit, debug_trace or review_risk."""
-        g = G.subgraphs(self.edges, self.symbols, seeds)
-        shapes = {
-            "compact": ["project_id", "seed", "from_id", "to_id", "kind"], "agent_edit": ["project_id", "seed", "from_id", "to_id", "kind", "confidence"],
-            "debug_trace": ["project_id", "seed", "edge_seq", "from_id", "to_id", "kind", "hops", "cost"],
-        }
+        """The subgraph in one of its shapes: one document per seed (compact, agent_edit), or rows of edges (debug_trace, review_risk)."""
+        nodes, edges = self._walked(seeds)
+        if preset == "debug_trace":
+            return edges
         if preset == "review_risk":
-            return g.where("confidence <> 'high' OR kind = 'tested_by'")
-        return g.select(*shapes[preset])
+            return edges.where("confidence <> 'high' OR source = 'heuristic' OR kind = 'tested_by'").select("project_id", "seed", "rank", "from_id", "to_id", "kind", "confidence", "source", "reason", "line")
+        key = ["project_id", "seed"]
+        node = ["rank", "id", "file_path", "symbol_name", "role"] + (["reason", "confidence", "line"] if preset == "agent_edit" else [])
+        edge = ["rank", "from_id", "to_id", "kind", "confidence"] + (["source", "reason", "source_file", "target_file", "line"] if preset == "agent_edit" else [])
+        rows = lambda df, cols, name: df.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(*cols))).alias(name))  # noqa: E731 at most 32 nodes and 48 edges
+        paths = W.subgraph_paths(nodes).groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "path"))), lambda x: x["path"]).alias("paths"))
+        head = W.signals(nodes, edges).select(*key, "verdict", "confidence")
+        return head.join(rows(nodes, node, "nodes"), key).join(rows(edges, edge, "edges"), key, "left").join(paths, key, "left")
 
     def review_diff(self, diff: str) -> DataFrame:
         """Changed paths of a diff, the files that depend on each, and the tests among them."""

@@ -1,9 +1,8 @@
-"""The file graph, bounded distances, rerank signals, impact and the verified subgraph."""
+"""The file graph, bounded distances, rerank signals, what vouches for an edge, and impact."""
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orrery.functions.paths import evidence_class, is_test
@@ -50,6 +49,7 @@ def rerank(hits: DataFrame, dist: DataFrame, query_asks_tests: bool, mode: str)
     return j.select("project_id", "file_path", "hops", F.col("score").alias("before"), (move + tests).alias("adjustment"), F.greatest(F.lit(0.0), F.col("score") + move + tests).alias("score"))
 
 
+#: The rules of the next three functions are fixed values.
 def edge_source(kind: Column, resolution: Column, framework: Column) -> Column:
     """What vouches for an edge."""
     return (
@@ -117,83 +117,3 @@ def impact(target: str, edges: DataFrame, symbols: DataFrame) -> tuple[DataFrame
     files = files.select("project_id", "file", "r.role", "w.reason")
     refs = e.groupBy("project_id", "kind", "source_file", "target_file", "target_name").agg(F.count(F.lit(1)).alias("edges"))
     return files, refs
-
-
-_NODES, _EDGES = 32, 48
-SUBGRAPH = "project_id string, seed string, edge_seq long, from_id string, to_id string, kind string, confidence string, cost int, hops int, truncated boolean"
-
-
-def subgraphs(edges: DataFrame, symbols: DataFrame, seeds: DataFrame, flow: bool = False, hops: int = 4, fan: int = 64) -> DataFrame:
-    """The verified subgraph around each seed (project_id, id): SUBGRAPH, one row per selected edge.
-
-    The search is cheapest first, with at most 32 nodes and 48 edges, and its result depends on the order of visits. It
-    runs on a neighbourhood that joins have cut to size: per node the `fan` cheapest edges, and per hop the `fan`
-    cheapest nodes of a seed, more than the search can ever select. One seed's neighbourhood is one group.
-    """
-    v = verified(edges, symbols).where(~((F.col("kind") == "calls") & ~F.col("known") & ~F.coalesce(F.col("resolution").isin(*RESOLVED), F.lit(False)) & F.col("target_file").isNull()))
-    cols = ["project_id", "edge_seq", "source_id", "target_id", "kind", "confidence", "cost"]
-    v = v.where("source_id IS NOT NULL AND target_id IS NOT NULL").select(*cols)
-    ways = v.select(*cols, F.col("source_id").alias("node"), F.col("target_id").alias("next"))
-    if not flow:
-        ways = ways.union(v.select(*cols, F.col("target_id"), F.col("source_id")))
-    r = F.row_number().over(Window.partitionBy("project_id", "node").orderBy("cost", "kind", "edge_seq"))
-    ways = cut(ways.withColumn("r", r).where(F.col("r") <= fan).drop("r"))
-    front = seeds.select("project_id", F.col("id").alias("seed"), F.col("id").alias("node"), F.lit(0).alias("total")).distinct()
-    got = None
-    for _ in range(hops):
-        step = cut(front.join(ways, ["project_id", "node"]))
-        part = step.select("project_id", "seed", "node", "next", "edge_seq", "source_id", "target_id", "kind", "confidence", "cost")
-        got = part if got is None else got.union(part)
-        nxt = step.groupBy("project_id", "seed", F.col("next").alias("node")).agg(F.min(F.col("total") + F.col("cost")).alias("total"))
-        q = F.row_number().over(Window.partitionBy("project_id", "seed").orderBy("total", "node"))
-        front = nxt.withColumn("r", q).where(F.col("r") <= fan).drop("r")
-
-    def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        return best_first(pdf, hops)
-
-    return got.distinct().groupBy("project_id", "seed").applyInPandas(search, SUBGRAPH)
-
-
-def best_first(pdf: pd.DataFrame, hops: int) -> pd.DataFrame:
-    """The capped search over one seed's neighbourhood (rows of node, next, edge)."""
-    import heapq
-
-    project, seed = pdf["project_id"].iloc[0], pdf["seed"].iloc[0]
-    out: dict[str, list[tuple]] = {}
-    for r in pdf.sort_values(["cost", "kind", "edge_seq"], kind="stable").itertuples(index=False):
-        out.setdefault(r.node, []).append(r)
-    nodes, best, depth = {seed}, {seed: 0}, {seed: 1}
-    chosen: dict[int, tuple] = {}
-    heap, tick, full = [(0, 0, 0, seed)], 0, False
-    while heap and not full:
-        cost, h, _, node = heapq.heappop(heap)
-        if h >= hops or cost > best.get(node, 1 << 60):
-            continue
-        for r in out.get(node, ()):
-            new = {r.source_id, r.target_id} - nodes
-            if new and len(nodes) >= _NODES or len(chosen) >= _EDGES:
-                full = True
-                break
-            nodes |= new
-            chosen.setdefault(r.edge_seq, (r, h + 1))
-            c, length = cost + r.cost, depth[node] + 1
-            if c < best.get(r.next, 1 << 60) or c == best[r.next] and length < depth[r.next]:
-                best[r.next], depth[r.next] = c, length
-                tick += 1
-                heapq.heappush(heap, (c, h + 1, tick, r.next))
-    rows = [(project, seed, r.edge_seq, r.source_id, r.target_id, r.kind, r.confidence, r.cost, h, full) for r, h in chosen.values()]
-    return pd.DataFrame(rows, columns=[c.split()[0] for c in SUBGRAPH.split(", ")])
-
-
-def coverage(subgraph: DataFrame) -> DataFrame:
-    """Per seed: counts of the signals that tell how much of the surroundings is known, and a verdict."""
-    k = F.col("kind")
-    n = lambda c: F.count_if(c)
-    g = subgraph.groupBy("project_id", "seed").agg(
-        F.count(F.lit(1)).alias("edges"), n(k == "tested_by").alias("tests"), n(k.isin("calls", "references") & (F.col("to_id") == F.col("seed"))).alias("callers"), n(k.isin("routes_to", "calls_api", "handles_webhook")).alias("routes"),
-        n(F.col("confidence") == "low").alias("unresolved"), n(F.col("confidence") == "high").alias("sure"), F.max("truncated").alias("truncated"),
-    )
-    score = 2 * F.col("callers") + 2 * F.col("routes") + 3 * F.col("unresolved") + F.when(F.col("tests") == 0, 2).otherwise(0) + F.when(F.col("truncated"), 2).otherwise(0)
-    verdict = F.when((F.col("tests") > 0) & (F.col("unresolved") == 0) & ~F.col("truncated"), "complete").when(F.col("sure") > 0, "partial").otherwise("weak")
-    return g.select("*", score.alias("risk_score"), F.when(score >= 9, "high").when(score >= 4, "medium").otherwise("low").alias("risk"), verdict.alias("verdict"))
-

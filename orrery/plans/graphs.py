@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orrery.operators import graph as G
+from orrery.operators import subgraph as W
 from orrery.plans.relations import _ENDS, _STRENGTH, strength
 from orrery.plans.scans import TARGET
 from orrery.sources import tables as T
@@ -109,31 +110,61 @@ def g05_verified_edges(spark: SparkSession, d: str) -> DataFrame:
     return v.groupBy("kind", "vouched", "confidence", "cost").agg(F.count(F.lit(1)).alias("edges"))
 
 
-def _subgraphs(spark: SparkSession, d: str) -> DataFrame:
+def _walked(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(walk, edges, symbols) around one function of each project."""
+    from orrery.session import cut
+
     s = T.symbols(spark, d)
     seeds = s.where("kind = 'function' AND exported").groupBy("project_id").agg(F.min("id").alias("id"))
-    return G.subgraphs(T.edges(spark, d), s, seeds)
+    e = W.walkable(T.edges(spark, d), s)
+    return cut(W.walks(e, seeds)), e, s
 
 
 def g04_subgraphs(spark: SparkSession, d: str) -> DataFrame:
-    """The verified subgraph around one function of each project."""
-    return _subgraphs(spark, d)
+    """The edges of the verified subgraph around one function of each project."""
+    return W.subgraph_edges(*_walked(spark, d))
+
+
+def t05_subgraph_nodes(spark: SparkSession, d: str) -> DataFrame:
+    """The nodes of the subgraphs in order, with their roles and ways."""
+    return W.subgraph_nodes(*_walked(spark, d)).withColumn("path", F.array_join("path", ","))
+
+
+def g07_subgraph_paths(spark: SparkSession, d: str) -> DataFrame:
+    """The longest ways of the subgraphs as labels."""
+    return W.subgraph_paths(W.subgraph_nodes(*_walked(spark, d)))
+
+
+def a10_explain_impact(spark: SparkSession, d: str) -> DataFrame:
+    w = _walked(spark, d)
+    return W.explain(W.signals(W.subgraph_nodes(*w), W.subgraph_edges(*w)))
 
 
 def a11_coverage(spark: SparkSession, d: str) -> DataFrame:
-    return G.coverage(_subgraphs(spark, d))
+    """The six signals of each subgraph and the verdict."""
+    w = _walked(spark, d)
+    return W.signals(W.subgraph_nodes(*w), W.subgraph_edges(*w))
 
 
 def a12_why_files(spark: SparkSession, d: str) -> DataFrame:
-    """Files of each subgraph with how often and how surely they appear."""
-    g = _subgraphs(spark, d)
-    f = T.symbols(spark, d).select("project_id", F.col("id").alias("node"), "file_path")
-    ends = g.select("project_id", "seed", "kind", "confidence", F.explode(F.array("from_id", "to_id")).alias("node"))
-    rank = F.when(F.col("confidence") == "high", 3).when(F.col("confidence") == "medium", 2).otherwise(1)
-    return ends.join(f, ["project_id", "node"]).groupBy("project_id", "seed", "file_path").agg(F.count(F.lit(1)).alias("edges"), F.max(rank).alias("surety"), F.slice(F.array_sort(F.collect_set("kind")), 1, 6).alias("kinds")).withColumn("kinds", F.array_join("kinds", ","))
+    """Files of each subgraph with their roles, reasons and evidence."""
+    w = _walked(spark, d)
+    return W.why_files(W.subgraph_nodes(*w), W.subgraph_edges(*w))
+
+
+def pred07_walkable_edges(spark: SparkSession, d: str) -> DataFrame:
+    """Edges that a subgraph walks, by kind, and whether the kind is flow."""
+    e = W.walkable(T.edges(spark, d), T.symbols(spark, d))
+    return e.groupBy("project_id", "kind").agg(F.count(F.lit(1)).alias("edges")).withColumn("flow", F.col("kind").isin(*W.FLOW_KINDS))
+
+
+def pred19_edge_metadata(spark: SparkSession, d: str) -> DataFrame:
+    """What is noted of each edge, as JSON without nulls."""
+    e = T.edges(spark, d).select("edge_seq", W.edge_metadata(F.col("framework"), F.col("resolution")).alias("metadata"))
+    return e.where("metadata IS NOT NULL")
 
 
-QUERIES = {k: v for k, v in list(globals().items()) if re.match(r"[agt]\d\d_", k)}
+QUERIES = {k: v for k, v in list(globals().items()) if re.match(r"([agt]|pred)\d\d_", k)}
 
 _G = f"{_ENDS}, gr AS (SELECT DISTINCT project_id, file, neighbour, kind FROM (SELECT project_id, source_file AS file, target_file AS neighbour, kind FROM ends UNION ALL SELECT project_id, target_file, source_file, kind FROM ends) WHERE file IS NOT NULL AND neighbour IS NOT NULL AND file <> neighbour)"
 _HOP = "h{n} AS (SELECT g.project_id, g.neighbour AS file, {n} AS hops, max(greatest(h.strength, g.w)) AS strength FROM h{p} h JOIN gw g ON g.project_id = h.project_id AND g.file = h.file WHERE NOT EXISTS (SELECT 1 FROM ({seen}) x WHERE x.project_id = g.project_id AND x.file = g.neighbour) GROUP BY ALL)"
@@ -192,3 +223,12 @@ vc AS (SELECT *, CASE WHEN vouched IN ('lsp', 'test_import', 'framework_rule') T
 ver AS (SELECT *, greatest(1, 120 - CASE kind WHEN 'calls_api' THEN 100 WHEN 'routes_to' THEN 95 WHEN 'tested_by' THEN 90 WHEN 'handles_webhook' THEN 88 WHEN 'uses_middleware' THEN 84 WHEN 'writes_to' THEN 78 WHEN 'reads_from' THEN 76 WHEN 'handles_event' THEN 74
   ELSE CASE WHEN resolution = 'resolved_lsp' THEN 72 WHEN resolution IN ('resolved', 'exact', 'import') THEN 70 WHEN kind = 'calls' THEN 60 WHEN kind = 'contains' THEN 55 ELSE 20 END END - CASE confidence WHEN 'high' THEN 25 WHEN 'medium' THEN 12 ELSE 0 END)::INT AS cost FROM vc)"""
 ORACLE["g05_verified_edges"] = with_("edg", "sym") + f", {VERIFIED} SELECT kind, vouched, confidence, cost, count(*) AS edges FROM ver GROUP BY ALL"
+_IN = lambda xs: ", ".join(f"'{x}'" for x in xs)
+ORACLE["pred07_walkable_edges"] = (
+    with_("edg", "sym")
+    + f", {VERIFIED} SELECT project_id, kind, count(*) AS edges, kind IN ({_IN(W.FLOW_KINDS)}) AS flow FROM ver WHERE kind IN ({_IN(W.SUBGRAPH_KINDS)}) AND source_id IS NOT NULL AND target_id IS NOT NULL AND NOT (kind = 'calls' AND NOT known AND NOT coalesce({_OK}, false) AND target_file IS NULL) GROUP BY ALL"
+)
+ORACLE["pred19_edge_metadata"] = (
+    with_("edg")
+    + """ SELECT edge_seq, '{' || concat_ws(',', CASE WHEN framework IS NOT NULL THEN '"framework":' || to_json(framework)::VARCHAR END, CASE WHEN resolution IS NOT NULL THEN '"resolution":' || to_json(resolution)::VARCHAR END) || '}' AS metadata FROM edg WHERE framework IS NOT NULL OR resolution IS NOT NULL"""
+)

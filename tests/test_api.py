@@ -102,6 +102,8 @@ def test_lookups(engine):
 def test_subgraph_presets(engine):
     seeds = engine.symbols.where("kind = 'function' AND exported").groupBy("project_id").agg(F.min("id").alias("id"))
     full = engine.verified_subgraph(seeds, "agent_edit")
+    one = full.first()
+    assert one["nodes"] and one["nodes"][0]["role"] == "target" and one["verdict"] and (not one["edges"] or one["edges"][0]["reason"])
     assert "confidence" in full.columns and "cost" in engine.verified_subgraph(seeds, "debug_trace").columns
     assert engine.verified_subgraph(seeds, "review_risk").where("confidence = 'high' AND kind <> 'tested_by'").count() == 0
     assert engine.explain_impact(seeds).where("risk NOT IN ('low', 'medium', 'high')").count() == 0

@@ -4,12 +4,14 @@ import random
 from collections import deque
 
 import pandas as pd
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from orrery.operators import context as C
 from orrery.operators import graph as G
+from orrery.operators import subgraph as W
 from orrery.operators import relations as R
 from orrery.operators import retrieval as S
 from orrery.operators.evaluation import gate, ranks, summary
@@ -123,20 +125,74 @@ def test_impact_roles(spark):
     assert refs.count() == 3
 
 
+def _subgraph(spark, s, e, seed, flow=False):
+    v = W.walkable(e, s)
+    walked = W.walks(v, spark.createDataFrame([("p", seed)], "project_id string, id string"), flow=flow).cache()
+    return W.subgraph_nodes(walked, v, s), W.subgraph_edges(walked, v, s)
+
+
 def test_subgraph_takes_the_sure_way(spark):
     s = _sym(spark, *[(i, f"{i}.ts", i, "function", 1, 2, True) for i in ("seed", "weak", "strong", "route", "service")])
-    e = _edges(spark, ("seed", "weak", "references", "a", "b", None, None, None), ("weak", "strong", "references", "a", "b", None, None, None), ("seed", "route", "calls_api", "a", "b", "x", "exact", 1), ("route", "service", "routes_to", "a", "b", "x", "exact", 1), ("service", "strong", "calls", "a", "b", "x", "exact", 1), ("far", "away", "calls", "a", "b", None, "exact", 1))
-    g = G.subgraphs(e, s, spark.createDataFrame([("p", "seed")], "project_id string, id string"), flow=True).collect()
+    e = _edges(spark, ("seed", "weak", "references", "a", "b", None, None, None), ("weak", "strong", "references", "a", "b", None, None, None), ("seed", "route", "calls_api", "a", "b", "x", "exact", 1), ("route", "service", "routes_to", "a", "b", "x", "exact", 1), ("service", "strong", "calls", "a", "b", "x", "exact", 1), ("far", "away", "calls", "a", "b", None, "exact", 1), ("seed", "far", "related", "a", "b", None, "exact", 1))
+    nodes, edges = _subgraph(spark, s, e, "seed", flow=True)
+    g = edges.collect()
     assert {(r["from_id"], r["to_id"]) for r in g} == {("seed", "weak"), ("weak", "strong"), ("seed", "route"), ("route", "service"), ("service", "strong")}
     assert not any(r["truncated"] for r in g)
-    cov = G.coverage(spark.createDataFrame(g)).first()
-    assert cov["routes"] == 2 and cov["tests"] == 0
-
-
-def test_search_is_capped():
+    # the sure way of three steps is cheaper than the unsure one of two
+    ways = {r["path"] for r in W.subgraph_paths(nodes).collect()}
+    assert "seed.ts:seed -> route.ts:route -> service.ts:service -> strong.ts:strong" in ways and not any("weak" in w and "strong" in w for w in ways)
+    roles = {r["id"]: (r["role"], r["rank"]) for r in nodes.collect()}
+    assert roles["seed"] == ("target", 1) and roles["route"][0] == "route" and roles["service"][0] == "route" and roles["strong"][0] == "callee"
+    got = W.signals(nodes, edges).first()
+    assert (got["routes"], got["tests"], got["unresolved"]) == (2, 0, 2) and got["inbound_callers_checked"] == "pass" and got["verdict"] == "not_enough_context" and got["confidence"] == "low"
+    assert W.explain(W.signals(nodes, edges)).first()["risk_score"] == 2 * 2 + 3 * 1 + 3 * 2 + 2
+
+
+def test_subgraph_roles_files_and_lone_seeds(spark):
+    s = _sym(spark, ("t", "src/t.ts", "t", "function", 1, 2, False), ("c", "src/c.ts", "c", "function", 1, 2, True), ("k", "tests/t.test.ts", "k", "file", 1, 2, False), ("lone", "src/l.ts", "lone", "function", 1, 2, False))
+    e = _edges(spark, ("c", "t", "calls", "src/c.ts", "src/t.ts", "t", "resolved", 3), ("t", "k", "tested_by", "src/t.ts", "tests/t.test.ts", None, "test_import", None), ("t", "db", "writes_to", "src/t.ts", None, "table", "resource_static", 4))
+    nodes, edges = _subgraph(spark, s, e, "t")
+    n = {r["id"]: r for r in nodes.collect()}
+    assert {k: v["role"] for k, v in n.items()} == {"t": "target", "c": "caller", "k": "test", "db": "resource"}
+    assert n["db"]["kind"] == "external" and n["db"]["file_path"] == "src/t.ts" and n["db"]["symbol_name"] == "table" and n["db"]["confidence"] == "medium" and n["k"]["symbol_name"] is None
+    got = W.signals(nodes, edges).first()
+    assert got["verdict"] == "safe_to_edit_after_reading" and got["confidence"] == "high" and got["passed"] == 6
+    why = {r["file_path"]: r for r in W.why_files(nodes, edges).collect()}
+    assert why["src/t.ts"]["roles"] == "target,resource" and why["src/t.ts"]["confidence"] == "high" and why["tests/t.test.ts"]["evidence"] == "tested_by"
+    assert edges.where("kind = 'writes_to'").first()["metadata"] == '{"resolution":"resource_static"}'
+    lone_nodes, lone_edges = _subgraph(spark, s, e, "lone")
+    assert [r["id"] for r in lone_nodes.collect()] == ["lone"] and lone_edges.count() == 0
+    assert W.signals(lone_nodes, lone_edges).first()["verdict"] == "investigate_only"
+    ghost = W.signals(*_subgraph(spark, s, e, "ghost")).first()
+    assert ghost["primary_owner_found"] == "fail" and ghost["verdict"] == "not_enough_context"
+
+
+def test_walk_is_capped():
     rows = [("p", "s", "s", f"n{i}", i, "s", f"n{i}", "calls", "high", 35) for i in range(100)]
-    out = G.best_first(pd.DataFrame(rows, columns=["project_id", "seed", "node", "next", "edge_seq", "source_id", "target_id", "kind", "confidence", "cost"]), 4)
-    assert len(out) == 31 and out["truncated"].all()
+    out = W.walk(pd.DataFrame(rows, columns=["project_id", "seed", "node", "next", "edge_seq", "source_id", "target_id", "kind", "confidence", "cost"]))
+    assert (out["part"] == "edge").sum() == 31 and (out["part"] == "node").sum() == 32 and out["truncated"].all()
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_walk_costs_are_those_of_the_cheapest_ways(seed):
+    """On graphs under the caps a forward walk reaches all it can, each node by a way of least cost."""
+    r = random.Random(seed)
+    names = [f"n{i}" for i in range(12)]
+    edges = [(i, r.choice(names), r.choice(names), r.choice([20, 35, 60])) for i in range(16)]
+    rows = [("p", "n0", a, b, i, a, b, "calls", "high", c) for i, a, b, c in edges] + [("p", "n0", "n0", None, None, None, None, None, None, None)]
+    out = W.walk(pd.DataFrame(rows, columns=["project_id", "seed", "node", "next", "edge_seq", "source_id", "target_id", "kind", "confidence", "cost"]), hops=99)
+    best = {"n0": 0}
+    for _ in names:
+        for _, a, b, c in edges:
+            if a in best and best[a] + c < best.get(b, 1 << 30):
+                best[b] = best[a] + c
+    nodes = out[out["part"] == "node"].set_index("node")
+    assert set(nodes.index) == set(best)
+    price = {}
+    for _, a, b, c in edges:
+        price[a, b] = min(c, price.get((a, b), 1 << 30))
+    for n, p in nodes["path"].items():
+        assert p[0] == "n0" and p[-1] == n and sum(price[x] for x in zip(p, p[1:])) == best[n]
 
 
 @settings(max_examples=25, deadline=None)
