@@ -86,9 +86,11 @@ def snippet_cost(*parts: Column) -> Column:
     return (F.ceil(total * 1.3) + 200).cast("int")
 
 
-def within_budget(items: DataFrame, group: list[str], order: str, cost: str, budget: int, stop: bool = False) -> DataFrame:
+def within_budget(items: DataFrame, group: list[str], order: str, cost: str, budget: int, stop: float | None = None) -> DataFrame:
     """Items of each group that fit a budget, taken greedily in order: those too large are skipped and smaller ones
-    after them may fit; with `stop` nothing is taken after the first that does not fit, save that the first item is always kept.
+    after them may fit. With `stop`, a share of the budget, items are taken up to that share and nothing after the first that goes
+    beyond it; as long as nothing is taken, an item that goes beyond is taken all the same, but skipped if it exceeds the whole
+    budget and the group has others.
 
     The groups are ranked lists that a limit has cut to size before, so that one array holds a group.
     """
@@ -96,12 +98,12 @@ def within_budget(items: DataFrame, group: list[str], order: str, cost: str, bud
     zero = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<int>").alias("took"), F.lit(False).alias("ended"))
 
     def step(acc: Column, x: Column) -> Column:
-        fits = acc["used"] + x["c"] <= budget
-        if stop:
-            fits = ~acc["ended"] & (fits | (F.size(acc["took"]) == 0))
+        fits, none = acc["used"] + x["c"] <= budget, F.size(acc["took"]) == 0
+        if stop is not None:
+            fits = ~acc["ended"] & ((acc["used"] + x["c"] <= F.lit(budget * stop)) | none & ~((F.size("x") > 1) & (x["c"] > budget)))
         return F.struct(
             F.when(fits, acc["used"] + x["c"]).otherwise(acc["used"]).alias("used"), F.when(fits, F.concat(acc["took"], F.array(x["o"].cast("int")))).otherwise(acc["took"]).alias("took"),
-            (acc["ended"] | ~fits).alias("ended"),
+            (acc["ended"] | ~fits & ~none).alias("ended"),
         )
 
     took = listed.select(*group, F.explode(F.aggregate("x", zero, step)["took"]).alias(order))

@@ -59,10 +59,33 @@ def test_edges(imports: DataFrame, symbols: DataFrame) -> DataFrame:
     return e.join(a, ["project_id", "target_file"]).join(b, ["project_id", "source_file"]).select("project_id", "source_id", "test_id").distinct()
 
 
+#: Bits of a level of cells; a span lies in at most two cells of its level.
+_LEVEL = 4
+
+
+def around(points: DataFrame, spans: DataFrame, on: list[str], at: str, start: str, end: str) -> DataFrame:
+    """Points joined to the spans of their keys that hold them: start <= at <= end. Null and empty spans hold nothing.
+
+    A span goes into the one or two cells of a level whose cells are no shorter than it, a point into its cell of every level,
+    so that the join is on equal cells and a file of many points and spans is no single group.
+    """
+    levels = 32 // _LEVEL + 1
+    length = F.col(end).cast("long") - F.col(start).cast("long")
+    level = F.lit(0)
+    for k in range(1, levels):
+        level = level + (length >= F.lit(1 << (_LEVEL * (k - 1)))).cast("int")
+    shift = lambda c, n: F.floor(F.col(c).cast("long") / F.pow(F.lit(2.0), n * _LEVEL)).cast("long")
+    held = spans.where(F.col(end) >= F.col(start)).withColumn("_level", level)
+    held = held.withColumn("_cell", F.explode(F.array_distinct(F.array(shift(start, F.col("_level")), shift(end, F.col("_level"))))))
+    asked = points.where(F.col(at).isNotNull()).withColumn("_level", F.explode(F.array(*map(F.lit, range(levels)))))
+    asked = asked.withColumn("_cell", shift(at, F.col("_level")))
+    return asked.join(held, [*on, "_level", "_cell"]).where(F.col(at).between(F.col(start), F.col(end))).drop("_level", "_cell")
+
+
 def narrowest(points: DataFrame, symbols: DataFrame) -> DataFrame:
-    """(edge_seq, symbol_id, span): the smallest symbol around a line; ties go to the smaller id. The join is on the file, the interval a filter."""
-    s = symbols.where("kind <> 'file' AND start_line IS NOT NULL AND end_line >= start_line").select("project_id", F.col("file_path").alias("source_file"), "id", "start_line", "end_line")
-    hit = points.where("line IS NOT NULL").select("project_id", "source_file", "edge_seq", "line").join(s, ["project_id", "source_file"]).where("line BETWEEN start_line AND end_line")
+    """(edge_seq, symbol_id, span): the smallest symbol around a line; ties go to the smaller id."""
+    s = symbols.where("kind <> 'file'").select("project_id", F.col("file_path").alias("source_file"), "id", "start_line", "end_line")
+    hit = around(points.select("project_id", "source_file", "edge_seq", "line"), s, ["project_id", "source_file"], "line", "start_line", "end_line")
     best = F.min(F.struct((F.col("end_line") - F.col("start_line")).alias("span"), "id")).alias("b")
     return hit.groupBy("edge_seq").agg(best).select("edge_seq", F.col("b.id").alias("symbol_id"), "b.span")
 
@@ -71,34 +94,50 @@ def callees(calls: DataFrame, symbols: DataFrame) -> DataFrame:
     """(project_id, id, callee): names that a symbol calls, by the edge's source or by its line inside the symbol."""
     c = calls.where("target_name IS NOT NULL")
     by_id = c.select("project_id", F.col("source_id").alias("id"), F.col("target_name").alias("callee")).join(symbols.select("project_id", "id"), ["project_id", "id"], "left_semi")
-    s = symbols.where("start_line IS NOT NULL AND end_line >= start_line").select("project_id", F.col("file_path").alias("source_file"), "id", "start_line", "end_line")
-    by_line = c.where("line IS NOT NULL").select("project_id", "source_file", "line", F.col("target_name").alias("callee")).join(s, ["project_id", "source_file"]).where("line BETWEEN start_line AND end_line")
+    s = symbols.select("project_id", F.col("file_path").alias("source_file"), "id", "start_line", "end_line")
+    by_line = around(c.select("project_id", "source_file", "line", F.col("target_name").alias("callee")), s, ["project_id", "source_file"], "line", "start_line", "end_line")
     return by_id.union(by_line.select("project_id", "id", "callee")).distinct()
 
 
 def chunk_of_symbol(symbols: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(project_id, id, chunk_id, tier): the chunk of a symbol's name (tier 1), else one around its lines (tier 2)."""
+    """(project_id, id, chunk_id, tier): the chunk of a symbol's name (tier 1), else one around its lines (tier 2), else the first of its file (tier 3)."""
+    s = symbols.where("kind <> 'file'").select("project_id", "id", "file_path", "name", "start_line", "end_line")
     c = chunks.select("project_id", "file_path", F.col("id").alias("chunk_id"), "symbol_name", F.col("start_line").alias("cs"), F.col("end_line").alias("ce"))
-    j = symbols.where("kind <> 'file'").select("project_id", "id", "file_path", "name", "start_line", "end_line").join(c, ["project_id", "file_path"])
-    tier = F.when(F.col("symbol_name") == F.col("name"), 1).when((F.col("cs") <= F.col("start_line")) & (F.col("ce") >= F.col("end_line")), 2)
-    best = F.min(F.struct(tier.alias("tier"), "cs", "chunk_id")).alias("b")
-    return j.where(tier.isNotNull()).groupBy("project_id", "id").agg(best).select("project_id", "id", "b.chunk_id", "b.tier")
+    first = F.min(F.struct("cs", "chunk_id")).alias("c")
+    named = c.groupBy("project_id", "file_path", F.col("symbol_name").alias("name")).agg(first)
+    one = s.join(named, ["project_id", "file_path", "name"]).select("project_id", "id", F.lit(1).alias("tier"), "c")
+    cover = around(s, c.drop("symbol_name"), ["project_id", "file_path"], "start_line", "cs", "ce").where("ce >= end_line")
+    two = cover.groupBy("project_id", "id").agg(first).select("project_id", "id", F.lit(2).alias("tier"), "c")
+    three = s.join(c.groupBy("project_id", "file_path").agg(first), ["project_id", "file_path"]).select("project_id", "id", F.lit(3).alias("tier"), "c")
+    best = one.unionByName(two).unionByName(three).groupBy("project_id", "id").agg(F.min(F.struct("tier", "c")).alias("b"))
+    return best.select("project_id", "id", "b.c.chunk_id", "b.tier")
+
+
+def resolve_references(references: DataFrame, symbols: DataFrame) -> DataFrame:
+    """(ref, symbol_id, tier) of references (project_id, ref, path, name): the symbol of that name in the file (tier 1), else the file's own (2);
+    if no file has that path, the same of files whose path ends in it (3, 4). Ties go to the first by line, then by id."""
+    s = symbols.select("project_id", "id", F.col("file_path").alias("_file"), F.col("name").alias("_name"), "kind", "start_line").withColumn("_base", F.element_at(F.split("_file", "/"), -1))
+    j = references.select("project_id", "ref", "path", "name").withColumn("_base", F.element_at(F.split("path", "/"), -1)).join(s, ["project_id", "_base"])
+    j = j.where((F.col("_file") == F.col("path")) | F.col("_file").endswith(F.concat(F.lit("/"), F.col("path"))))
+    tier = F.when(F.col("_file") == F.col("path"), 0).otherwise(2) + F.when(F.col("_name") == F.col("name"), 1).when(F.col("kind") == "file", 2)
+    best = F.min(F.struct(tier.alias("tier"), F.coalesce("start_line", F.lit(0)).alias("l"), "id")).alias("b")
+    return j.where(tier.isNotNull()).groupBy("ref").agg(best).select("ref", F.col("b.id").alias("symbol_id"), "b.tier")
 
 
 def match_routes(requests: DataFrame, routes: DataFrame) -> DataFrame:
     """(request, route): the route of each request path, exact before by pattern; :name matches any segment.
 
-    Requests meet only routes of as many segments and the same first segment (or a named one), which keeps the
-    comparison an equi-join.
+    A route's shape says which of its segments are literal. A request is asked once for each shape that routes of its
+    length have, with the segments at the literal places, so that both meet by equality alone; there are few shapes, not one per route.
     """
-    r = routes.select("route").distinct().withColumn("rs", F.split("route", "/"))
-    r = r.withColumn("n", F.size("rs")).withColumn("k", F.when(F.element_at("rs", 2).startswith(":"), "*").otherwise(F.element_at("rs", 2)))
-    q = requests.select("request").distinct().withColumn("qs", F.split("request", "/")).where(F.size("qs") >= 2)
-    q = q.withColumn("n", F.size("qs")).withColumn("k", F.explode(F.array(F.lit("*"), F.element_at("qs", 2))))
-    same = F.forall(F.zip_with("qs", "rs", lambda a, b: (a == b) | b.startswith(":")), lambda x: x)
-    hit = q.join(r.where("n >= 2"), ["n", "k"]).where(same)
+    shape = lambda segments: F.array_join(F.transform(segments, lambda x: F.when(x.startswith(":"), ":").otherwise("=")), "")
+    kept = lambda segments, pattern: F.array_join(F.transform(segments, lambda x, i: F.when(F.substr(pattern, i + 1, F.lit(1)) == "=", x).otherwise(":")), "/")
+    r = routes.select("route").distinct().withColumn("rs", F.split("route", "/")).where(F.size("rs") >= 2).withColumn("shape", shape(F.col("rs")))
+    r = r.select("route", F.size("rs").alias("n"), "shape", kept(F.col("rs"), F.col("shape")).alias("key"))
+    q = requests.select("request").distinct().withColumn("qs", F.split("request", "/")).withColumn("n", F.size("qs"))
+    asked = q.join(r.select("n", "shape").distinct(), "n").select("request", "n", "shape", kept(F.col("qs"), F.col("shape")).alias("key"))
     best = F.min(F.struct((F.col("route") != F.col("request")).alias("pattern"), F.col("route").alias("route"))).alias("b")
-    return hit.groupBy("request").agg(best).select("request", "b.route")
+    return asked.join(r, ["n", "shape", "key"]).groupBy("request").agg(best).select("request", "b.route")
 
 
 def duplicate_signals(structures: DataFrame, window: int = 65, least: float = 0.5) -> DataFrame:

@@ -40,8 +40,8 @@ def n04_budget(spark: SparkSession, d: str) -> DataFrame:
 
 
 def n05_truncated(spark: SparkSession, d: str) -> DataFrame:
-    """Ranked hits up to nine tenths of the budget, the first always."""
-    return C.within_budget(_hits(spark, d), ["project_id"], "rank", "cost", int(BUDGET * 0.9), stop=True).select("project_id", "rank", "id", "cost")
+    """Ranked hits up to nine tenths of the budget, the first that isn't larger than all of it in any case."""
+    return C.within_budget(_hits(spark, d), ["project_id"], "rank", "cost", BUDGET, stop=0.9).select("project_id", "rank", "id", "cost")
 
 
 def a05_owner_chain(spark: SparkSession, d: str) -> DataFrame:
@@ -111,7 +111,7 @@ def _fold(fits: str) -> str:
 _TAKE = " SELECT h.project_id, h.rank::INT AS rank, h.id, h.cost FROM h JOIN f ON f.project_id = h.project_id AND f.took = h.rank AND f.took > 0"
 ORACLE = {
     "n04_budget": _fold(f"f.used + h.cost <= {BUDGET}") + _TAKE,
-    "n05_truncated": _fold(f"NOT f.ended AND (f.used + h.cost <= {int(BUDGET * 0.9)} OR f.i = 0)") + _TAKE,
+    "n05_truncated": _fold(f"NOT f.ended AND (f.used + h.cost <= {BUDGET * 0.9} OR f.used = 0 AND NOT (h.cost > {BUDGET} AND EXISTS (SELECT 1 FROM h o WHERE o.project_id = h.project_id AND o.rank > 1)))").replace("f.ended OR NOT (", "f.ended OR f.used > 0 AND NOT (") + _TAKE,
     "a05_owner_chain": _fold(f"f.used + h.cost <= {BUDGET}") + " SELECT h.project_id, h.file_path, round(sum(h.score), 6) AS score, coalesce(string_agg(DISTINCT h.symbol_name, ',' ORDER BY h.symbol_name), '') AS symbols FROM h JOIN f ON f.project_id = h.project_id AND f.took = h.rank AND f.took > 0 GROUP BY ALL",
     "x30_expansions": with_("txt") + f", {_FOCUS} SELECT project_id, path, CASE WHEN len(ls) <= 80 OR focus IS NOT NULL THEN 'focused_body' ELSE 'skeleton' END AS expansion, focus FROM fl",
     "x32_focus_windows": with_("txt") + f", {_FOCUS}, w AS (SELECT *, greatest(0, focus - 15) AS s FROM fl WHERE focus IS NOT NULL) SELECT project_id, path, focus, sha256(CASE WHEN s > 0 THEN '...' || chr(10) ELSE '' END || array_to_string(ls[s + 1:s + 28], chr(10)) || CASE WHEN s + 28 < len(ls) THEN chr(10) || '...' ELSE '' END) AS window_hash FROM w",

@@ -11,6 +11,7 @@ from orrery.functions import text as X
 from orrery.functions.paths import is_test, slashes
 from orrery.operators import graph as G
 from orrery.operators import relations as R
+from orrery.operators.subgraph import role_rank
 from orrery.plans.graphs import VERIFIED
 from orrery.sources import tables as T
 from orrery.sources.tables import with_
@@ -67,13 +68,11 @@ def pred12_seeds(spark: SparkSession, d: str) -> DataFrame:
 
 
 def pred13_node_references(spark: SparkSession, d: str) -> DataFrame:
-    """`path:name` of each chunk resolved to a symbol: the path as it is before its end, the file itself without a name."""
-    c = T.chunks(spark, d, "project_id", "file_path", "symbol_name").select("project_id", F.col("id").alias("chunk_id"), slashes(F.col("file_path")).alias("path"), "symbol_name")
-    s = T.symbols(spark, d).select("project_id", "id", F.col("file_path").alias("path"), "name", "kind", "start_line")
-    j = c.join(s, ["project_id", "path"])
-    tier = F.when(F.col("name") == F.col("symbol_name"), 1).when((F.col("kind") == "file") & F.col("symbol_name").isNull(), 2)
-    best = F.min(F.struct(tier.alias("tier"), F.coalesce("start_line", F.lit(0)).alias("l"), "id")).alias("b")
-    return j.where(tier.isNotNull()).groupBy("chunk_id").agg(best).select("chunk_id", F.col("b.id").alias("symbol_id"), "b.tier")
+    """`path:name` of each chunk, every other one with the last two segments of its path only, resolved to a symbol."""
+    path = slashes(F.col("file_path"))
+    tail = F.when(F.col("start_line") % 2 == 0, F.regexp_extract(path, r"([^/]+/[^/]+)$", 1)).otherwise(path)
+    c = T.chunks(spark, d, "project_id", "file_path", "symbol_name", "start_line").select("project_id", F.col("id").alias("ref"), tail.alias("path"), F.col("symbol_name").alias("name"))
+    return R.resolve_references(c, T.symbols(spark, d)).withColumnRenamed("ref", "chunk_id")
 
 
 def j12_definitions(spark: SparkSession, d: str) -> DataFrame:
@@ -110,7 +109,8 @@ def g06_merged_nodes(spark: SparkSession, d: str) -> DataFrame:
     role = F.when(k == "tested_by", "test").when(k.isin("calls_api", "routes_to", "handles_webhook"), "route").when(k == "uses_middleware", "middleware").when(k.isin("reads_from", "writes_to"), "resource").when(k == "handles_event", "event").otherwise("callee")
     sure = F.when(F.col("confidence") == "high", 3).when(F.col("confidence") == "medium", 2).otherwise(1)
     ends = v.select("project_id", F.explode(F.array(F.struct(F.col("source_id").alias("id"), F.lit("caller").alias("role"), sure.alias("sure")), F.struct(F.col("target_id").alias("id"), role.alias("role"), sure.alias("sure")))).alias("x"))
-    return ends.where("x.id IS NOT NULL").groupBy("project_id", "x.id").agg(F.min("x.role").alias("role"), F.max("x.sure").alias("sure"), F.count(F.lit(1)).alias("edges"))
+    strongest = F.min(F.struct(role_rank(F.col("x.role")).alias("o"), F.col("x.role").alias("role"))).alias("r")
+    return ends.where("x.id IS NOT NULL").groupBy("project_id", "x.id").agg(strongest, F.max("x.sure").alias("sure"), F.count(F.lit(1)).alias("edges")).select("project_id", "id", "r.role", "sure", "edges")
 
 
 def g15_topology_map(spark: SparkSession, d: str) -> DataFrame:
@@ -159,7 +159,10 @@ ORACLE = {
     "pred02_qualified_targets": with_("sym") + r" SELECT project_id, concat_ws(':', regexp_extract(file_path, '([^/]+/[^/]+)$', 1), name) AS ref, count(*) AS symbols FROM sym WHERE kind = 'function' GROUP BY ALL",
     "pred04_incoming": with_("edg", "sym") + f" SELECT edge_seq, project_id, kind, target_name FROM edg e WHERE contains(lower(target_name), '{SEED}') OR EXISTS (SELECT 1 FROM sym s WHERE s.project_id = e.project_id AND s.id = e.target_id AND (contains(lower(s.name), '{SEED}') OR contains(s.file_path, '{SEED}')))",
     "pred12_seeds": with_("sym") + f", c AS (SELECT *, lower(name) = '{SEED}' AS exact FROM sym WHERE contains(lower(name), '{SEED}') OR contains(lower(file_path), '{SEED}')), a AS (SELECT *, bool_or(exact) OVER (PARTITION BY project_id) AS any_exact FROM c), r AS (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY coalesce(exported, false) DESC, kind = 'file', file_path NULLS FIRST, coalesce(start_line, -1), id) AS rank FROM a WHERE exact OR NOT any_exact) SELECT project_id, id, rank::INT AS rank FROM r WHERE exact OR rank <= 8",
-    "pred13_node_references": with_("sym", "chk") + " SELECT chunk_id, symbol_id, tier FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY tier, l, symbol_id) AS r FROM (SELECT c.id AS chunk_id, s.id AS symbol_id, coalesce(s.start_line, 0) AS l, CASE WHEN s.name = c.symbol_name THEN 1 WHEN s.kind = 'file' AND c.symbol_name IS NULL THEN 2 END AS tier FROM chk c JOIN sym s ON s.project_id = c.project_id AND s.file_path = c.file_path) WHERE tier IS NOT NULL) WHERE r = 1",
+    "pred13_node_references": with_("sym", "chk") + r""", c AS (SELECT project_id, id AS chunk_id, symbol_name AS name, CASE WHEN start_line % 2 = 0 THEN regexp_extract(replace(file_path, chr(92), '/'), '([^/]+/[^/]+)$', 1) ELSE replace(file_path, chr(92), '/') END AS path FROM chk),
+j AS (SELECT c.chunk_id, s.id AS symbol_id, coalesce(s.start_line, 0) AS l, CASE WHEN s.file_path = c.path THEN 0 ELSE 2 END + CASE WHEN s.name = c.name THEN 1 WHEN s.kind = 'file' THEN 2 END AS tier
+  FROM c JOIN sym s ON s.project_id = c.project_id AND (s.file_path = c.path OR ends_with(s.file_path, '/' || c.path)))
+SELECT chunk_id, symbol_id, tier FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY tier, l, symbol_id) AS r FROM j WHERE tier IS NOT NULL) WHERE r = 1""",
     "j12_definitions": with_("edg", "sym") + " SELECT edge_seq, definition_id FROM (SELECT e.edge_seq, s.id AS definition_id, row_number() OVER (PARTITION BY e.edge_seq ORDER BY s.end_line - s.start_line, s.id) AS r FROM edg e JOIN sym s ON s.project_id = e.project_id AND s.file_path = e.target_file AND s.name = e.target_name WHERE e.kind = 'calls' AND s.kind <> 'file' AND s.end_line >= s.start_line) WHERE r = 1",
     "j16_term_matches": with_("sym") + f", t AS (SELECT project_id, id, lower(r) || chr(10) || array_to_string({_SPLIT}, ' ') AS t FROM (SELECT project_id, id, concat_ws(chr(10), nullif(name, ''), nullif(file_path, '')) AS r FROM sym WHERE kind <> 'file')) SELECT * FROM (SELECT project_id, id, ({_terms(['lane', 'mailbox', 'policy'])}) AS matched FROM t) WHERE matched > 0",
     "x12_hit_reasons": with_("chk") + ", r AS (SELECT id, array_to_string(list_filter(['harbor', 'ledger', 'session'], lambda t: contains(lower(concat_ws(chr(10), file_path, symbol_name, content)), t)), ',') AS terms, CASE WHEN regexp_matches(lower(coalesce(symbol_name, '')), 'harbor|ledger|session') THEN 'exact' WHEN regexp_matches(lower(file_path), 'harbor|ledger|session') THEN 'fuzzy' ELSE 'semantic' END AS match FROM chk) SELECT * FROM r WHERE terms <> ''",
@@ -171,5 +174,5 @@ ORACLE = {
 ORACLE["g06_merged_nodes"] = (
     with_("edg", "sym")
     + f""", {VERIFIED}, n AS (SELECT project_id, source_id AS id, 'caller' AS role, confidence FROM ver UNION ALL SELECT project_id, target_id, CASE WHEN kind = 'tested_by' THEN 'test' WHEN kind IN ('calls_api', 'routes_to', 'handles_webhook') THEN 'route' WHEN kind = 'uses_middleware' THEN 'middleware' WHEN kind IN ('reads_from', 'writes_to') THEN 'resource' WHEN kind = 'handles_event' THEN 'event' ELSE 'callee' END, confidence FROM ver)
-SELECT project_id, id, min(role) AS role, max(CASE confidence WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END)::INT AS sure, count(*) AS edges FROM n WHERE id IS NOT NULL GROUP BY ALL"""
+SELECT project_id, id, arg_min(role, (CASE role WHEN 'target' THEN '0' WHEN 'caller' THEN '1' WHEN 'route' THEN '2' WHEN 'callee' THEN '3' WHEN 'test' THEN '4' ELSE '5' END) || role) AS role, max(CASE confidence WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END)::INT AS sure, count(*) AS edges FROM n WHERE id IS NOT NULL GROUP BY ALL"""
 )

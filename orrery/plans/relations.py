@@ -212,7 +212,7 @@ SELECT edge_seq, id AS resolved_id FROM (SELECT e.edge_seq, k.id, row_number() O
     "j10_test_edges": with_("edg", "sym") + f", f AS (SELECT project_id, file_path, min(id) AS id FROM sym WHERE kind = 'file' GROUP BY ALL) SELECT DISTINCT e.project_id, a.id AS source_id, b.id AS test_id FROM edg e JOIN f a ON a.project_id = e.project_id AND a.file_path = e.target_file JOIN f b ON b.project_id = e.project_id AND b.file_path = e.source_file WHERE e.kind = 'imports' AND regexp_matches(lower(e.source_file), '{_TEST_PATH}') AND NOT regexp_matches(lower(e.target_file), '{_TEST_PATH}')",
     "j11_narrowest_symbol": with_("edg", "sym") + " SELECT edge_seq, symbol_id, span FROM (SELECT e.edge_seq, s.id AS symbol_id, s.end_line - s.start_line AS span, row_number() OVER (PARTITION BY e.edge_seq ORDER BY s.end_line - s.start_line, s.id) AS r FROM edg e JOIN sym s ON s.project_id = e.project_id AND s.file_path = e.source_file AND e.line BETWEEN s.start_line AND s.end_line WHERE s.kind <> 'file') WHERE r = 1",
     "j13_callees": with_("edg", "sym") + " SELECT project_id, id, count(*) AS callees, min(callee) AS first_callee FROM (SELECT s.project_id, s.id, e.target_name AS callee FROM edg e JOIN sym s ON s.project_id = e.project_id AND s.id = e.source_id WHERE e.kind = 'calls' AND e.target_name IS NOT NULL UNION SELECT s.project_id, s.id, e.target_name FROM edg e JOIN sym s ON s.project_id = e.project_id AND s.file_path = e.source_file AND e.line BETWEEN s.start_line AND s.end_line WHERE e.kind = 'calls' AND e.target_name IS NOT NULL) GROUP BY ALL",
-    "j14_chunk_of_symbol": with_("sym", "chk") + " SELECT project_id, id, chunk_id, tier FROM (SELECT *, row_number() OVER (PARTITION BY project_id, id ORDER BY tier, cs, chunk_id) AS r FROM (SELECT s.project_id, s.id, c.id AS chunk_id, c.start_line AS cs, CASE WHEN c.symbol_name = s.name THEN 1 WHEN c.start_line <= s.start_line AND c.end_line >= s.end_line THEN 2 END AS tier FROM sym s JOIN chk c ON c.project_id = s.project_id AND c.file_path = s.file_path WHERE s.kind <> 'file') WHERE tier IS NOT NULL) WHERE r = 1",
+    "j14_chunk_of_symbol": with_("sym", "chk") + " SELECT project_id, id, chunk_id, tier FROM (SELECT *, row_number() OVER (PARTITION BY project_id, id ORDER BY tier, cs, chunk_id) AS r FROM (SELECT s.project_id, s.id, c.id AS chunk_id, c.start_line AS cs, CASE WHEN c.symbol_name = s.name THEN 1 WHEN c.start_line <= s.start_line AND c.end_line >= s.end_line AND c.end_line >= s.start_line THEN 2 ELSE 3 END AS tier FROM sym s JOIN chk c ON c.project_id = s.project_id AND c.file_path = s.file_path WHERE s.kind <> 'file') WHERE tier IS NOT NULL) WHERE r = 1",
     "j15_route_match": with_("fil") + ", g AS (SELECT path, status, string_split(path, '/') AS s FROM fil), r AS (SELECT DISTINCT route, string_split(route, '/') AS rs FROM (SELECT '/' || s[1] || array_to_string(list_transform(range(len(s) - 1), lambda i: '/:p' || i::VARCHAR), '') AS route FROM g UNION ALL SELECT '/' || path FROM g WHERE status = 'stale')), q AS (SELECT DISTINCT '/' || path AS request, string_split('/' || path, '/') AS qs FROM g) SELECT request, route FROM (SELECT request, route, row_number() OVER (PARTITION BY request ORDER BY route <> request, route) AS k FROM q JOIN r ON len(q.qs) = len(r.rs) AND q.qs[2] = r.rs[2] AND len(list_filter(range(1, len(qs) + 1), lambda i: NOT (qs[i] = rs[i] OR starts_with(rs[i], ':')))) = 0) WHERE k = 1",
     "j17_middleware": with_("edg", "sym") + " SELECT DISTINCT e.project_id, e.source_file, g.guard_id FROM edg e JOIN (SELECT project_id, min(id) AS guard_id FROM sym WHERE lower(name) LIKE '%guard%' AND kind <> 'file' GROUP BY ALL) g ON g.project_id = e.project_id WHERE e.kind = 'routes_to' AND e.source_file IS NOT NULL",
     "j18_duplicate_signals": f"""WITH s AS (SELECT DISTINCT symbol_id, body_fingerprint, list_distinct(coalesce(signature_tokens, [])) AS sig, list_distinct(coalesce(imports, [])) AS imp, list_distinct(coalesce(callees, [])) AS cal FROM symbol_structures WHERE body_fingerprint IS NOT NULL),

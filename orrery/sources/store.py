@@ -1,81 +1,118 @@
-"""The versioned store: immutable generations of each table, and one manifest that says which are current.
+"""The versioned store: immutable files of each table, and numbered manifests that say which are current.
 
-A commit writes whole new generations beside the old ones and then replaces the manifest by a rename, so that readers see
-either all of it or nothing, and a writer that dies leaves no trace but unused files. Rows of touched files are
-replaced by an anti-join and a union; nothing is updated in place.
+A commit writes new files beside the old ones and then publishes the next manifest by a rename to a name that no file has
+had, so that readers see either all of it or nothing, a writer that dies leaves no trace but unused files, and of two
+writers at once the second is refused. Tables of files' rows are kept in buckets by project and file: a commit
+rewrites the buckets of touched files and refers to the others as they are. Files that none of the last few manifests
+names are removed.
 """
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from orrery.sources.fs import Folder, Log
 
 #: The column that holds the file of a row, by table.
 FILE_COLUMN = {"files": "path", "symbols": "file_path", "edges": "source_file", "chunks": "file_path", "semantic_chunks": "file_path"}
+#: Buckets of a table of files' rows; a parameter of the store, fixed once it is written.
+BUCKETS = 64
 
 
-class Store:
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
-        self._jvm = spark._jvm
-        self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
+class Conflict(RuntimeError):
+    """Another writer has published the same generation."""
 
-    def _path(self, p: str):
-        return self._jvm.org.apache.hadoop.fs.Path(p)
+
+class Store:
+    def __init__(self, spark: SparkSession, root: str, buckets: int = BUCKETS, keep: int = 5):
+        self.spark, self.root, self.buckets = spark, root.rstrip("/"), buckets
+        self.folder = Folder(spark, self.root)
+        self._log = Log(self.folder, "manifests", keep)
 
     def manifest(self) -> dict:
-        p = self._path(f"{self.root}/manifest.json")
-        if not self._fs.exists(p):
-            return {"generation": 0, "tables": {}, "semantic": {}}
-        src = self._fs.open(p)
-        try:
-            return json.loads(bytes(bytearray(b & 0xFF for b in src.readAllBytes())).decode())
-        finally:
-            src.close()
+        """The current manifest; a table's parts are lists of folders by bucket, `all` for a table without buckets."""
+        last = self._log.last()
+        return last[1] if last else {"generation": 0, "tables": {}, "semantic": {}, "buckets": self.buckets}
 
     def _publish(self, m: dict) -> None:
-        tmp, final = self._path(f"{self.root}/.manifest.tmp"), self._path(f"{self.root}/manifest.json")
-        out = self._fs.create(tmp, True)
-        out.write(bytearray(json.dumps(m, sort_keys=True).encode()))
-        out.close()
-        if self._fs.exists(final):
-            self._fs.delete(final, False)
-        if not self._fs.rename(tmp, final):
-            raise OSError("the manifest could not be replaced")
+        if not self._log.put(m["generation"], m):
+            raise Conflict(f"generation {m['generation']} is there already")
+        used = {"/".join(p.split("/")[:2]) for n in self._log.numbers() for t in self._log.get(n)["tables"].values() for ps in t["parts"].values() for p in ps}
+        for table in m["tables"]:
+            for generation in self.folder.names(table):
+                number = int(generation.split("=")[1])
+                if f"{table}/{generation}" not in used and number < m["generation"]:
+                    self.folder.delete(f"{table}/{generation}")
+
+    def _frame(self, entry: dict, parts: list[str]) -> DataFrame:
+        schema = StructType.fromJson(entry["schema"])
+        if not parts:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(*[f"{self.root}/{p}" for p in parts])
 
     def read(self, table: str) -> DataFrame | None:
-        at = self.manifest()["tables"].get(table)
-        return self.spark.read.parquet(f"{self.root}/{at}") if at else None
+        entry = self.manifest()["tables"].get(table)
+        return self._frame(entry, [p for ps in entry["parts"].values() for p in ps]) if entry else None
+
+    def write(self, tables: dict[str, DataFrame], replaced: dict[str, set[int] | None] | None = None, **semantic) -> int:
+        """Write the given tables and publish them together. Returns the generation.
 
-    def write(self, tables: dict[str, DataFrame], **semantic) -> int:
-        """New generations of the given tables, published together. Returns the generation."""
+        `replaced` names the buckets that a table's rows stand for (None: all of them); its other buckets stay as they
+        are. Tables not named there are written whole and without buckets.
+        """
         m = self.manifest()
         g = m["generation"] + 1
         for name, df in tables.items():
             at = f"{name}/generation={g}"
-            df.write.mode("overwrite").parquet(f"{self.root}/{at}")
-            m["tables"][name] = at
+            if replaced is None or name not in replaced:
+                df.write.mode("overwrite").parquet(f"{self.root}/{at}")
+                m["tables"][name] = {"schema": df.schema.jsonValue(), "parts": {"all": [at]}}
+                continue
+            keyed = df.withColumn("_bucket", self._bucket("project_id", FILE_COLUMN[name], m["buckets"]))
+            keyed.repartition("_bucket").write.mode("overwrite").partitionBy("_bucket").parquet(f"{self.root}/{at}")
+            made = {n.split("=")[1]: f"{at}/{n}" for n in self._bucket_folders(at)}
+            gone = replaced[name]
+            old = m["tables"].get(name, {"parts": {}})["parts"]
+            parts = {} if gone is None else {b: ps for b, ps in old.items() if b == "all" or int(b) not in gone}
+            for b, p in made.items():
+                parts[b] = [*parts.get(b, []), p]
+            m["tables"][name] = {"schema": df.schema.jsonValue(), "parts": parts}
         m["generation"] = g
         m["semantic"] |= semantic
         self._publish(m)
         return g
 
+    def _bucket_folders(self, at: str) -> list[str]:
+        p = self.folder._path(at)
+        return sorted(s.getPath().getName() for s in self.folder._fs.listStatus(p) if s.getPath().getName().startswith("_bucket="))
+
+    @staticmethod
+    def _bucket(project: str, file: str, buckets: int) -> Column:
+        return F.pmod(F.xxhash64(project, file), F.lit(buckets)).cast("int")
+
     # index -----------------------------------------------------------------------------------------------------
-    def upsert(self, new: dict[str, DataFrame], touched: DataFrame, full: bool = False) -> int:
+    def upsert(self, new: dict[str, DataFrame], touched: DataFrame, full: bool = False, **semantic) -> int:
         """Replace the rows of touched files (project_id, path) by the new ones in every table; with `full`, of the projects touched."""
-        out = {}
+        m = self.manifest()
+        hit = None if full else {r[0] for r in touched.select(self._bucket("project_id", "path", m["buckets"])).distinct().collect()}  # at most one per bucket
+        out, replaced = {}, {}
         for name, rows in new.items():
-            old = self.read(name)
-            if old is None:
-                out[name] = rows
+            entry = m["tables"].get(name)
+            replaced[name] = hit
+            if entry is None:
+                out[name], replaced[name] = rows, None
                 continue
+            if hit is not None and "all" in entry["parts"]:
+                replaced[name] = None
+            parts = [p for b, ps in entry["parts"].items() for p in ps if replaced[name] is None or int(b) in hit]
             on = touched.select("project_id").distinct() if full else touched.select("project_id", F.col("path").alias(FILE_COLUMN[name])).distinct()
-            out[name] = old.join(on, on.columns, "left_anti").unionByName(rows, allowMissingColumns=True)
-        return self.write(out)
+            out[name] = self._frame(entry, parts).join(on, on.columns, "left_anti").unionByName(rows, allowMissingColumns=True)
+        return self.write(out, replaced, **semantic)
 
     def upsert_projects(self, rows: DataFrame) -> int:
         """Projects by id; the time of creation stays that of the first write."""
@@ -116,17 +153,26 @@ class Store:
         m = self.manifest()["semantic"]
         old = None if full or any(m.get(k) != v for k, v in profile.items()) else self.read("semantic_chunks")
         try:
-            new = with_vectors(chunks, old, embed)
-            rows = new
-            if old is not None:
-                on = touched.select("project_id", F.col("path").alias("file_path")).distinct()
-                rows = old.join(on, on.columns, "left_anti").unionByName(new, allowMissingColumns=True)
-            self.write({"semantic_chunks": rows}, fresh=True, error=None, **profile)
+            new = last_by_id(with_vectors(chunks, old, embed))
+            if old is None:
+                self.write({"semantic_chunks": new}, {"semantic_chunks": None}, fresh=True, error=None, **profile)
+            else:
+                self.upsert({"semantic_chunks": new}, touched, fresh=True, error=None, **profile)
         except Exception as e:  # the index stays usable without vectors
             self.write({}, fresh=False, error=str(e)[:300])
         return self.manifest()["semantic"]
 
 
+def last_by_id(rows: DataFrame) -> DataFrame:
+    """One row per id, the greatest by content hash of repeated ones; rows without an id stay."""
+    if "id" not in rows.columns:
+        return rows
+    one = rows.where("id IS NOT NULL").dropDuplicates(["id", "content_hash"])
+    keep = one.groupBy("id").agg(F.max("content_hash").alias("_h"))
+    kept = one.join(keep, "id").where(F.col("content_hash").eqNullSafe(F.col("_h"))).drop("_h")
+    return kept.select(*rows.columns).unionByName(rows.where("id IS NULL"))
+
+
 def merge_dirty(old: DataFrame, new: DataFrame) -> DataFrame:
     both = old.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)), allowMissingColumns=True)
     last = F.max_by(F.struct("status", "reason"), "_new").alias("s")

@@ -7,12 +7,14 @@ stream of what is there now into a state table, batch by batch and each batch on
 from __future__ import annotations
 
 import json
-import os
+import time
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from orrery.session import ensure_checkpoint_dir
+from orrery.sources.fs import Folder
 
 JOURNAL = "event string, file_path string, observed_at_ms long, _bad string"
 KINDS = ("add", "change", "unlink", "addDir", "unlinkDir")
@@ -29,11 +31,20 @@ def replay_paths(j: DataFrame) -> DataFrame:
     return j.select("file_path").distinct().orderBy("file_path")
 
 
-def append_journal(path: str, events: list[dict]) -> None:
-    """One line per event."""
-    os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
-    with open(path, "a", encoding="utf-8") as f:
-        f.writelines(json.dumps(e, sort_keys=True) + "\n" for e in events)
+def append_journal(spark: SparkSession, folder: str, events: list[dict]) -> str:
+    """Add events to a journal, which is a folder of files with one line per event; returns the new file's name. A reader sees all of them or none."""
+    name = f"{time.time_ns():020d}-{uuid.uuid4().hex[:8]}.json"
+    Folder(spark, folder).create(name, "".join(json.dumps(e, sort_keys=True) + "\n" for e in events))
+    return name
+
+
+def truncate_journal(spark: SparkSession, folder: str) -> int:
+    """Remove the files that a journal holds now; returns how many."""
+    f = Folder(spark, folder)
+    names = f.names()
+    for n in names:
+        f.delete(n)
+    return len(names)
 
 
 def coalesce_events(events: DataFrame, group: list[str], path: str, keep: int = 1000, burst: int = 100) -> DataFrame:
@@ -103,26 +114,42 @@ def sessions(events: DataFrame, at: str, gap: str, key: str, late: str | None =
 def run_available(stream: DataFrame, fold, merge, name: str, root: str | None = None) -> DataFrame:
     """Drive a stream through what is there now; `fold` turns a batch into state rows, `merge` joins them to the old ones.
 
-    The state lies in the shared checkpoint folder, a directory per batch. A batch that is delivered again after
-    a failure overwrites its own directory, so that it counts once.
+    The state lies under `root`, a folder per batch, and goes on from the last finished one when the stream is started again
+    with the same root. A batch that is delivered again after a failure overwrites its own folder, so that it counts
+    once. Without a root the run stands alone, in the shared checkpoint folder.
     """
-    import uuid
-
     spark = stream.sparkSession
     ensure_checkpoint_dir(spark)
     base = root or f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/stream-{name}-{uuid.uuid4().hex}"
-    last: dict[str, str] = {}
+    states = Folder(spark, f"{base}/state")
+
+    def finished(before: int | None = None) -> list[int]:
+        return sorted(int(n) for n in states.names() if n.isdigit() and (before is None or int(n) < before) and states.exists(f"{n}/_SUCCESS"))
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        new = fold(batch)
-        before = last.get("at") if batch_id > 0 else None
-        out = new if before is None else merge(spark.read.parquet(before), new)
-        at = f"{base}/state/{batch_id}"
-        out.write.mode("overwrite").parquet(at)
-        last["at"] = at
+        new, past = fold(batch), finished(batch_id)
+        out = merge(spark.read.parquet(f"{base}/state/{past[-1]}"), new) if past else new
+        out.write.mode("overwrite").parquet(f"{base}/state/{batch_id}")
+        for old in past[:-2]:
+            states.delete(str(old))
 
     q = stream.writeStream.foreachBatch(step).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
-    if "at" not in last:
-        return fold(spark.createDataFrame([], stream.schema))
-    return spark.read.parquet(last["at"])
+    done = finished()
+    return spark.read.parquet(f"{base}/state/{done[-1]}") if done else fold(spark.createDataFrame([], stream.schema))
+
+
+def restarting(start, failed, attempts: int = 5, base_s: float = 0.75, cap_s: float = 30.0):
+    """Run `start()` until it succeeds, waiting twice as long after each failure, up to the cap; the last error is raised.
+
+    `failed(n, error)` is told of every failure.
+    """
+    for n in range(1, attempts + 1):
+        try:
+            return start()
+        except Exception as e:
+            failed(n, e)
+            if n == attempts:
+                raise
+            time.sleep(min(cap_s, base_s * 2 ** (n - 1)))
+    return None

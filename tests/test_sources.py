@@ -10,9 +10,10 @@ from orrery.api import index_tree, scan_tree
 from orrery.plans.scans import changed_paths
 from orrery.sources import config
 from orrery.sources.extract import blocks, extract_references, references_of, symbols_of
-from orrery.sources.store import Store, liveness, merge_dirty, retrying, with_vectors
+from orrery.sources.store import Conflict, Store, liveness, merge_dirty, retrying, with_vectors
 from orrery.sources.topology import facts_of, link_calls, routes, topology_facts
 from orrery.streaming import events as V
+from orrery.streaming import watcher as W
 
 TS = "import { b } from './b';\nexport function load(id) {\n  // fake() call\n  return b(id, \"x(y)\");\n}\nexport class Box {\n  open(n) {\n    return load(n);\n  }\n}\n"
 
@@ -152,17 +153,92 @@ def test_vectors_are_reused_by_hash(spark, tmp_path):
 
 
 def test_journal_replay_and_stream_equal_the_batch(spark, tmp_path):
-    j = str(tmp_path / "j" / "a.jsonl")
-    V.append_journal(j, [{"event": "change", "file_path": " a\\b.ts ", "observed_at_ms": i} for i in (5, 3)] + [{"event": "nope", "file_path": "x", "observed_at_ms": 1}])
-    with open(j, "a") as f:
+    j = str(tmp_path / "j")
+    V.append_journal(spark, j, [{"event": "change", "file_path": " a\\b.ts ", "observed_at_ms": i} for i in (5, 3)] + [{"event": "nope", "file_path": "x", "observed_at_ms": 1}])
+    with open(os.path.join(j, "broken.json"), "w") as f:
         f.write("{broken\n")
-    V.append_journal(str(tmp_path / "j" / "b.jsonl"), [{"event": "add", "file_path": "c.ts", "observed_at_ms": 9}, {"event": "add", "file_path": "a/b.ts", "observed_at_ms": 1}])
-    batch = V.journal(spark, os.path.dirname(j))
+    V.append_journal(spark, j, [{"event": "add", "file_path": "c.ts", "observed_at_ms": 9}, {"event": "add", "file_path": "a/b.ts", "observed_at_ms": 1}])
+    batch = V.journal(spark, j)
     assert [r["file_path"] for r in V.replay_paths(batch).collect()] == ["a/b.ts", "c.ts"]
     fold = lambda b: V.dirty_state(b, "file_path", "observed_at_ms")
-    stream = V.journal(spark, os.path.dirname(j), stream=True)
-    got = V.run_available(stream, fold, lambda a, b: V.merge_state(a, b, "file_path"), "t", str(tmp_path / "st"))
-    assert _rows(got, "file_path", "first_seen", "last_seen", "events") == _rows(fold(batch), "file_path", "first_seen", "last_seen", "events") == [("a/b.ts", 1, 5, 3), ("c.ts", 9, 9, 1)]
+    cols = ("file_path", "first_seen", "last_seen", "events")
+    run = lambda: V.run_available(V.journal(spark, j, stream=True), fold, lambda a, b: V.merge_state(a, b, "file_path"), "t", str(tmp_path / "st"))
+    assert _rows(run(), *cols) == _rows(fold(batch), *cols) == [("a/b.ts", 1, 5, 3), ("c.ts", 9, 9, 1)]
+    # started again: with nothing new, with more, and after a batch that died while it wrote its state
+    assert _rows(run(), *cols) == [("a/b.ts", 1, 5, 3), ("c.ts", 9, 9, 1)]
+    V.append_journal(spark, j, [{"event": "unlink", "file_path": "c.ts", "observed_at_ms": 20}])
+    assert _rows(run(), *cols) == [("a/b.ts", 1, 5, 3), ("c.ts", 9, 20, 2)]
+    V.append_journal(spark, j, [{"event": "add", "file_path": "d.ts", "observed_at_ms": 30}])
+
+    def dies(batch):
+        raise ValueError("killed")
+
+    with pytest.raises(Exception):
+        V.run_available(V.journal(spark, j, stream=True), dies, lambda a, b: a, "t", str(tmp_path / "st"))
+    os.makedirs(tmp_path / "st" / "state" / "2", exist_ok=True)  # what a killed write leaves: a folder without its mark
+    assert _rows(run(), *cols) == [("a/b.ts", 1, 5, 3), ("c.ts", 9, 20, 2), ("d.ts", 30, 30, 1)]
+    assert V.truncate_journal(spark, j) == 5 and not [n for n in os.listdir(j) if not n.startswith(".")]
+
+
+def test_streams_are_restarted_with_growing_waits():
+    told, tries = [], []
+
+    def start():
+        tries.append(1)
+        if len(tries) < 3:
+            raise OSError("down")
+        return "up"
+
+    assert V.restarting(start, lambda n, e: told.append((n, str(e))), base_s=0.001) == "up" and told == [(1, "down"), (2, "down")]
+    with pytest.raises(OSError):
+        V.restarting(lambda: (_ for _ in ()).throw(OSError("x")), lambda n, e: None, attempts=2, base_s=0.001)
+
+
+def test_commits_touch_their_buckets_only_and_never_collide(spark, tmp_path):
+    s, other = (Store(spark, str(tmp_path / "b"), buckets=8, keep=2) for _ in range(2))
+    paths = [f"src/{i}.ts" for i in range(40)]
+    rows = lambda v, ps: spark.createDataFrame([("p", x, v) for x in ps], "project_id string, path string, content_hash string")
+    touched = lambda ps: spark.createDataFrame([("p", x) for x in ps], "project_id string, path string")
+    s.upsert({"files": rows("a", paths)}, touched(paths))
+    before = s.manifest()["tables"]["files"]["parts"]
+    s.upsert({"files": rows("b", paths[:1]).withColumn("more", F.lit(1))}, touched(paths[:1]))
+    after = s.manifest()["tables"]["files"]["parts"]
+    assert sum(before[b] != after[b] for b in before) == 1 and len(before) > 4
+    assert _rows(s.read("files"), "path", "content_hash", "more") == sorted([(p, "b" if p == paths[0] else "a", 1 if p == paths[0] else None) for p in paths])
+    s.upsert({"files": rows("x", [])}, touched(paths[:2]))
+    assert s.read("files").count() == 38
+    stale = other.manifest()
+    s.upsert({"files": rows("c", paths[5:6])}, touched(paths[5:6]))
+    with pytest.raises(Conflict):
+        other._publish(stale | {"generation": stale["generation"] + 1})
+    s.upsert({"files": rows("x", [])}, touched(["p"]), full=True)
+    assert s.read("files").count() == 0
+    assert len(os.listdir(tmp_path / "b" / "manifests")) - sum(n.startswith(".") for n in os.listdir(tmp_path / "b" / "manifests")) == 2
+
+
+def test_one_writer_at_a_time_and_its_status(spark, tmp_path):
+    root = str(tmp_path / "w")
+    a, b = W.WriterLock(spark, root, "a"), W.WriterLock(spark, root, "b")
+    assert W.watch_status(spark, root, None, at=0).first()["watcher"] == "not_running"
+    assert a.acquire(1_000) and not b.acquire(2_000) and a.heartbeat(5_000) and not b.heartbeat(5_000)
+    dirty = spark.createDataFrame([("p", "x", "pending"), ("p", "y", "dead_letter"), ("p", "z", "indexing"), ("p", "w", "pending")], "project_id string, path string, status string")
+    now = W.watch_status(spark, root, dirty, at=6_000).first()
+    assert (now["watcher"], now["owner"], now["heartbeat_age_ms"], now["pending"], now["indexing"], now["dead_letter"]) == ("running", "a", 1_000, 2, 1, 1)
+    assert W.watch_status(spark, root, dirty, at=90_000).first()["watcher"] == "stale"
+    assert b.acquire(90_000) and not a.heartbeat(90_001)
+    b.release(91_000)
+    assert W.watch_status(spark, root, dirty, at=91_000).first()["watcher"] == "dead" and a.acquire(91_001)
+    f = spark.createDataFrame([("p", "x", "indexed"), ("p", "q", "indexed"), ("p", "z", "deleted")], "project_id string, path string, status string")
+    assert _rows(W.with_dirty(f, dirty), "path", "status") == [("q", "indexed"), ("x", "stale"), ("z", "deleted")]
+
+
+def test_progress_is_kept_and_tailed(spark, tmp_path):
+    root = str(tmp_path / "p")
+    assert W.progress(spark, root) is None and W.progress_tail(spark, root).count() == 0
+    for i in range(7):
+        assert W.record_progress(spark, root, {"phase": "scan", "done": i, "total": 7}, at=i) == i + 1
+    assert W.progress(spark, root) == {"phase": "scan", "done": 6, "total": 7, "at_ms": 6}
+    assert [(r["n"], r["done"]) for r in W.progress_tail(spark, root, 3).collect()] == [(5, 4), (6, 5), (7, 6)]
 
 
 def test_coalescing_and_retries(spark):
