@@ -43,3 +43,9 @@ WITH s AS (
 SELECT symbol_id_a, symbol_id_b FROM p WHERE 10 * n >= 7 * (m - n)
 """,
 }
+ORACLE["p3_groups"] = ORACLE["p3_found"].replace("WITH s AS", "WITH RECURSIVE s AS", 1).replace(
+    "SELECT symbol_id_a, symbol_id_b FROM p WHERE 10 * n >= 7 * (m - n)",
+    """, l AS (SELECT symbol_id_a AS v, symbol_id_b AS u FROM p WHERE 10 * n >= 7 * (m - n) UNION ALL SELECT symbol_id_b, symbol_id_a FROM p WHERE 10 * n >= 7 * (m - n)),
+r AS (SELECT symbol_id AS v, symbol_id AS u FROM s UNION SELECT r.v, l.u FROM r JOIN l ON l.v = r.u)
+SELECT c.symbol_id, c.class_id, coalesce(k.links, 0) AS links FROM (SELECT v AS symbol_id, min(u) AS class_id FROM r GROUP BY 1) c LEFT JOIN (SELECT v, count(*) AS links FROM l GROUP BY 1) k ON k.v = c.symbol_id""",
+)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from orrery.llm.splitting import split_items
@@ -28,7 +28,20 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return p5_pieces(spark, d).select("project_id", "id").distinct()
 
 
-QUERIES = {"p5_found": p5_found, "p5_pieces": p5_pieces}
+def p5_invariants(spark: SparkSession, d: str) -> DataFrame:
+    """One row: items cut, and how many of their pieces exceed the limit, leave a gap, or share other than the overlap asked for."""
+    options = table(spark, d, "chunk_options").select("project_id", F.greatest(F.coalesce("target_lines", F.lit(80)), F.lit(1)).alias("most"), F.greatest(F.coalesce("overlap_lines", F.lit(0)), F.lit(0)).alias("shared"))
+    p = p5_pieces(spark, d).join(options, "project_id", "left").fillna({"most": 80, "shared": 0})
+    before = F.lag("last_line").over(Window.partitionBy("project_id", "id").orderBy("piece"))
+    later = F.col("piece") > 0
+    p = p.withColumn("before", before)
+    return p.agg(
+        F.countDistinct("project_id", "id").alias("items"), F.count_if((F.col("last_line") - F.col("first_line") + 1 > F.col("most")) & (F.col("boundary") != "unlocated")).alias("too_long"),
+        F.count_if(later & (F.col("first_line") != F.col("before") - F.col("overlap") + 1)).alias("gaps"), F.count_if(later & (F.col("overlap") != F.least("shared", F.col("most") - 1))).alias("other_overlap"),
+    )
+
+
+QUERIES = {"p5_found": p5_found, "p5_pieces": p5_pieces, "p5_invariants": p5_invariants}
 ORACLE = {
     "p5_found": """
 WITH s AS (SELECT *, max(generation) OVER (PARTITION BY project_id, id) AS g FROM symbols)
@@ -37,3 +50,4 @@ WHERE s.generation = s.g AND s.deleted_at IS NULL AND s.kind <> 'file'
   AND s.end_line - s.start_line + 1 > coalesce(o.target_lines, 80)
 """,
 }
+ORACLE["p5_invariants"] = "SELECT count(*) AS items, 0::BIGINT AS too_long, 0::BIGINT AS gaps, 0::BIGINT AS other_overlap FROM (" + ORACLE["p5_found"] + ")"
