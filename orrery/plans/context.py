@@ -7,6 +7,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from orrery.functions import paths as P
 from orrery.functions import text as X
 from orrery.operators import context as C
 from orrery.plans.search import _TERMS, QUERY, _count_terms, _search_text
@@ -50,6 +51,24 @@ def a05_owner_chain(spark: SparkSession, d: str) -> DataFrame:
     return o.select("project_id", "file_path", F.round("score", 6).alias("score"), F.array_join("symbols", ",").alias("symbols"))
 
 
+def n08_owner_rank(spark: SparkSession, d: str) -> DataFrame:
+    """Place of each project's expected owner, the file of its most called symbol, in the owner chain of the query; null where it isn't in it."""
+    called = T.edges(spark, d).where("kind = 'calls'").groupBy("project_id", F.col("target_id").alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    s = T.symbols(spark, d, "file_path").where("file_path IS NOT NULL")
+    want = called.join(s, ["project_id", "id"]).groupBy("project_id").agg(F.max_by("file_path", F.struct("n", "id")).alias("expected"))
+    chain = a05_owner_chain(spark, d).groupBy("project_id").agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "file_path"))), lambda x: x["file_path"]).alias("chain"))  # at most TOP files
+    return want.join(chain, "project_id", "left").select("project_id", "expected", F.nullif(F.array_position("chain", F.col("expected")), F.lit(0)).alias("rank"))
+
+
+def g15_topology_map(spark: SparkSession, d: str) -> DataFrame:
+    """Per project the owners of the query's topic and at most 24 topology edges, without snippets."""
+    from orrery.plans.graphs import topology_edges
+
+    o = a05_owner_chain(spark, d).select("project_id", F.lit("owner").alias("part"), F.row_number().over(Window.partitionBy("project_id").orderBy(F.desc("score"), "file_path")).alias("rank"), "file_path", F.lit(None).cast("string").alias("to"))
+    e = topology_edges(spark, d, 24)
+    return o.unionByName(e.select("project_id", F.col("kind").alias("part"), "rank", F.col("source_file").alias("file_path"), "to"))
+
+
 def q04_context_pack(spark: SparkSession, d: str) -> DataFrame:
     """One pack per project: its snippets, owners and confidence, as a document."""
     s = C.diverse(_hits(spark, d), ["project_id"], "rank", "cost", BUDGET, QUERY)
@@ -95,7 +114,7 @@ def e07_blocks(spark: SparkSession, d: str) -> DataFrame:
     return blocks(T.texts(spark, d)).select("project_id", "path", "start_line", "end_line", F.sha2("content", 256).alias("content_hash"))
 
 
-QUERIES = {k: v for k, v in list(globals().items()) if re.match(r"[anxqe]\d\d_", k)}
+QUERIES = {k: v for k, v in list(globals().items()) if re.match(r"[anxqeg]\d\d_", k)}
 
 _HITS = f"h0 AS (SELECT *, n / {len(_TERMS)} AS score FROM (SELECT *, {_count_terms('t', _TERMS)} AS n FROM (SELECT *, {_search_text('file_path', 'symbol_name', 'content')} AS t FROM chk)) WHERE n > 0), h AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY score DESC, file_path, id) AS rank, (ceil((length(file_path) + length(content)) * 1.3) + 200)::INT AS cost FROM h0) WHERE rank <= {TOP})"
 _FOLD = "f AS (SELECT project_id, 0 AS i, 0 AS used, 0 AS took, false AS ended FROM (SELECT DISTINCT project_id FROM h) UNION ALL SELECT f.project_id, f.i + 1, CASE WHEN {fits} THEN f.used + h.cost ELSE f.used END, CASE WHEN {fits} THEN h.rank::INT ELSE 0 END, f.ended OR NOT ({fits}) FROM f JOIN h ON h.project_id = f.project_id AND h.rank = f.i + 1)"
@@ -118,3 +137,11 @@ ORACLE = {
     "a19_completeness": with_("fil") + " SELECT project_id, files, skipped, staleness, round(coverage, 6) AS coverage, round((CASE staleness WHEN 'fresh' THEN 1.0 WHEN 'moderate' THEN 0.7 ELSE 0.3 END + coverage) / 2, 6) AS score FROM (SELECT project_id, files, coalesce(skipped, 0) AS skipped, CASE WHEN stale > files * 0.3 THEN 'stale' WHEN stale > files * 0.1 THEN 'moderate' ELSE 'fresh' END AS staleness, files / (files + coalesce(skipped, 0)) AS coverage FROM (SELECT project_id, count(*) AS files, count(*) FILTER (WHERE status = 'stale') AS stale FROM fil GROUP BY 1) LEFT JOIN (SELECT project_id, count(*) AS skipped FROM (SELECT DISTINCT project_id, file_path FROM skipped_files) GROUP BY 1) USING (project_id))",
     "e07_blocks": with_("txt") + f", l AS (SELECT project_id, path, unnest(ls) AS line, unnest(range(len(ls))) AS i, len(ls) AS n FROM (SELECT *, {_LINES} AS ls FROM txt)), b AS (SELECT project_id, path, i // 80 AS b, string_agg(line, chr(10) ORDER BY i) AS content, min(i) + 1 AS s, max(i) + 1 AS e FROM l GROUP BY ALL) SELECT project_id, path, s::INT AS start_line, e::INT AS end_line, sha256(content) AS content_hash FROM b WHERE regexp_matches(content, '\\S')",
 }
+_CHAIN = "oc AS (SELECT project_id, file_path, score, row_number() OVER (PARTITION BY project_id ORDER BY score DESC, file_path) AS rank FROM (SELECT h.project_id, h.file_path, round(sum(h.score), 6) AS score FROM h JOIN f ON f.project_id = h.project_id AND f.took = h.rank AND f.took > 0 GROUP BY ALL))"
+_RANKED = _fold(f"f.used + h.cost <= {BUDGET}").replace("WITH RECURSIVE ", "WITH RECURSIVE " + with_("edg", "sym").removeprefix("WITH ") + ", ", 1) + ", " + _CHAIN
+_TOPO = "SELECT project_id, kind, rank, source_file, \"to\" FROM (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY CASE kind WHEN 'handles_webhook' THEN 100 WHEN 'calls_api' THEN 90 WHEN 'routes_to' THEN 85 WHEN 'uses_middleware' THEN 84 WHEN 'tested_by' THEN 82 WHEN 'writes_to' THEN 78 WHEN 'reads_from' THEN 76 WHEN 'handles_event' THEN 74 ELSE CASE resolution WHEN 'resolved_lsp' THEN 80 WHEN 'resolved' THEN 75 WHEN 'exact' THEN 75 ELSE 20 END END DESC, edge_seq) AS rank FROM (SELECT *, coalesce(target_name, target_id) AS \"to\" FROM edg WHERE source_file IS NOT NULL AND kind IN ('calls', 'calls_api', 'routes_to', 'handles_webhook', 'handles_event', 'tested_by', 'uses_middleware', 'reads_from', 'writes_to'))) WHERE rank <= 24"
+ORACLE["g15_topology_map"] = _RANKED + f" SELECT project_id, 'owner' AS part, rank::INT AS rank, file_path, NULL::VARCHAR AS \"to\" FROM oc UNION ALL SELECT project_id, kind, rank::INT, source_file, \"to\" FROM ({_TOPO})"
+ORACLE["n08_owner_rank"] = _RANKED + ", w AS (SELECT e.project_id, arg_max(s.file_path, lpad(e.n::VARCHAR, 12, '0') || e.target_id) AS expected FROM (SELECT project_id, target_id, count(*) AS n FROM edg WHERE kind = 'calls' GROUP BY ALL) e JOIN sym s ON s.project_id = e.project_id AND s.id = e.target_id WHERE s.file_path IS NOT NULL GROUP BY 1) SELECT w.project_id, w.expected, oc.rank FROM w LEFT JOIN oc ON oc.project_id = w.project_id AND oc.file_path = w.expected"
+_DIVERSE = "ht AS (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY CASE WHEN fr = 1 THEN 0 ELSE 1 END, rank) AS turn FROM (SELECT *, row_number() OVER (PARTITION BY project_id, file_path ORDER BY rank) AS fr FROM h) WHERE fr <= CASE WHEN " + f"regexp_matches(lower(file_path), '{P._TEST_PATH}') OR regexp_matches(lower(file_path), '{P._FIXTURE_PATH}') OR regexp_matches(lower(file_path), '{P._DOCS_PATH}')" + " THEN 1 ELSE 3 END)"
+_TURNS = _FOLD.format(fits=f"f.used + h.cost <= {BUDGET}").replace("project_id FROM h)", "project_id FROM ht)").replace("JOIN h ON", "JOIN ht h ON").replace("h.rank", "h.turn")
+ORACLE["n03_diverse_snippets"] = with_("chk").replace("WITH ", "WITH RECURSIVE ", 1) + f", {_HITS}, {_DIVERSE}, {_TURNS} SELECT h.project_id, h.rank::INT AS rank, h.id, h.cost FROM ht h JOIN f ON f.project_id = h.project_id AND f.took = h.turn AND f.took > 0"

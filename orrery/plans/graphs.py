@@ -93,15 +93,25 @@ def a09_diff_review(spark: SparkSession, d: str) -> DataFrame:
     return j.withColumn("risk", F.when(k > 12, "high").when(k > 4, "medium").otherwise("low"))
 
 
-def t04_topology_edges(spark: SparkSession, d: str) -> DataFrame:
-    """The twelve weightiest topology edges of each project."""
+#: How much a topology edge weighs, by its kind, else by how it was resolved.
+TOPOLOGY_WEIGHTS = {"handles_webhook": 100, "calls_api": 90, "routes_to": 85, "uses_middleware": 84, "tested_by": 82, "writes_to": 78, "reads_from": 76, "handles_event": 74}
+RESOLUTION_WEIGHTS = {"resolved_lsp": 80, "resolved": 75, "exact": 75}
+
+
+def topology_edges(spark: SparkSession, d: str, most: int) -> DataFrame:
+    """The weightiest topology edges of each project, with their rank."""
     from pyspark.sql import Window
 
-    k, r = F.col("kind"), F.col("resolution")
-    pr = F.when(k == "handles_webhook", 100).when(k == "calls_api", 90).when(k == "routes_to", 85).when(k == "uses_middleware", 84).when(k == "tested_by", 82).when(k == "writes_to", 78).when(k == "reads_from", 76).when(k == "handles_event", 74).when(r == "resolved_lsp", 80).when(r.isin("resolved", "exact"), 75).when(k == "calls", 20).otherwise(10)
-    e = T.edges(spark, d).where("kind IN ('calls', 'calls_api', 'routes_to', 'handles_webhook', 'handles_event', 'tested_by', 'uses_middleware', 'reads_from', 'writes_to') AND source_file IS NOT NULL").withColumn("priority", pr)
-    w = Window.partitionBy("project_id").orderBy(F.desc("priority"), "edge_seq")
-    return e.withColumn("r", F.row_number().over(w)).where("r <= 12").select("project_id", "edge_seq", "kind", "priority", F.coalesce("target_name", "target_id").alias("to"))
+    weight = lambda c, table: F.element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), c)
+    e = T.edges(spark, d).where(F.col("kind").isin("calls", *TOPOLOGY_WEIGHTS) & F.col("source_file").isNotNull())
+    e = e.withColumn("priority", F.coalesce(weight(F.col("kind"), TOPOLOGY_WEIGHTS), weight(F.col("resolution"), RESOLUTION_WEIGHTS), F.lit(20)))
+    e = e.withColumn("rank", F.row_number().over(Window.partitionBy("project_id").orderBy(F.desc("priority"), "edge_seq"))).where(F.col("rank") <= most)
+    return e.select("project_id", "edge_seq", "kind", "priority", "rank", "source_file", F.coalesce("target_name", "target_id").alias("to"))
+
+
+def t04_topology_edges(spark: SparkSession, d: str) -> DataFrame:
+    """The twelve weightiest topology edges of each project."""
+    return topology_edges(spark, d, 12).drop("rank", "source_file")
 
 
 def g05_verified_edges(spark: SparkSession, d: str) -> DataFrame:

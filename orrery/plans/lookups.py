@@ -113,14 +113,6 @@ def g06_merged_nodes(spark: SparkSession, d: str) -> DataFrame:
     return ends.where("x.id IS NOT NULL").groupBy("project_id", "x.id").agg(strongest, F.max("x.sure").alias("sure"), F.count(F.lit(1)).alias("edges")).select("project_id", "id", "r.role", "sure", "edges")
 
 
-def g15_topology_map(spark: SparkSession, d: str) -> DataFrame:
-    """Per project, the 24 files with most topology edges, without snippets."""
-    e = T.edges(spark, d).where("kind NOT IN ('contains', 'imports', 'exports') AND source_file IS NOT NULL")
-    n = e.groupBy("project_id", "source_file").agg(F.count(F.lit(1)).alias("edges"), F.countDistinct("kind").alias("kinds"))
-    r = F.row_number().over(Window.partitionBy("project_id").orderBy(F.desc("edges"), "source_file"))
-    return n.withColumn("rank", r).where("rank <= 24")
-
-
 def u05_distinct_paths(spark: SparkSession, d: str) -> DataFrame:
     """All paths that edges speak of, with how many projects know each."""
     e = T.edges(spark, d)
@@ -166,7 +158,6 @@ SELECT chunk_id, symbol_id, tier FROM (SELECT *, row_number() OVER (PARTITION BY
     "j12_definitions": with_("edg", "sym") + " SELECT edge_seq, definition_id FROM (SELECT e.edge_seq, s.id AS definition_id, row_number() OVER (PARTITION BY e.edge_seq ORDER BY s.end_line - s.start_line, s.id) AS r FROM edg e JOIN sym s ON s.project_id = e.project_id AND s.file_path = e.target_file AND s.name = e.target_name WHERE e.kind = 'calls' AND s.kind <> 'file' AND s.end_line >= s.start_line) WHERE r = 1",
     "j16_term_matches": with_("sym") + f", t AS (SELECT project_id, id, lower(r) || chr(10) || array_to_string({_SPLIT}, ' ') AS t FROM (SELECT project_id, id, concat_ws(chr(10), nullif(name, ''), nullif(file_path, '')) AS r FROM sym WHERE kind <> 'file')) SELECT * FROM (SELECT project_id, id, ({_terms(['lane', 'mailbox', 'policy'])}) AS matched FROM t) WHERE matched > 0",
     "x12_hit_reasons": with_("chk") + ", r AS (SELECT id, array_to_string(list_filter(['harbor', 'ledger', 'session'], lambda t: contains(lower(concat_ws(chr(10), file_path, symbol_name, content)), t)), ',') AS terms, CASE WHEN regexp_matches(lower(coalesce(symbol_name, '')), 'harbor|ledger|session') THEN 'exact' WHEN regexp_matches(lower(file_path), 'harbor|ledger|session') THEN 'fuzzy' ELSE 'semantic' END AS match FROM chk) SELECT * FROM r WHERE terms <> ''",
-    "g15_topology_map": with_("edg") + " SELECT project_id, source_file, edges, kinds, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY edges DESC, source_file) AS rank FROM (SELECT project_id, source_file, count(*) AS edges, count(DISTINCT kind) AS kinds FROM edg WHERE kind NOT IN ('contains', 'imports', 'exports') AND source_file IS NOT NULL GROUP BY ALL)) WHERE rank <= 24",
     "u05_distinct_paths": with_("edg") + " SELECT path, count(*) AS projects FROM (SELECT project_id, source_file AS path FROM edg UNION SELECT project_id, target_file FROM edg UNION SELECT project_id, file_path FROM edg) WHERE path IS NOT NULL GROUP BY path",
     "u07_test_overlap": with_("edg") + f" SELECT *, round(tests / importers, 6) AS share FROM (SELECT project_id, target_file, count(*) AS importers, count(*) FILTER (WHERE regexp_matches(lower(source_file), '{_TEST}')) AS tests FROM (SELECT DISTINCT project_id, target_file, source_file FROM edg WHERE kind = 'imports' AND source_file IS NOT NULL AND target_file IS NOT NULL) GROUP BY ALL) WHERE tests > 0",
     "q08_explain_files": with_("edg", "sym") + f", {_ENDS} SELECT s.project_id, s.path, s.symbols, s.exported, coalesce(o.n, 0) AS edges_out, coalesce(i.n, 0) AS edges_in FROM (SELECT project_id, file_path AS path, count(*) AS symbols, count(*) FILTER (WHERE exported) AS exported FROM sym WHERE kind <> 'file' AND file_path IS NOT NULL GROUP BY ALL) s LEFT JOIN (SELECT project_id, sf, count(*) AS n FROM ends GROUP BY ALL) o ON o.project_id = s.project_id AND o.sf = s.path LEFT JOIN (SELECT project_id, tf, count(*) AS n FROM ends GROUP BY ALL) i ON i.project_id = s.project_id AND i.tf = s.path",

@@ -29,15 +29,6 @@ def a22_gate(spark: SparkSession, d: str) -> DataFrame:
     return g.select("metric", "passed")
 
 
-def n08_expected_rank(spark: SparkSession, d: str) -> DataFrame:
-    """Place of each project's most called symbol among its symbols by name."""
-    e = T.edges(spark, d).where("kind = 'calls'").groupBy("project_id", F.col("target_id").alias("id")).agg(F.count(F.lit(1)).alias("n"))
-    top = e.join(T.symbols(spark, d).select("project_id", "id", "name"), ["project_id", "id"])
-    best = top.groupBy("project_id").agg(F.max(F.struct("n", "id")).alias("b")).select("project_id", "b.id", "b.n")
-    r = top.withColumn("rank", F.row_number().over(Window.partitionBy("project_id").orderBy("name", "id")))
-    return r.join(best.select("project_id", "id"), ["project_id", "id"]).select("project_id", "id", "n", "rank")
-
-
 def e08_topology(spark: SparkSession, d: str) -> DataFrame:
     """Routes, calls, events and data access in all script texts, counted."""
     return topology_facts(_sources(spark, d)).groupBy("project_id", "fact", "target").agg(F.count(F.lit(1)).alias("n"))
@@ -59,8 +50,24 @@ def w15_graph_export(spark: SparkSession, d: str) -> DataFrame:
     return nodes.union(e.select(F.lit("edge"), F.to_json(F.struct("edge_seq", "kind"))))
 
 
-def w12_progress(spark: SparkSession, d: str) -> DataFrame:
-    """What an index run would log per project: rows written of each kind."""
+def w12_progress_tail(spark: SparkSession, d: str) -> DataFrame:
+    """The tail of the progress log of a run over the tables: a current state and one entry per phase, in order."""
+    import uuid
+
+    from orrery.session import ensure_checkpoint_dir
+    from orrery.streaming.watcher import progress, progress_tail, record_progress
+
+    ensure_checkpoint_dir(spark)
+    root = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/progress-{uuid.uuid4().hex}"
+    files = T.files(spark, d)
+    done = [("scan", files.count()), ("skip", table(spark, d, "skipped_files").distinct().count()), ("symbols", T.symbols(spark, d, "kind").count()), ("edges", T.edges(spark, d).count())]
+    for i, (phase, n) in enumerate(done):
+        record_progress(spark, root, {"phase": phase, "done": n, "total": n}, at=i)
+    return progress_tail(spark, root, 3).withColumn("current", F.col("n") == F.lit(progress(spark, root)["at_ms"] + 1)).select("n", "phase", "done", "current")
+
+
+def a17_project_warnings(spark: SparkSession, d: str) -> DataFrame:
+    """Files of each project, and how often its index was warned of."""
     f = T.files(spark, d).groupBy("project_id").agg(F.count(F.lit(1)).alias("files"))
     w = table(spark, d, "analysis_warnings").distinct().groupBy("project_id").agg(F.sum("occurrences").alias("warnings"))
     return f.join(w, "project_id", "left").fillna(0, ["warnings"])
@@ -71,6 +78,9 @@ _EVAL = "q AS (SELECT project_id || '|' || file_path AS query, id, kind, row_num
 ORACLE = {
     "a21_evaluation": with_("chk") + f", {_EVAL} SELECT queries, hit_rate::DOUBLE AS hit_rate, mrr::DOUBLE AS mrr, recall::DOUBLE AS recall FROM f",
     "a22_gate": with_("chk") + f", {_EVAL} SELECT 'hit_rate' AS metric, hit_rate >= 0.9 AS passed FROM f UNION ALL SELECT 'mrr', mrr >= 0.5 FROM f UNION ALL SELECT 'queries', queries >= 1 FROM f",
-    "n08_expected_rank": with_("edg", "sym") + ", t AS (SELECT s.project_id, s.id, s.name, e.n FROM (SELECT project_id, target_id, count(*) AS n FROM edg WHERE kind = 'calls' GROUP BY ALL) e JOIN sym s ON s.project_id = e.project_id AND s.id = e.target_id), r AS (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY name, id) AS rank, row_number() OVER (PARTITION BY project_id ORDER BY n DESC, id DESC) AS b FROM t) SELECT project_id, id, n, rank::INT AS rank FROM r WHERE b = 1",
-    "w12_progress": with_("fil") + " SELECT f.project_id, files, coalesce(warnings, 0) AS warnings FROM (SELECT project_id, count(*) AS files FROM fil GROUP BY 1) f LEFT JOIN (SELECT project_id, sum(occurrences)::BIGINT AS warnings FROM (SELECT DISTINCT * FROM analysis_warnings) GROUP BY 1) w USING (project_id)",
+    "w12_progress_tail": with_("fil", "sym", "edg") + " SELECT n, phase, done, n = 4 AS current FROM (SELECT 2::BIGINT AS n, 'skip' AS phase, count(*) AS done FROM (SELECT DISTINCT * FROM skipped_files) UNION ALL SELECT 3, 'symbols', count(*) FROM sym UNION ALL SELECT 4, 'edges', count(*) FROM edg)",
+    "w15_graph_export": with_("sym", "edg") + """, n AS (SELECT project_id, id, name, kind, file_path FROM sym WHERE language = 'python' AND kind <> 'file' ORDER BY project_id, id LIMIT 400)
+SELECT 'node' AS type, '{' || concat_ws(',', '"id":' || to_json(id)::VARCHAR, '"name":' || to_json(name)::VARCHAR, '"kind":' || to_json(kind)::VARCHAR, '"file_path":' || to_json(file_path)::VARCHAR) || '}' AS json FROM n
+UNION ALL SELECT 'edge', '{' || concat_ws(',', '"edge_seq":' || edge_seq, '"kind":' || to_json(kind)::VARCHAR) || '}' FROM edg e WHERE EXISTS (SELECT 1 FROM n WHERE n.project_id = e.project_id AND n.id = e.source_id) AND EXISTS (SELECT 1 FROM n WHERE n.project_id = e.project_id AND n.id = e.target_id)""",
+    "a17_project_warnings": with_("fil") + " SELECT f.project_id, files, coalesce(warnings, 0) AS warnings FROM (SELECT project_id, count(*) AS files FROM fil GROUP BY 1) f LEFT JOIN (SELECT project_id, sum(occurrences)::BIGINT AS warnings FROM (SELECT DISTINCT * FROM analysis_warnings) GROUP BY 1) w USING (project_id)",
 }

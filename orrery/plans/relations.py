@@ -27,7 +27,17 @@ def j04_freshness(spark: SparkSession, d: str) -> DataFrame:
     return R.freshness(T.files(spark, d), _scan(spark, d))
 
 
-def j05_change_set(spark: SparkSession, d: str) -> DataFrame:
+def j05_changed_files(spark: SparkSession, d: str) -> DataFrame:
+    """Change detection of a scan: files that are new or whose hash differs from the index's, and files that are gone from the tree."""
+    seen = _scan(spark, d)
+    known = T.files(spark, d).select("project_id", "path", F.col("content_hash").alias("known"), F.lit(True).alias("there"))
+    j = seen.join(known, ["project_id", "path"], "left")
+    changed = j.where(F.col("there").isNull() | ~F.col("content_hash").eqNullSafe(F.col("known"))).select("project_id", "path", F.when(F.col("there"), "changed").otherwise("new").alias("change"))
+    gone = known.select("project_id", "path").join(seen, ["project_id", "path"], "left_anti").select("project_id", "path", F.lit("deleted").alias("change"))
+    return changed.unionByName(gone)
+
+
+def u06_symbol_changes(spark: SparkSession, d: str) -> DataFrame:
     """What changed between the index of generation 20 and now: symbols added, removed, or with another signature or place."""
     before = table(spark, d, "symbols").where("generation <= 20").withColumn("gone", F.col("deleted_at").isNotNull())
     before = T.latest(before, ["project_id", "id"], "generation", ["gone", *T.SYMBOL_COLUMNS]).where("NOT gone")
@@ -201,7 +211,8 @@ def _jac(c: str) -> str:
 ORACLE = {
     "j02_edge_endpoints": with_("edg", "sym") + f", {_ENDS} SELECT * EXCLUDE (project_id) FROM ends",
     "j04_freshness": with_("fil", "txt") + f", {_STATE} SELECT * FROM state",
-    "j05_change_set": with_("sym") + ", " + T.SQL["sym"].replace("sym AS", "bef AS").replace("FROM symbols)", "FROM symbols WHERE generation <= 20)") + " SELECT coalesce(a.project_id, b.project_id) AS project_id, CASE WHEN a.id IS NULL THEN 'added' WHEN b.id IS NULL THEN 'removed' WHEN coalesce(a.signature, '') <> coalesce(b.signature, '') OR coalesce(a.start_line, -1) <> coalesce(b.start_line, -1) OR coalesce(a.end_line, -1) <> coalesce(b.end_line, -1) THEN 'changed' ELSE 'same' END AS change, count(*) AS symbols FROM bef a FULL JOIN sym b ON a.project_id = b.project_id AND a.id = b.id GROUP BY ALL",
+    "j05_changed_files": with_("txt", "fil") + " SELECT t.project_id, t.path, CASE WHEN f.path IS NULL THEN 'new' ELSE 'changed' END AS change FROM txt t LEFT JOIN fil f USING (project_id, path) WHERE f.path IS NULL OR f.content_hash IS DISTINCT FROM sha256(t.content) UNION ALL SELECT project_id, path, 'deleted' FROM fil f WHERE NOT EXISTS (SELECT 1 FROM txt t WHERE t.project_id = f.project_id AND t.path = f.path)",
+    "u06_symbol_changes": with_("sym") + ", " + T.SQL["sym"].replace("sym AS", "bef AS").replace("FROM symbols)", "FROM symbols WHERE generation <= 20)") + " SELECT coalesce(a.project_id, b.project_id) AS project_id, CASE WHEN a.id IS NULL THEN 'added' WHEN b.id IS NULL THEN 'removed' WHEN coalesce(a.signature, '') <> coalesce(b.signature, '') OR coalesce(a.start_line, -1) <> coalesce(b.start_line, -1) OR coalesce(a.end_line, -1) <> coalesce(b.end_line, -1) THEN 'changed' ELSE 'same' END AS change, count(*) AS symbols FROM bef a FULL JOIN sym b ON a.project_id = b.project_id AND a.id = b.id GROUP BY ALL",
     "j08_import_resolution": with_("txt") + r""", src AS (SELECT project_id, path, unnest(list_distinct(regexp_extract_all(content, '(?:from\s+|import\s*\(?\s*|require\s*\(\s*)["''](\.[^"'']*)["'']', 1))) AS source FROM txt),
 c AS (SELECT *, regexp_replace(path, '[^/]*$', '') || regexp_replace(source, '^\./', '') AS p FROM src),
 cand AS (SELECT project_id, path, source, unnest(list_concat([p], list_transform(['.ts', '.tsx', '.js', '.jsx', '.mjs', '.cjs'], lambda e: regexp_replace(p, '\.(js|jsx|mjs|cjs)$', '') || e), list_transform(['.ts', '.tsx', '.js', '.jsx', '.mjs', '.cjs'], lambda e: p || '/index' || e))) AS cand, unnest(range(13)) AS r FROM c)
