@@ -17,6 +17,7 @@ from orrery.operators import retrieval as S
 from orrery.operators import subgraph as W
 from orrery.plans import relations as plan
 from orrery.sources import extract as E
+from orrery.sources import postings
 from orrery.sources import tables as T
 from orrery.sources.store import Store
 
@@ -71,6 +72,10 @@ def _literal(s: str) -> str:
     return re.sub(r"([^A-Za-z0-9/_-])", r"\\\1", s)
 
 
+def _full_text():
+    return F.concat_ws("\n", "file_path", "symbol_name", "content")
+
+
 class Engine:
     """Queries over a data directory, or over a store that `index_tree` fills."""
 
@@ -89,18 +94,37 @@ class Engine:
         stale = self.files.where("status IN ('stale', 'deleted')").select("project_id", F.col("path").alias("file_path"))
         return df.join(stale, ["project_id", "file_path"], "left_anti")
 
-    def keyword(self, query: str, k: int, project: str | None = None) -> DataFrame:
-        """The k best chunks by text, of files that aren't stale."""
-        return S.keyword_hits(self._fresh(self._of(self.chunks, project)), S.expanded_names(self._of(self.symbols, project), query), k)
+    def index_text(self, root: str) -> None:
+        """Write the full-text index of the chunks of files that aren't stale under `root`, for searches to take their ranks from."""
+        postings.build(self._fresh(self.chunks), "id", _full_text(), root)
+
+    def keyword(self, query: str, k: int, project: str | None = None, index: str | None = None) -> DataFrame:
+        """The k best chunks by text, of files that aren't stale; with the folder of an index, the full-text rank adds to the score."""
+        chunks = self._fresh(self._of(self.chunks, project))
+        ranked = postings.search(self.spark, index, X.py_words(query)).select(F.col("key").alias("id"), F.col("score").alias("rank_score")) if index else None
+        return S.keyword_hits(chunks, S.expanded_names(self._of(self.symbols, project), query), k, ranked=ranked)
 
-    def fused(self, query: str, project: str | None = None, k: int = 20, embed=py_embed) -> DataFrame:
+    def fused(self, query: str, project: str | None = None, k: int = 20, embed=py_embed, index: str | None = None) -> DataFrame:
         """Keyword and vector lists of twice k hits each, fused; stale files left out before the limits."""
         chunks = self._fresh(self._of(self.chunks, project))
-        return S.fuse(("keyword", self.keyword(query, 2 * k, project)), ("semantic", S.vector_hits(chunks, embed(query), 2 * k)))
+        return S.fuse(("keyword", self.keyword(query, 2 * k, project, index)), ("semantic", S.vector_hits(chunks, embed(query), 2 * k)))
+
+    def search_code(self, query: str, project: str | None = None, mode: str | None = None, k: int = 20, embed=py_embed, index: str | None = None, seeds: int = 0) -> DataFrame:
+        """Ranked hits: keyword and vector lists, fused and boosted; stale files left out before the limit.
+
+        With `seeds`, hits are moved by their files' distance in the file graph from the files of the first so many.
+        """
+        mode = X.resolve_mode(query, mode)
+        hits = S.boosted(self.fused(query, project, k, embed, index), self._of(self.chunks, project), query, mode, k)
+        if not seeds:
+            return hits
+        from orrery.session import cut
 
-    def search_code(self, query: str, project: str | None = None, mode: str | None = None, k: int = 20, embed=py_embed) -> DataFrame:
-        """Ranked hits: keyword and vector lists, fused and boosted; stale files left out before the limit."""
-        return S.boosted(self.fused(query, project, k, embed), self._of(self.chunks, project), query, X.resolve_mode(query, mode), k)
+        near = cut(hits.join(self._of(self.chunks, project).select("id", "project_id", "language"), "id"))
+        start = near.orderBy(F.desc("score"), "file_path", "id").limit(seeds).select("project_id", F.col("file_path").alias("file"))
+        dist = G.distances(G.file_graph(self._of(self.edges, project), self._of(self.symbols, project)), start, plan.strength)
+        moved = G.rerank(near, dist, P.asks_for_tests(query), mode)
+        return moved.where("score > 0").select("id", "file_path", "source", "score").orderBy(F.desc("score"), "file_path", "id")
 
     def get_context(self, query: str, project: str | None = None, mode: str | None = None, budget: int = 18_000) -> DataFrame:
         hits = self.search_code(query, project, mode)

@@ -49,6 +49,11 @@ def py_tokens(query: str) -> list[str]:
     return list(dict.fromkeys(found))
 
 
+def py_words(query: str) -> list[str]:
+    """The distinct words of a query as a full-text index knows them: runs of letters and digits in lower case."""
+    return list(dict.fromkeys(w.lower() for w in re.findall(r"[^\W_]+", query)))
+
+
 def variants(terms: list[str]) -> list[str]:
     """The terms and, for those of letters only, their stems."""
     out: dict[str, None] = {}

@@ -46,7 +46,8 @@ def rerank(hits: DataFrame, dist: DataFrame, query_asks_tests: bool, mode: str)
     off = (evidence_class(F.col("file_path")) != "implementation") | F.col("language").isin("markdown", "json") | F.col("source").isin("semantic", "keyword")
     move = F.when(seen, near * 1.6 + F.col("strength") * 0.42).when(off, F.when(test, -0.15).otherwise(-0.25)).otherwise(0.0)
     tests = F.when(test & F.col("hops").isNotNull() & F.lit(wants_tests), 0.45).when(test & F.lit(not wants_tests), -0.25).otherwise(0.0)
-    return j.select("project_id", "file_path", "hops", F.col("score").alias("before"), (move + tests).alias("adjustment"), F.greatest(F.lit(0.0), F.col("score") + move + tests).alias("score"))
+    kept = [c for c in hits.columns if c in ("id", "source")]
+    return j.select(*kept, "project_id", "file_path", "hops", F.col("score").alias("before"), (move + tests).alias("adjustment"), F.greatest(F.lit(0.0), F.col("score") + move + tests).alias("score"))
 
 
 #: The rules of the next three functions are fixed values.

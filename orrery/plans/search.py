@@ -61,6 +61,27 @@ def s14_bm25(spark: SparkSession, d: str) -> DataFrame:
     return b.select("doc_id", "dl", F.round("score", 6).alias("score"))
 
 
+def s14_postings(spark: SparkSession, d: str) -> DataFrame:
+    """The same ranks from a full-text index: built, then read by the buckets of the terms."""
+    import uuid
+
+    from orrery.session import ensure_checkpoint_dir
+    from orrery.sources import postings
+
+    ensure_checkpoint_dir(spark)
+    root = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/postings-{uuid.uuid4().hex}"
+    postings.build(table(spark, d, "documents").select("doc_id", "text"), "doc_id", F.col("text"), root)
+    return postings.search(spark, root, BM25_TERMS, 50).select(F.col("key").alias("doc_id"), "dl", F.round("score", 6).alias("score"))
+
+
+def x08_ranked_keywords(spark: SparkSession, d: str) -> DataFrame:
+    """Keyword search over the chunks with the rank of a full-text search of the same chunks added to each score."""
+    c = T.chunks(spark, d, *_TEXT)
+    ranked = S.bm25(c, "id", F.concat_ws("\n", *_TEXT), X.py_words(QUERY), None).select("id", F.col("score").alias("rank_score"))
+    k = S.keyword_hits(c, X.Profile(QUERY, X.py_tokens(QUERY)), 40, stems=False, ranked=ranked)
+    return k.select("id", "file_path", F.round("score", 6).alias("score"))
+
+
 def x06_keyword_topk(spark: SparkSession, d: str) -> DataFrame:
     k = S.keyword_hits(T.chunks(spark, d, *_TEXT), X.Profile(QUERY, X.py_tokens(QUERY)), 40, stems=False)
     return k.select("id", "file_path", F.round("score", 6).alias("score"))
@@ -218,6 +239,15 @@ _OWN_TERMS = " + ".join(["0.0"] + [f"CASE WHEN contains(hay, '{t}') THEN {min(1.
 _BM = ", ".join(f"len(list_filter(w, lambda x: x = '{t}')) AS tf{i}" for i, t in enumerate(BM25_TERMS))
 _BMS = " + ".join(f"greatest(ln((n - df{i} + 0.5) / (df{i} + 0.5)), 1e-6) * tf{i} * 2.2 / (tf{i} + 1.2 * (0.25 + 0.75 * dl / avgdl))" for i in range(len(BM25_TERMS)))
 
+_WORDS = X.py_words(QUERY)
+_RANKED = (
+    f"kt AS (SELECT id, file_path, symbol_name, content, {_search_text('file_path', 'symbol_name', 'content')} AS t FROM chk), "
+    + "bw AS (SELECT id, list_filter(regexp_split_to_array(lower(concat_ws(chr(10), file_path, symbol_name, content)), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS w FROM chk), "
+    + "bt AS (SELECT id, len(w)::INT AS dl, " + ", ".join(f"len(list_filter(w, lambda x: x = '{t}')) AS tf{i}" for i, t in enumerate(_WORDS)) + " FROM bw), "
+    + "bc AS (SELECT count(*) AS n, avg(dl) AS avgdl, " + ", ".join(f"count(*) FILTER (WHERE tf{i} > 0) AS df{i}" for i in range(len(_WORDS))) + " FROM bt), "
+    + "bs AS (SELECT id, " + " + ".join(f"greatest(ln((n - df{i} + 0.5) / (df{i} + 0.5)), 1e-6) * tf{i} * 2.2 / (tf{i} + 1.2 * (0.25 + 0.75 * dl / avgdl))" for i in range(len(_WORDS))) + " AS bm FROM bt, bc)"
+)
+
 ORACLE = {
     "x01_tokens": rf"""WITH p AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '[^A-Za-z0-9_./:-]+'), lambda x: x <> '') AS ps FROM documents WHERE text IS NOT NULL),
 t AS (SELECT doc_id, list_distinct(flatten(list_transform(ps, lambda q: list_concat([lower(q)], CASE WHEN NOT regexp_matches(q, '[._/:-]') AND regexp_matches(q, '[a-z0-9][A-Z]|[A-Z]{{2,}}[a-z]') THEN {_split('q')} ELSE [] END)))) AS ts FROM p)
@@ -231,6 +261,7 @@ SELECT id, slot, round(n / sqrt(sum(n * n) OVER (PARTITION BY id)), 9) AS weight
     "s14_bm25": rf"""WITH b AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS w FROM documents WHERE text IS NOT NULL), t AS (SELECT doc_id, len(w)::INT AS dl, {_BM} FROM b),
 s AS (SELECT count(*) AS n, avg(dl) AS avgdl, {", ".join(f"count(*) FILTER (WHERE tf{i} > 0) AS df{i}" for i in range(len(BM25_TERMS)))} FROM t)
 SELECT doc_id, dl, round({_BMS}, 6) AS score FROM t, s WHERE {" OR ".join(f"tf{i} > 0" for i in range(len(BM25_TERMS)))} ORDER BY {_BMS} DESC, doc_id LIMIT 50""",
+    "x08_ranked_keywords": with_("chk") + f", {_RANKED} SELECT id, file_path, round(score, 6) AS score FROM (SELECT id, file_path, n / {len(_TERMS)} + least(0.25, ln(1 + coalesce(bm, 0))) AS score FROM (SELECT k.id, k.file_path, {_count_terms('t', _TERMS)} AS n, b.bm FROM kt k LEFT JOIN bs b USING (id)) WHERE n > 0) ORDER BY score DESC, file_path, id LIMIT 40",
     "x06_keyword_topk": with_("chk") + f", {_KW} SELECT id, file_path, round(score, 6) AS score FROM kw",
     "s15_vector_topk": with_("vec") + f", {_VEC} SELECT id, file_path, round(score, 6) AS score FROM vt",
     "n01_rank_fusion": with_("chk", "vec") + f", {_KW}, {_VEC}, {_FUSE} SELECT id, file_path, source, round(score, 6) AS score FROM fu",
@@ -265,3 +296,4 @@ CASE WHEN (SELECT count(*) FROM t WHERE duplicates > 0 AND confidence = 'high')
 CASE WHEN (SELECT count(*) FROM t WHERE exported AND confidence = 'high') > 0 THEN 'review_required' ELSE 'allow_new' END AS guard FROM b"""
 )
 ORACLE["a03_owners"] = ORACLE["a03_owners"].replace("0 AS exact, 0 AS names", "0::INT AS exact, 0::BIGINT AS names")
+ORACLE["s14_postings"] = ORACLE["s14_bm25"]

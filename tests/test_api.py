@@ -1,5 +1,6 @@
 """The facade over the smallest tables."""
 
+import math
 import os
 import re
 
@@ -72,6 +73,32 @@ def test_keyword_search_equals_brute_force(spark, engine):
     assert sorted(got) != sorted((r["id"], r["score"]) for r in search.x06_keyword_topk(spark, DATA).collect())
 
 
+def test_search_with_full_text_ranks_and_graph(spark, engine, tmp_path):
+    root = str(tmp_path / "fts")
+    engine.index_text(root)
+    q = "refresh the session ledger"
+    plain = {r["id"]: r["score"] for r in engine.keyword(q, 1000).collect()}
+    ranked = {r["id"]: r["score"] for r in engine.keyword(q, 1000, index=root).collect()}
+    words = X.py_words(q)
+    lists = {c["id"]: re.findall(r"[^\W_]+", "\n".join(x for x in (c["file_path"], c["symbol_name"], c["content"]) if x is not None).lower()) for c in engine._fresh(engine.chunks).collect()}
+    n, mean = len(lists), sum(map(len, lists.values())) / len(lists)
+    df = {w: sum(w in x for x in lists.values()) for w in words}
+    for i, score in ranked.items():
+        tf = {w: lists[i].count(w) for w in words}
+        bm = sum(max(math.log((n - df[w] + 0.5) / (df[w] + 0.5)), 1e-6) * tf[w] * 2.2 / (tf[w] + 1.2 * (0.25 + 0.75 * len(lists[i]) / mean)) for w in words)
+        assert abs(score - plain[i] - min(0.25, math.log1p(max(0.0, bm)))) < 1e-6
+    assert ranked.keys() == plain.keys() and any(ranked[i] > plain[i] for i in plain)
+    moved = engine.search_code(q, index=root, seeds=3).collect()
+    still = {r["id"]: r["score"] for r in engine.search_code(q, index=root).collect()}
+    assert {r["id"] for r in moved} <= still.keys() and [r["score"] for r in moved] == sorted((r["score"] for r in moved), reverse=True)
+    assert any(abs(r["score"] - still[r["id"]]) > 1e-9 for r in moved)
+    from orrery.sources import postings
+
+    assert postings.search(spark, root, []).count() == 0 and postings.search(spark, root, ["nosuchword"]).count() == 0
+    postings.build(spark.createDataFrame([], "id string, t string"), "id", F.col("t"), str(tmp_path / "none"))
+    assert postings.search(spark, str(tmp_path / "none"), ["a"]).count() == 0
+
+
 def test_registered_searches_leave_stale_files_out(spark, engine):
     stale = {r["path"] for r in engine.files.where("status IN ('stale', 'deleted')").collect()} - {r["path"] for r in engine.files.where("status NOT IN ('stale', 'deleted')").collect()}
     for f in (search.n01_search_fusion, search.q03_search_code, search.q10_find_owner):
