@@ -11,6 +11,10 @@ from __future__ import annotations
 import numpy as np
 
 
+#: Nodes that are compared whole to find where a search starts.
+WHOLE = 1024
+
+
 class Layer:
     """One layer: `nodes` are rows of the vector table, `links` are positions in `nodes`."""
 
@@ -139,7 +143,7 @@ def _grow(layer: Layer, n: int, m: int, ef: int, batch: int) -> None:
         lo = layer.size
         hi = min(n, lo + max(32, min(batch, lo // 2)))
         q = layer.v[lo:hi]
-        ids, sims = _beam(layer, q, np.repeat(entries(layer, lo)[None], hi - lo, 0), ef)
+        ids, sims = _beam(layer, q, _starts(layer.v[: min(lo, WHOLE)], q), ef)
         own = q @ q.T
         np.fill_diagonal(own, -np.inf)
         k = min(hi - lo - 1, m)
@@ -153,9 +157,10 @@ def _grow(layer: Layer, n: int, m: int, ef: int, batch: int) -> None:
         _link(layer, np.arange(lo, hi), _diverse(layer, q, ids, sims, m))
 
 
-def entries(layer: Layer, n: int) -> np.ndarray:
-    """A few spread-out nodes of a layer to start from."""
-    return np.unique(np.linspace(0, max(n - 1, 0), min(n, 8)).astype(np.int32))
+def _starts(v: np.ndarray, q: np.ndarray, n: int = 4) -> np.ndarray:
+    """The n rows of `v` most similar to each query, by comparing all."""
+    n = min(n, len(v))
+    return np.argpartition(q @ v.T, len(v) - n, axis=1)[:, len(v) - n :].astype(np.int32)
 
 
 class Graph:
@@ -190,8 +195,9 @@ class Graph:
             if own is not None:
                 at = self.place[own[lo : lo + batch]][:, None]
             else:
-                at = np.repeat(np.arange(self.layers[-1].size)[None], len(part), 0)  # the top layer is small enough to start everywhere
-                for layer in reversed(self.layers[1:]):
+                whole = next(k for k, layer in enumerate(self.layers) if layer.size <= WHOLE)  # small enough to compare all
+                at = _starts(self.layers[whole].v, part)
+                for layer in reversed(self.layers[1:whole]):
                     at, _ = _beam(layer, part, at, 4)
             i, s = _beam(self.layers[0], part, at, max(ef, k), floor=floor, least=least)
             out_i.append(np.where(i[:, :k] >= 0, self.order[np.maximum(i[:, :k], 0)], -1))

@@ -1,4 +1,9 @@
+import re
+from pathlib import Path
+
 import numpy as np
+import psutil
+import pyarrow as pa
 import pytest
 
 from orrery.llm.hnsw import Graph
@@ -72,3 +77,29 @@ def test_nested_centres_and_versions(spark, shard, flat):
 def test_empty_and_lone(spark):
     assert nearest(_frame(spark, [], [])).count() == 0
     assert nearest(_frame(spark, ["a"], [[1.0] * 64])).count() == 0
+
+
+def test_memory_of_a_search_is_bounded(spark):
+    """A worker holds the graph of a part and what a few of its vectors find, not what all of them find."""
+    x = _clustered(24_000, 5)
+    rows = spark.createDataFrame(pa.table({"id": [f"c{i:05d}" for i in range(len(x))], "embedding": pa.array(list(x), pa.list_(pa.float32()))})).repartition(4).cache()
+    rows.count()
+    workers = lambda: [Path(f"/proc/{p.pid}") for p in psutil.Process().children(recursive=True) if any("pyspark.daemon" in a for a in p.cmdline())]
+    for p in workers():
+        (p / "clear_refs").write_text("5")  # peaks begin anew
+    assert nearest(rows, shard=len(x)).count() > 4 * len(x)
+    peak = max(int(re.search(r"VmHWM:\s+(\d+)", (p / "status").read_text())[1]) / 1024 for p in workers())
+    rows.unpersist()
+    assert peak < 400
+
+
+def test_groups_that_span_batches(spark):
+    x = _clustered(900, 6)
+    ids = [f"c{i:04d}" for i in range(len(x))]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 13)
+    try:
+        got = {(r["id"], r["neighbour"]) for r in nearest(_frame(spark, ids, x), shard=100, margin=2).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = brute_force(ids, x)
+    assert len(got & want) >= 0.99 * len(want) and len(got - want) <= 0.01 * len(want)
